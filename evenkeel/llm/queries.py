@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontamination, minhash_dedup, quality_rules, substring_dedup
+from evenkeel.llm import decontamination, minhash_dedup, quality_rules, sharding, substring_dedup
 from evenkeel.sources.tables import materialize, table
 
 
@@ -25,6 +25,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids, "contaminated")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents")).select("doc_id", "shard", "n_bytes", "n_rows")
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,10 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
     "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_sharding": sharding.sql(),
+}
