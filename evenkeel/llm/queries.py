@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontamination, minhash_dedup, quality_rules, sharding, substring_dedup
+from evenkeel.llm import decontamination, minhash_dedup, mixing, quality_rules, sharding, substring_dedup
 from evenkeel.sources.tables import materialize, table
 
 
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weigh(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -36,11 +40,13 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_mixing": op4_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.sql(),
     "op9_sharding": sharding.sql(),
 }
