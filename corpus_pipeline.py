@@ -4,19 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evenkeel.llm import quality_rules
+from evenkeel.llm import decontamination, minhash_dedup, mixing, quality_rules, sharding
 from evenkeel.sources.tables import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the decision list learned from labels."""
     return quality_rules.filter_documents(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens meet the source, language and topic targets."""
+    return mixing.sample(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its shard."""
+    return sharding.shard_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("mixing to target weights", mix),
+    ("sharding", shard),
 ]
 
-#: The learned list has no SQL form.
+#: The learned list and the similarity classes have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
