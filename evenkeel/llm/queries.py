@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import decontamination, minhash_dedup, mixing, quality_rules, sharding, substring_dedup
+from evenkeel.llm import chat_format, decontamination, minhash_dedup, mixing, quality_rules, sharding, substring_dedup
 from evenkeel.sources.tables import materialize, table
 
 
@@ -19,6 +19,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digest(rows.unionByName(chat_format.probe(spark)))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
@@ -40,6 +45,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
@@ -47,6 +53,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
     "op9_sharding": sharding.sql(),
 }
