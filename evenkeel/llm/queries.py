@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat_format, decontamination, minhash_dedup, mixing, quality_rules, sharding, substring_dedup
+from evenkeel.llm import chat_format, decontamination, minhash_dedup, mixing, quality_rules, sharding, substring_dedup, url_filter
 from evenkeel.sources.tables import materialize, table
 
 
@@ -28,6 +28,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weigh(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.listed_hosts(pages, url_filter.LISTED_LABELS))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.inspect(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
@@ -47,6 +52,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
@@ -55,5 +61,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
+    "op5_url_filter": url_filter.SQL,
     "op9_sharding": sharding.sql(),
 }
