@@ -9,17 +9,17 @@
    Improved consistent weighted sampling (Ioffe 2010) gives each text `bands * rows`
    samples whose chance to agree is the weighted Jaccard similarity; the samples of a band
    make its key.
-4. Texts of one key are candidates. Each round picks pivots for every key (one at first,
-   four times as many in each later round), and verifies the exact weighted Jaccard
-   similarity of every pivot and member, pair by pair. A member leaves once a pivot that it
-   matches settles it; the rest meet new pivots until every key is settled. No group is
-   gathered, and large groups of copies cost one pair for each member and key.
-5. Classes are connected components of the verified links, found by label propagation with
-   pointer jumping, all in joins.
-
-Distance (1 - weighted Jaccard) is a metric, so a member further from the pivot than
-twice the limit cannot match a member that matches the pivot. A member that matches a
-pivot is settled unless another one in between is near enough for both to match.
+4. Texts of one key are candidates. The first round verifies each key's members against one
+   pivot, pair by pair, by exact weighted Jaccard similarity. Classes (connected components
+   of the verified links) are brought up to date after each round, and only keys whose
+   members lie in different classes go on: there, members outside the key's largest class
+   become pivots, twice as many in each round, against members of other classes. A pivot
+   has met all that it could match and leaves. No group is gathered, and a large group of
+   copies costs about one pair for each member and key.
+5. Components are found by large-star and small-star rounds, all in joins.
+
+Distance (1 - weighted Jaccard) is a metric, so two members whose distances from the first
+pivot differ by more than the limit allows cannot match and need no pair.
 
 Words are as in substring dedup, with A-Z lower-cased. A text of one to four words is one
 shingle. Defined results: null texts and texts without words are alone in their class.
@@ -215,7 +215,7 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
     state = _state(edges)
-    while True:
+    while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: a node's larger neighbours point to the least of its neighbourhood
@@ -232,31 +232,42 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
 
 
-def _links(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) -> DataFrame:
-    """Verified links that connect every two texts that share a key and reach the limit."""
-    shared = lambda rows: rows.join(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key"), "key")
-    pending = materialize(shared(keys), "near-pending")
-    some = pending.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(docs.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    reach = 1 - 2 * (1 - limit)
-    links: DataFrame | None = None
-    pivots_of_key = 1
+def _classed(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) -> DataFrame:
+    """rep, class: verified links join every two texts that share a key and reach the limit."""
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    pending = materialize(keys.join(shared, "key").withColumn("first", F.lit(None).cast("double")), "near-pending")
+    known = materialize(pending.select("rep", F.col("rep").alias("class")).distinct(), "near-classes")
+    texts = materialize(docs.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
+    most, pivots_of_key = 1 - limit + 1e-9, 1
+    open_ = pending.join(known, "rep")
     while True:
-        pivots = pending.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots_of_key))).agg(F.min("rep").alias("pivot")).select("key", "pivot")
-        tries = pending.join(pivots, "key").where("rep <> pivot").select("key", "rep", "pivot", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+        if pivots_of_key == 1:
+            chosen = open_.groupBy("key").agg(F.min("rep").alias("pivot"))
+        else:
+            sizes = open_.groupBy("key", "class").agg(F.count("*").alias("size"))
+            main = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main")).select("key", F.col("main.class").alias("main"))
+            minor = open_.join(main, "key").where(F.col("class") != F.col("main"))
+            chosen = minor.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots_of_key))).agg(F.min("rep").alias("pivot")).select("key", "pivot")
+        of = open_.select("key", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class"), F.col("first").alias("pivot_first"))
+        pivots = materialize(chosen.join(of, ["key", "pivot"]), "near-pivots")
+        near = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= most, F.lit(True))
+        tries = open_.join(pivots, "key").where((F.col("class") != F.col("pivot_class")) & near)
+        tries = tries.select("key", "rep", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         found = materialize(_verified(tries.select("a", "b").distinct(), texts, weights, n), "near-verified")
+        if pivots_of_key == 1:
+            pending = tries.join(found, ["a", "b"]).select("key", "rep", F.col("similarity").alias("first"))
+        else:
+            pending = open_.select("key", "rep", "first").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
         good = found.where(F.col("similarity") >= limit).select("a", "b")
-        links = good if links is None else links.unionByName(good)
-        judged = tries.join(found, ["a", "b"])
-        between = judged.where((F.col("similarity") < limit) & (F.col("similarity") >= reach)).groupBy("key", "pivot").agg(F.max("similarity").alias("nearest"))
-        near = F.col("similarity") - F.col("nearest") <= 1 - limit + 1e-9  # both may match
-        settled = judged.join(between, ["key", "pivot"], "left").select("key", "rep", ((F.col("similarity") >= limit) & ~F.coalesce(near, F.lit(False))).alias("done"))
-        left = settled.groupBy("key", "rep").agg(F.max("done").alias("done")).where("not done").select("key", "rep")
-        left = left.join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        pending = materialize(shared(left), "near-pending")
-        if pending.isEmpty():
-            return links
-        pivots_of_key *= 4
+        merged = good.join(known.select(F.col("rep").alias("a"), F.col("class").alias("ca")), "a").join(known.select(F.col("rep").alias("b"), F.col("class").alias("cb")), "b")
+        moved = components(merged.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        known = materialize(known.join(moved.select(F.col("node").alias("class"), F.col("class").alias("now")), "class", "left").select("rep", F.coalesce("now", "class").alias("class")), "near-classes")
+        placed = pending.join(known, "rep")
+        apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+        open_ = materialize(placed.join(apart, "key"), "near-open")
+        if open_.isEmpty():
+            return known
+        pivots_of_key *= 2
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING) -> DataFrame:
@@ -266,8 +277,8 @@ def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int
     weights = docs.sparkSession.sparkContext.broadcast(Weights(*_sketch(texts, cells, n), damping))
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
     keys = _bands(texts, weights, n, bands, rows).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "key").distinct()
-    found = components(_links(materialize(keys, "near-keys"), texts, weights, n, limit))
-    of_rep = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
+    found = _classed(materialize(keys, "near-keys"), texts, weights, n, limit)
+    of_rep = members.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     of_doc = of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))  # of a doc_id with several texts
     return texts.select("doc_id").distinct().join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
