@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat_format, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, sharding, substring_dedup, url_filter
+from evenkeel.llm import chat_format, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, sharding, substring_dedup, toxicity, url_filter
 from evenkeel.sources.tables import materialize, table
 
 
@@ -33,6 +33,11 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.listed_hosts(pages, url_filter.LISTED_LABELS))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -58,6 +63,7 @@ QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_mixing": op4_mixing,
     "op5_url_filter": op5_url_filter,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
@@ -68,6 +74,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
     "op5_url_filter": url_filter.SQL,
+    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": line_dedup.sql(),
     "op9_sharding": sharding.sql(),
 }
