@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenkeel.jobs import counting
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**counting.QUERIES}
+ORACLE_SQL: dict[str, str] = {**counting.SQL}
