@@ -1,8 +1,8 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Documents are summed into cells (source, language, topic) of tokens. Raking scales the
-cells' token weights to the target marginals in turn, source, language and topic, until
-all three hold within `tolerance` or `rounds` have passed. A document's weight is its
+cells' token weights to the target marginals in turn, source, language and topic, for
+`rounds` rounds; each round brings the marginals several times nearer. A document's weight is its
 cell's raked tokens over its counted tokens; weights are calibrated to probabilities with
 one common factor so that the expected tokens are `budget` of all tokens (a probability
 over 1 means the cell can't fill its share and counts as 1), and a hash of doc_id decides.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from evenkeel.sources.tables import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TEMPER, BUDGET = 8, 0.7, 0.5
+ROUNDS, TEMPER, BUDGET = 5, 0.7, 0.5
 #: Cells that may be broadcast; more are joined by shuffle.
 MOST_BROADCAST = 20_000
 
@@ -61,35 +61,25 @@ def targets(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFra
     return raised.select(dimension, (F.col("raised") / F.lit(total)).alias("target"))
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS, tolerance: float = 0.0) -> DataFrame:
+def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Cells with `raked`: token shares that meet the goals (dimension, target)."""
-    weighed = cells.withColumn("raked", F.col("tokens").cast("double"))
+    for d in DIMENSIONS:
+        cells = cells.join(goals[d].withColumnRenamed("target", f"goal_{d}"), d)
+    weighed = materialize(cells.withColumn("raked", F.col("tokens").cast("double")), "mix-goals")
     for _ in range(rounds):
-        for dimension in DIMENSIONS:
-            now = weighed.groupBy(dimension).agg(F.sum("raked").alias("now")).join(goals[dimension], dimension)
-            scale = now.select(dimension, (F.col("target") / F.col("now")).alias("scale"))
-            weighed = weighed.join(scale, dimension).withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
+        for d in DIMENSIONS:
+            scale = weighed.groupBy(d).agg((F.max(f"goal_{d}") / F.sum("raked")).alias("scale"))
+            weighed = weighed.join(scale, d).withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
         weighed = materialize(weighed, "mix-raked")
-        if tolerance and _gap(weighed, goals) <= tolerance:
-            break
-    return weighed
-
-
-def _gap(weighed: DataFrame, goals: dict[str, DataFrame]) -> float:
-    """The largest difference of a marginal and its goal."""
-    most = 0.0
-    for dimension in DIMENSIONS[:-1]:  # the last was fitted last
-        now = weighed.groupBy(dimension).agg(F.sum("raked").alias("now")).join(goals[dimension], dimension)
-        most = max(most, now.agg(F.max(F.abs(F.col("now") - F.col("target")))).first()[0] or 0.0)
-    return most
+    return weighed.select(*DIMENSIONS, "tokens", "raked")
 
 
-def calibrated(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def calibrated(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """The described rows, and each cell's probability."""
     rows = materialize(described(docs), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    goals = goals or {d: materialize(targets(cells, d, temper), "mix-goal") for d in DIMENSIONS}
-    raked = rake(cells, goals, rounds, tolerance)
+    goals = goals or {d: targets(cells, d, temper) for d in DIMENSIONS}
+    raked = rake(cells, goals, rounds)
     total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
     chance = F.least(F.lit(1.0), F.lit(budget) * F.lit(total or 0) * F.col("raked") / F.col("tokens"))
     named = raked.select(*DIMENSIONS, chance.alias("probability"))
