@@ -26,19 +26,34 @@ from evenkeel.sources.tables import materialize
 
 DEPTH, LEAST_DOCS, LEAST_CONSTANT = 3, 10, 0.7
 FIELD = "<*>"
+#: Leaves (8 bytes each) that may be broadcast; more are joined by shuffle.
+MOST_BROADCAST = 1 << 20
 
 
-def _masked(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit as a variable field."""
-    tidy = F.when(line.rlike(r"[\t\r\f\x0B]|  |^ | $"), F.regexp_replace(F.regexp_replace(line, r"[ \t\r\f\x0B]+", " "), "^ | $", "")).otherwise(line)
-    return F.when(tidy.rlike("[0-9]"), F.regexp_replace(tidy, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(tidy)
+def _has(text: Column, *marks: str) -> Column:
+    found = F.lit(False)
+    for mark in marks:
+        found |= F.contains(text, F.lit(mark))
+    return found
 
 
 def lines_of(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, print, at, masked, leaf of every line with tokens."""
-    cut = docs.select("doc_id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = cut.select("doc_id", "print", "at", _masked(F.col("line")).alias("masked")).where("masked <> ''")
-    n = F.char_length("masked") - F.char_length(F.replace("masked", F.lit(" "), F.lit("")))
+    """doc_id, print, at, masked, leaf of every line with tokens.
+
+    masked: the line's tokens joined by one space, those with a digit as a variable field.
+    Texts and lines that need no rewriting are told apart by cheap scans first.
+    """
+    untidy = _has(F.col("text"), "\t", "\r", "\f", "\x0B", "  ")
+    texts = docs.select(
+        "doc_id",
+        F.xxhash64("text").alias("print"),
+        F.when(untidy, F.regexp_replace("text", r"[ \t\r\f\x0B]+", " ")).otherwise(F.col("text")).alias("text"),
+    )
+    cut = texts.select("doc_id", "print", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    line = F.trim("line")
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
+    rows = cut.select("doc_id", "print", "at", masked.alias("masked")).where("masked <> ''")
+    n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
     return rows.withColumn("leaf", F.xxhash64(n, F.substring_index("masked", " ", depth)))
 
 
@@ -60,11 +75,11 @@ def _templates(lines: DataFrame, least_docs: int, least_constant: float) -> Data
     return shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "masked")
 
 
-def recurring_lines(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_constant: float = LEAST_CONSTANT) -> DataFrame:
+def recurring_lines(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_constant: float = LEAST_CONSTANT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """doc_id, print, at of every line of a recurring template."""
     every = lines_of(docs, depth)
     full = materialize(every.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= least_docs).select("leaf"), "line-leaves")
-    some = materialize(every.join(full, "leaf"), "line-candidates")
+    some = materialize(every.join(F.broadcast(full) if full.count() <= most_broadcast else full, "leaf"), "line-candidates")
     return some.join(_templates(some, least_docs, least_constant), ["leaf", "masked"], "left_semi").select("doc_id", "print", "at")
 
 
