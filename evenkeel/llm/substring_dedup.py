@@ -125,10 +125,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -
     Pieces may overlap; together they cover exactly the words to remove.
     """
     every = pieces(docs, window, minimizer)
+    # sums are written before they meet rows again: a join of two plain shuffles splits a hot key
     shared = every.groupBy("key").agg(F.count("*").alias("times"), F.min("body").alias("low"), F.max("body").alias("high")).where("times > 1")
-    again = materialize(every.join(shared, "key").select("id", "at", "n", "key", "body", (F.col("low") != F.col("high")).alias("branches")), "op2-pieces")
+    shared = materialize(shared.select("key", (F.col("low") != F.col("high")).alias("branches")), "op2-shared")
+    again = materialize(every.join(shared, "key").select("id", "at", "n", "key", "body", "branches"), "op2-pieces")
     place = F.min(F.struct("id", "at")).alias("first")
     classes = again.groupBy("key", "body").agg(F.first("n").alias("edges"), F.first("branches").alias("opens"), F.count("*").alias("copies"), place)
+    classes = materialize(classes.where("copies > 1 or opens"), "op2-classes")
     copies = again.join(classes.where("copies > 1").select("key", "body", "first"), ["key", "body"]).where(_later("first"))
     whole = copies.select("id", "at", (F.col("n") + window - 1).alias("length"), F.col("first.id").alias("source_id"), F.col("first.at").alias("source_at"))
     opened = classes.where("opens").select("first.id", "first.at", F.col("edges").alias("n"), "key")
