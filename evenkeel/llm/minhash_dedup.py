@@ -8,12 +8,13 @@
 3. A shingle weighs tf * (1 + damping * idf), idf = ln((1 + N) / (1 + df)) / ln(2 + N).
    Improved consistent weighted sampling (Ioffe 2010) gives each text `bands * rows`
    samples whose chance to agree is the weighted Jaccard similarity; the samples of a band
-   make its key.
+   make its key. Keys are refined by size class: texts whose total weights differ too much
+   can't be similar, so a passage that very different texts share doesn't pair them.
 4. Texts of one key are candidates. The first round verifies each key's members against one
    pivot, pair by pair, by exact weighted Jaccard similarity. Classes (connected components
    of the verified links) are brought up to date after each round, and only keys whose
    members lie in different classes go on: there, members outside the key's largest class
-   become pivots, twice as many in each round, against members of other classes. A pivot
+   become pivots, four times as many in each round, against members of other classes. A pivot
    has met all that it could match and leaves. No group is gathered, and a large group of
    copies costs about one pair for each member and key.
 5. Components are found by large-star and small-star rounds, all in joins.
@@ -41,7 +42,7 @@ from evenkeel.llm import words as W
 from evenkeel.sources.tables import materialize
 
 SHINGLE, LIMIT = 5, 0.8
-BANDS, ROWS = 9, 3
+BANDS, ROWS = 12, 4
 SKETCH_CELLS = 1 << 18
 DAMPING = 0.25
 _STEPS = 1 << 14
@@ -103,6 +104,7 @@ def band_keys(doc: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int, ba
     """n x bands band keys of texts whose shingles stand together in order of text."""
     begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.empty(0, dtype=np.int64)
     size = np.diff(np.append(begin, len(doc)))
+    of = np.repeat(np.arange(len(begin)), size)
     ln_w = np.log(weights).astype(np.float32)
     out = np.zeros((n, bands), dtype=np.uint64)
     if not len(doc):
@@ -115,14 +117,26 @@ def band_keys(doc: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int, ba
             beta = ((bits >> np.uint64(14)) & np.uint64(0xFFFFF)).astype(np.float32) * np.float32(2.0**-20)
             t = np.floor(ln_w / r + beta)
             ln_a = _LN_C[bits >> np.uint64(50)] - r * (t - beta) - r
-            least = np.minimum.reduceat(ln_a, begin)
-            # the least sample's shingle and step; ties go to the largest, so that order doesn't matter
-            token = np.where(ln_a == np.repeat(least, size), W.mix(bits ^ (t.astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03))), np.uint64(0))
-            made = W.mix(made * np.uint64(0xA0761D6478BD642F) ^ np.maximum.reduceat(token, begin))
+            at = np.flatnonzero(ln_a == np.minimum.reduceat(ln_a, begin)[of])
+            # the least sample's shingle and step; of equal ones the largest hash, so that order doesn't matter
+            token = W.mix(bits[at] ^ (t[at].astype(np.int64).view(np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+            first = np.flatnonzero(np.concatenate([[True], of[at][1:] != of[at][:-1]]))
+            made = W.mix(made * np.uint64(0xA0761D6478BD642F) ^ np.maximum.reduceat(token, first))
         out[doc[begin], band] = made
     return out
 
 
+def sized_keys(made: np.ndarray, total: np.ndarray, limit: float) -> np.ndarray:
+    """Each band key twice: with the text's size class and with the next.
+
+    Similar texts have total weights in a ratio of `limit` or more, so their size classes
+    (powers of 1 / limit) differ by one at most and they share a class under a shared key.
+    """
+    step = np.floor(np.log(np.maximum(total, 1e-9)) / (-math.log(limit) * (1 + 1e-6))).astype(np.int64)
+    both = np.stack([step, step + 1], axis=1).view(np.uint64)
+    return W.mix(made[:, :, None] ^ W.mix(both * np.uint64(2) + np.uint64(1))[:, None, :]).reshape(len(made), -1)
+
+
 def _members(texts: DataFrame) -> DataFrame:
     """doc_id, rep of every text with words; rep is the least doc_id with the same words."""
     names = ["doc_id", "a", "b"]
@@ -135,7 +149,7 @@ def _members(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b)], names).filter(pa.array(words.counts > 0))
 
     prints = materialize(texts.mapInArrow(run, "doc_id long, a long, b long"), "near-prints")
-    reps = prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "near-reps")
     return materialize(prints.join(reps, ["a", "b"]).select("doc_id", "rep").distinct(), "near-members")
 
 
@@ -158,16 +172,18 @@ def _sketch(texts: DataFrame, cells: int, n: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-def _bands(texts: DataFrame, weights, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key for each band of each text with words."""
+def _bands(texts: DataFrame, weights, n: int, bands: int, rows: int, limit: float) -> DataFrame:
+    """doc_id, key for each band and size class of each text with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, edges in W.chunks(batch, "text", 500_000):
                 doc, keys, times = counted(*shingles(W.cut(data, edges, lower=True), n))
-                made = band_keys(doc, keys, weights.value.of(keys, times), part.num_rows, bands, rows)
-                ids = np.repeat(W.column(part, "doc_id", 0), bands)
-                some = np.repeat(made.any(axis=1), bands)
+                w = weights.value.of(keys, times)
+                total = np.bincount(doc, weights=w, minlength=part.num_rows)
+                made = sized_keys(band_keys(doc, keys, w, part.num_rows, bands, rows), total, limit)
+                ids = np.repeat(W.column(part, "doc_id", 0), made.shape[1])
+                some = np.repeat(total > 0, made.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(made.reshape(-1).view(np.int64)[some])], ["doc_id", "key"])
 
     return texts.mapInArrow(run, "doc_id long, key long")
@@ -267,7 +283,7 @@ def _classed(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) ->
         open_ = materialize(placed.join(apart, "key"), "near-open")
         if open_.isEmpty():
             return known
-        pivots_of_key *= 2
+        pivots_of_key *= 4
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING) -> DataFrame:
@@ -276,7 +292,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int
     members = _members(texts)
     weights = docs.sparkSession.sparkContext.broadcast(Weights(*_sketch(texts, cells, n), damping))
     reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    keys = _bands(texts, weights, n, bands, rows).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "key").distinct()
+    keys = _bands(texts, weights, n, bands, rows, limit).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "key").distinct()
     found = _classed(materialize(keys, "near-keys"), texts, weights, n, limit)
     of_rep = members.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
     of_doc = of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))  # of a doc_id with several texts
