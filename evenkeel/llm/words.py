@@ -19,7 +19,7 @@ SEPARATORS = np.zeros(256, dtype=bool)
 SEPARATORS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 _BYTE_KEYS = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTE_BASE, _WORD_BASE, _WORD_BASE_2 = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1, 0x8CB92BA72F3D8DD7 | 1
