@@ -10,18 +10,16 @@
    samples whose chance to agree is the weighted Jaccard similarity; the samples of a band
    make its key. Keys are refined by size class: texts whose total weights differ too much
    can't be similar, so a passage that very different texts share doesn't pair them.
-4. Texts of one key are candidates. The first round verifies each key's members against one
-   pivot, pair by pair, by exact weighted Jaccard similarity. Classes (connected components
-   of the verified links) are brought up to date after each round, and only keys whose
-   members lie in different classes go on: there, members outside the key's largest class
-   become pivots, four times as many in each round, against members of other classes. A pivot
-   has met all that it could match and leaves. No group is gathered, and a large group of
-   copies costs about one pair for each member and key.
+4. Texts of one key are candidates. Two rounds verify a key's members against pivots (one,
+   then up to two outside the key's largest class), pair by pair, by exact weighted Jaccard
+   similarity. Classes (connected components of the verified links) are brought up to date
+   after each round, and only keys whose members lie in different classes go on. What is
+   left, members that no pivot settled against members of other classes, is verified in
+   blocks: rows that hold up to `BLOCK` texts of either side, for each two blocks that share
+   a key. So a large group of copies costs about one pair for each member and key, its
+   outliers are still held against all others, and no group meets in one task.
 5. Components are found by large-star and small-star rounds, all in joins.
 
-Distance (1 - weighted Jaccard) is a metric, so two members whose distances from the first
-pivot differ by more than the limit allows cannot match and need no pair.
-
 Words are as in substring dedup, with A-Z lower-cased. A text of one to four words is one
 shingle. Defined results: null texts and texts without words are alone in their class.
 Rows that share a doc_id are one document and share a class; a null doc_id is returned
@@ -45,6 +43,7 @@ SHINGLE, LIMIT = 5, 0.8
 BANDS, ROWS = 12, 4
 SKETCH_CELLS = 1 << 18
 DAMPING = 0.25
+BLOCK = 32
 _STEPS = 1 << 14
 
 
@@ -248,42 +247,106 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
 
 
+def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, most: int = 2_000_000) -> np.ndarray:
+    """Weighted Jaccard similarities of all left texts (rows) and all right texts (columns)."""
+    rows, cols = len(left.edges) - 1, len(right.edges) - 1
+    (doc_a, key_a, tf_a), (doc_b, key_b, tf_b) = (counted(*shingles(x, n)) for x in (left, right))
+    w_a, w_b = weights.of(key_a, tf_a), weights.of(key_b, tf_b)
+    total = np.bincount(doc_a, weights=w_a, minlength=rows)[:, None] + np.bincount(doc_b, weights=w_b, minlength=cols)[None, :]
+    order = np.argsort(key_b, kind="stable")
+    key_b, doc_b, w_b = key_b[order], doc_b[order], w_b[order]
+    low, high = np.searchsorted(key_b, key_a, "left"), np.searchsorted(key_b, key_a, "right")
+    met = np.flatnonzero(high > low)
+    both = np.zeros(rows * cols)
+    reach = np.cumsum(high[met] - low[met])
+    at = 0
+    while at < len(met):  # expand a bounded number of meetings at a time
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, "right")))
+        part = met[at:to]
+        size = high[part] - low[part]
+        of = np.repeat(part, size)
+        other = np.repeat(low[part], size) + np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        both += np.bincount(doc_a[of] * cols + doc_b[other], weights=np.minimum(w_a[of], w_b[other]), minlength=rows * cols)
+        at = to
+    both = both.reshape(rows, cols)
+    return both / np.maximum(total - both, 1e-12)
+
+
+def _in_blocks(open_: DataFrame, texts: DataFrame, weights, n: int, limit: float) -> DataFrame:
+    """Links (a, b) between members outside a key's largest class and members of other classes of the key."""
+    minor = F.col("class") != F.col("main")
+    rows = open_.join(_largest(open_), "key").select("key", "rep", "class", minor.alias("minor"))
+    sizes = rows.select("rep", "minor").distinct().agg(F.count("*"), F.count_if("minor")).first()
+    block = lambda count: F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-count // BLOCK)))).alias("block")
+    sides = {"a": rows.where("minor").select("key", "rep", "class", block(sizes[1])), "b": rows.select("key", "rep", "class", block(sizes[0]))}
+    tries = sides["a"].select("key", F.col("block").alias("a")).distinct().join(sides["b"].select("key", F.col("block").alias("b")).distinct(), "key").select("a", "b").distinct()
+
+    def held(side: str) -> DataFrame:
+        members = sides[side].select("rep", "class", "block").distinct()
+        full = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        return full.groupBy("block").agg(F.collect_list(F.struct("rep", "class", "text")).alias(f"held_{side}")).withColumnRenamed("block", side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (batch.column(c).slice(i, 1).flatten() for c in ("held_a", "held_b"))
+                sides = [W.cut(*W.texts(x.field("text")), lower=True) for x in (a, b)]
+                found = block_similarity(*sides, weights.value, n)
+                of = [[x.field(c).to_numpy() for c in ("rep", "class")] for x in (a, b)]
+                hit = np.argwhere((found >= limit) & (of[0][1][:, None] != of[1][1][None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(of[0][0][hit[:, 0]]), pa.array(of[1][0][hit[:, 1]])], ["a", "b"])
+
+    spark = texts.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "16")  # rows hold many texts
+    try:
+        joined = tries.join(materialize(held("a"), "near-held"), "a").join(materialize(held("b"), "near-held"), "b")
+        return materialize(joined.select("held_a", "held_b").mapInArrow(run, "a long, b long"), "near-block-links")
+    finally:
+        spark.conf.set(name, before)
+
+
+def _largest(open_: DataFrame) -> DataFrame:
+    """key, main: the class with the most members of each key."""
+    sizes = open_.groupBy("key", "class").agg(F.count("*").alias("size"))
+    return sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main")).select("key", F.col("main.class").alias("main"))
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """rep, class after links (a, b) have joined classes."""
+    of = lambda side: known.select(F.col("rep").alias(side), F.col("class").alias(f"c{side}"))
+    moved = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    both = known.join(moved.select(F.col("node").alias("class"), F.col("class").alias("now")), "class", "left")
+    return materialize(both.select("rep", F.coalesce("now", "class").alias("class")), "near-classes")
+
+
 def _classed(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) -> DataFrame:
     """rep, class: verified links join every two texts that share a key and reach the limit."""
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    pending = materialize(keys.join(shared, "key").withColumn("first", F.lit(None).cast("double")), "near-pending")
+    pending = materialize(keys.join(shared, "key"), "near-pending")
     known = materialize(pending.select("rep", F.col("rep").alias("class")).distinct(), "near-classes")
     texts = materialize(docs.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    most, pivots_of_key = 1 - limit + 1e-9, 1
     open_ = pending.join(known, "rep")
-    while True:
+    for pivots_of_key in (1, 2):
         if pivots_of_key == 1:
             chosen = open_.groupBy("key").agg(F.min("rep").alias("pivot"))
         else:
-            sizes = open_.groupBy("key", "class").agg(F.count("*").alias("size"))
-            main = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main")).select("key", F.col("main.class").alias("main"))
-            minor = open_.join(main, "key").where(F.col("class") != F.col("main"))
-            chosen = minor.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots_of_key))).agg(F.min("rep").alias("pivot")).select("key", "pivot")
-        of = open_.select("key", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class"), F.col("first").alias("pivot_first"))
+            outside = open_.join(_largest(open_), "key").where(F.col("class") != F.col("main"))
+            chosen = outside.groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(pivots_of_key))).agg(F.min("rep").alias("pivot")).select("key", "pivot")
+        of = open_.select("key", F.col("rep").alias("pivot"), F.col("class").alias("pivot_class"))
         pivots = materialize(chosen.join(of, ["key", "pivot"]), "near-pivots")
-        near = F.coalesce(F.abs(F.col("first") - F.col("pivot_first")) <= most, F.lit(True))
-        tries = open_.join(pivots, "key").where((F.col("class") != F.col("pivot_class")) & near)
-        tries = tries.select("key", "rep", F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
-        found = materialize(_verified(tries.select("a", "b").distinct(), texts, weights, n), "near-verified")
-        if pivots_of_key == 1:
-            pending = tries.join(found, ["a", "b"]).select("key", "rep", F.col("similarity").alias("first"))
-        else:
-            pending = open_.select("key", "rep", "first").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        good = found.where(F.col("similarity") >= limit).select("a", "b")
-        merged = good.join(known.select(F.col("rep").alias("a"), F.col("class").alias("ca")), "a").join(known.select(F.col("rep").alias("b"), F.col("class").alias("cb")), "b")
-        moved = components(merged.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        known = materialize(known.join(moved.select(F.col("node").alias("class"), F.col("class").alias("now")), "class", "left").select("rep", F.coalesce("now", "class").alias("class")), "near-classes")
-        placed = pending.join(known, "rep")
+        tries = open_.join(pivots, "key").where(F.col("class") != F.col("pivot_class"))
+        pairs = tries.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        found = materialize(_verified(pairs, texts, weights, n).where(F.col("similarity") >= limit).select("a", "b"), "near-verified")
+        known = _merged(known, found)
+        # a pivot has met all of its key
+        placed = open_.select("key", "rep").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").join(known, "rep")
         apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
         open_ = materialize(placed.join(apart, "key"), "near-open")
         if open_.isEmpty():
             return known
-        pivots_of_key *= 4
+    return _merged(known, _in_blocks(open_, texts, weights, n, limit))
 
 
 def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING) -> DataFrame:

@@ -441,3 +441,21 @@ def test_registry(spark):
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     duckdb.sql("SELECT 1")
+
+
+def test_blocks_find_what_pivots_leave(spark, monkeypatch):
+    """A loose group, most of whose members match only some of the others."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rng = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 7)):
+            text[at] = f"c{i}x{at}"
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(df, bands=24, rows=2).collect()}
+    want, pairs = brute_classes(rows)
+    assert got == want or any(abs(s - 0.8) < 0.005 for s in pairs.values())
+    assert 1 < len(set(want.values()))
