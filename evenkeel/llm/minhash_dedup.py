@@ -274,16 +274,19 @@ def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, mo
 
 def _in_blocks(open_: DataFrame, texts: DataFrame, weights, n: int, limit: float) -> DataFrame:
     """Links (a, b) between members outside a key's largest class and members of other classes of the key."""
-    minor = F.col("class") != F.col("main")
-    rows = open_.join(_largest(open_), "key").select("key", "rep", "class", minor.alias("minor"))
-    sizes = rows.select("rep", "minor").distinct().agg(F.count("*"), F.count_if("minor")).first()
-    block = lambda count: F.pmod(F.xxhash64("rep"), F.lit(max(1, -(-count // BLOCK)))).alias("block")
-    sides = {"a": rows.where("minor").select("key", "rep", "class", block(sizes[1])), "b": rows.select("key", "rep", "class", block(sizes[0]))}
-    tries = sides["a"].select("key", F.col("block").alias("a")).distinct().join(sides["b"].select("key", F.col("block").alias("b")).distinct(), "key").select("a", "b").distinct()
+    rows = open_.join(_largest(open_), "key").withColumn("minor", F.col("class") != F.col("main"))
+    # blocks are made among texts with one least key, so that a block holds texts that may meet
+    reps = rows.groupBy("rep").agg(F.min("key").alias("home"), F.max("class").alias("class"), F.max("minor").alias("minor"))
+    reps = materialize(reps, "near-homes")
+    homes = reps.groupBy("home").agg(F.count("*").alias("n"))
+    place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+    blocks = materialize(reps.join(homes, "home").select("rep", "class", "minor", F.xxhash64("home", place).alias("block")), "near-blocks")
+    sides = {"a": blocks.where("minor"), "b": blocks}
+    of = rows.select("key", "rep", F.col("minor").alias("here")).join(blocks.select("rep", "block"), "rep")
+    tries = of.where("here").select("key", F.col("block").alias("a")).distinct().join(of.select("key", F.col("block").alias("b")).distinct(), "key").select("a", "b").distinct()
 
     def held(side: str) -> DataFrame:
-        members = sides[side].select("rep", "class", "block").distinct()
-        full = members.join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+        full = sides[side].select("rep", "class", "block").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
         return full.groupBy("block").agg(F.collect_list(F.struct("rep", "class", "text")).alias(f"held_{side}")).withColumnRenamed("block", side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
