@@ -275,8 +275,10 @@ def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, mo
 def _in_blocks(open_: DataFrame, texts: DataFrame, weights, n: int, limit: float) -> DataFrame:
     """Links (a, b) between members outside a key's largest class and members of other classes of the key."""
     rows = open_.join(_largest(open_), "key").withColumn("minor", F.col("class") != F.col("main"))
-    # blocks are made among texts with one least key, so that a block holds texts that may meet
-    reps = rows.groupBy("rep").agg(F.min("key").alias("home"), F.max("class").alias("class"), F.max("minor").alias("minor"))
+    # blocks are made among texts with one largest key: full blocks of texts that may meet
+    members = rows.groupBy("key").agg(F.count("*").alias("members"))
+    home = F.max(F.struct("members", "key"))["key"].alias("home")
+    reps = rows.join(materialize(members, "near-members"), "key").groupBy("rep").agg(home, F.max("class").alias("class"), F.max("minor").alias("minor"))
     reps = materialize(reps, "near-homes")
     homes = reps.groupBy("home").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
