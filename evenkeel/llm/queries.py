@@ -74,7 +74,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
     "op5_url_filter": url_filter.SQL,
-    "op6_toxicity": op6_toxicity,
     "op7_line_dedup": line_dedup.sql(),
     "op9_sharding": sharding.sql(),
 }
