@@ -2,17 +2,25 @@
 
 Documents are summed into cells (source, language, topic) of tokens. Raking scales the
 cells' token weights to the target marginals in turn, source, language and topic, for
-`rounds` rounds; each round brings the marginals several times nearer. A document's weight is its
-cell's raked tokens over its counted tokens; weights are calibrated to probabilities with
-one common factor so that the expected tokens are `budget` of all tokens (a probability
-over 1 means the cell can't fill its share and counts as 1), and a hash of doc_id decides.
+`rounds` rounds; each round brings the marginals several times nearer. Calibration goes on
+from there under the bound that no cell gives more tokens than it has: the names of a
+dimension are scaled in turn, each by the factor at which its cells, full ones held at their
+tokens, reach its share of `budget` of all tokens, until every marginal is within
+`TOLERANCE`. A cell's probability is its calibrated tokens over its counted tokens, and a
+hash of doc_id decides.
+
+A name that has fewer tokens than its share is kept whole and the other names of its
+dimension share what it lacks; a warning names it. Where no sample meets all marginals at
+once the budget and the topics hold, and a warning tells the gap. `marginals` lists goals, attainable goals
+and expected tokens.
 
 Targets: a marginal's share is its token share to the power `temper`, made to sum to one;
 explicit targets may be given instead. Topic is a property of the text: `tabular` (a bar
 between words), `licensed` (names a license), `long` (2,000 words or more) or `prose`.
 
 Cells are the product of three small vocabularies, already summed, so a hot source is one
-row; each round is three grouped sums and joins over them. Only DataFrame functions.
+row; each round is three grouped sums and joins over them. Calibration reads the cells on
+the driver. Only DataFrame functions touch documents.
 
 Defined results. Null source or lang is the empty name; a null text has no tokens and
 counts as one token, so that every row lies in a cell of positive weight. Rows with equal
@@ -22,6 +30,10 @@ ignored, or kept by `sample`.
 
 from __future__ import annotations
 
+import warnings
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +43,8 @@ DIMENSIONS = ("source", "lang", "topic")
 ROUNDS, TEMPER, BUDGET = 5, 0.7, 0.5
 #: Cells that may be broadcast; more are joined by shuffle.
 MOST_BROADCAST = 20_000
+#: Gap of a marginal, as a share of the sampled tokens, at which calibration ends; rounds after which it gives up.
+TOLERANCE, MOST_ROUNDS = 1e-9, 2_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -74,16 +88,98 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) ->
     return weighed.select(*DIMENSIONS, "tokens", "raked")
 
 
-def calibrated(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The described rows, and each cell's probability."""
+def attainable(goal: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Goals of at most `most`: what full names lack goes to the others in proportion; the sum stays if it can."""
+    full = np.zeros(len(goal), dtype=bool)
+    while True:
+        left, free = goal.sum() - most[full].sum(), goal[~full].sum()
+        raised = np.where(full, most, goal * (left / free if free > 0 else 1.0))
+        if not (raised[~full] > most[~full]).any():
+            return raised
+        full |= raised > most
+
+
+def _factors(name: np.ndarray, tokens: np.ndarray, weight: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """For each name the factor f at which its sum of least(tokens, f * weight) is the goal.
+
+    The sum is concave in f and linear between the points where a cell fills, so Newton's
+    steps from below never pass the factor and reach it.
+    """
+    total = lambda x: np.bincount(name, x, len(goal))
+    f = goal / total(weight)
+    while True:
+        scaled = f[name] * weight
+        free = total(np.where(scaled < tokens, weight, 0.0))
+        step = np.divide(goal - total(np.minimum(tokens, scaled)), free, out=np.zeros(len(goal)), where=free > 0)
+        if not (step > 1e-13 * f).any():
+            return f
+        f = f + np.maximum(step, 0.0)
+
+
+def calibrate(tokens: np.ndarray, weight: np.ndarray, names: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Tokens to expect of each cell, at most its own, and the largest gap left, as a share of their sum.
+
+    names: for each dimension the number of each cell's name; goals: tokens for each name, attainable ones.
+    """
+    asked, gap = goals[-1].sum(), np.inf
+    for _ in range(MOST_ROUNDS):
+        for name, goal in zip(names, goals):
+            weight = np.clip(weight * _factors(name, tokens, weight, goal)[name], 1e-250, 1e250)
+        found = np.minimum(tokens, weight)
+        gap = max(np.abs(np.bincount(name, found, len(goal)) - goal).max() for name, goal in zip(names, goals)) / asked
+        if gap <= TOLERANCE:
+            break
+    return found, gap
+
+
+def _solved(raked: DataFrame, goals: dict[str, DataFrame], budget: float) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Cells with their probability, and the marginals."""
+    cells = raked.toPandas().sort_values(list(DIMENSIONS), ignore_index=True)
+    if cells.empty:
+        return cells.assign(probability=0.0), pd.DataFrame(columns=["dimension", "name", "tokens", "goal", "attainable", "expected"])
+    tokens = cells["tokens"].to_numpy(dtype=float)
+    asked = min(budget, 1.0) * tokens.sum()
+    names, wanted, lines = [], [], []
+    for d in DIMENSIONS:
+        name, labels = pd.factorize(cells[d])
+        share = dict(goals[d].select(d, "target").toPandas().itertuples(index=False))
+        goal = np.array([share[k] for k in labels], dtype=float)
+        goal, most = asked * goal / goal.sum(), np.bincount(name, tokens)
+        names.append(name)
+        wanted.append(attainable(goal, most))
+        lines.append(pd.DataFrame({"dimension": d, "name": labels, "tokens": most, "goal": goal, "attainable": wanted[-1]}))
+    short = [f"{d} {k!r}" for d, line in zip(DIMENSIONS, lines) for k in line["name"][line["attainable"] < line["goal"] * (1 - TOLERANCE)]]
+    if short:
+        warnings.warn(f"mixing: fewer tokens than their share, kept whole: {', '.join(short[:20])} ({len(short)} in all)", stacklevel=3)
+    found, gap = calibrate(tokens, tokens.sum() * cells["raked"].to_numpy(dtype=float) * budget, names, wanted)
+    if gap > TOLERANCE:
+        warnings.warn(f"mixing: no sample found that meets all marginals; the largest gap is {gap:.2e} of the sampled tokens", stacklevel=3)
+    marginals = pd.concat([line.assign(expected=np.bincount(name, found)) for line, name in zip(lines, names)], ignore_index=True)
+    return cells.assign(probability=found / tokens), marginals
+
+
+def _cells(docs: DataFrame, rounds: int, temper: float, goals: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The described rows, raked cells, and the goals."""
     rows = materialize(described(docs), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     goals = goals or {d: targets(cells, d, temper) for d in DIMENSIONS}
-    raked = rake(cells, goals, rounds)
-    total, n = cells.agg(F.sum("tokens"), F.count("*")).first()
-    chance = F.least(F.lit(1.0), F.lit(budget) * F.lit(total or 0) * F.col("raked") / F.col("tokens"))
-    named = raked.select(*DIMENSIONS, chance.alias("probability"))
-    return rows, F.broadcast(named) if n <= MOST_BROADCAST else named
+    return rows, rake(cells, goals, rounds), goals
+
+
+def calibrated(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The described rows, and each cell's probability."""
+    rows, raked, goals = _cells(docs, rounds, temper, goals)
+    cells, _ = _solved(raked, goals, budget)
+    found = list(cells[[*DIMENSIONS, "probability"]].itertuples(index=False, name=None))
+    named = docs.sparkSession.createDataFrame(found, "source string, lang string, topic string, probability double")
+    return rows, F.broadcast(named) if len(found) <= MOST_BROADCAST else named
+
+
+def marginals(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> DataFrame:
+    """dimension, name, tokens, goal, attainable goal and expected tokens of the sample."""
+    _, raked, goals = _cells(docs, rounds, temper, goals)
+    lines = list(_solved(raked, goals, budget)[1].itertuples(index=False, name=None))
+    return docs.sparkSession.createDataFrame(lines, "dimension string, name string, tokens double, goal double, attainable double, expected double")
 
 
 def draw(doc_id: Column) -> Column:

@@ -187,6 +187,42 @@ def test_mixing_equals_its_sql(spark, data):
     same(queries.op4_mixing(spark, data), connection(data), mixing.sql())
 
 
+def spread_docs(spark, n=400):
+    """Documents of very unequal sources, languages and topics, so that rare cells fill."""
+    rng = np.random.default_rng(5)
+    pick = lambda names, p: str(rng.choice(names, p=p))
+    rows = [(k, " ".join(["w"] * int(rng.integers(5, 60))) + pick(["", " License", " | x"], [0.9, 0.08, 0.02]), pick(["en", "de"], [0.92, 0.08]), pick(list("abcd"), [0.8, 0.12, 0.05, 0.03]), 0) for k in range(n)]
+    return spark.createDataFrame(rows, DOC)
+
+
+def test_mixing_keeps_budget_and_marginals_when_cells_fill(spark):
+    with pytest.warns(UserWarning, match="kept whole"):
+        rows = mixing.weigh(spread_docs(spark)).toPandas()
+    rows["expected"] = rows["tokens"] * rows["probability"]
+    total = rows["tokens"].sum()
+    assert (rows["probability"] == 1).any() and rows["probability"].between(0, 1).all()
+    assert abs(rows["expected"].sum() - mixing.BUDGET * total) < 1e-6 * total
+    unmet = 0
+    for d in mixing.DIMENSIONS:
+        have = rows.groupby(d)["tokens"].sum()
+        goal = have**mixing.TEMPER / (have**mixing.TEMPER).sum() * mixing.BUDGET * total
+        low, high = 0.0, 1e6  # bisection: goals of at most what there is that add up to the budget
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.minimum(have, mid * goal).sum() < mixing.BUDGET * total else (low, mid)
+        assert np.allclose(rows.groupby(d)["expected"].sum(), np.minimum(have, high * goal), rtol=0, atol=1e-6 * total)
+        unmet += int((have < goal).sum())
+    table = mixing.marginals(spread_docs(spark)).toPandas()
+    assert unmet == (table["attainable"] < table["goal"] * (1 - 1e-9)).sum() > 0
+    assert np.allclose(table["expected"], table["attainable"], rtol=0, atol=1e-6 * total)
+
+
+def test_mixing_tells_when_no_sample_meets_all_marginals():
+    tokens, names = np.array([100.0, 100.0]), [np.array([0, 1]), np.array([0, 1])]
+    found, gap = mixing.calibrate(tokens, tokens / 2, names, [np.array([30.0, 70.0]), np.array([60.0, 40.0])])
+    assert gap > 0.1 and np.allclose(found, [60, 40])
+
+
 def test_mixing_edge_cases(spark, docs):
     twice = docs.unionByName(docs)
     kept = mixing.weigh(with_extras(twice)).groupBy("doc_id").agg(F.count_distinct("kept").alias("n"), F.count("*").alias("rows"))
