@@ -53,7 +53,7 @@ def measured(rows: DataFrame, iterations: int = R.ITERATIONS) -> DataFrame:
 @query()
 def op_measurement(spark: SparkSession, folder: str) -> DataFrame:
     rows = counts.with_pairs(counts.tally(trials(spark, folder), ["run_id"]))
-    return measured(rows.withColumn("seed", S.seed(F.col("run_id"), F.lit("2026-01-31"), F.lit("model"))), 2_000)
+    return measured(rows.withColumn("seed", S.seed(F.col("run_id"), F.lit("2026-01-31"), F.lit("model"))))
 
 
 @query(with_views("trials", """, t AS (SELECT run_id, outcome, token, CASE WHEN outcome = 'valid' THEN token = CASE WHEN scenario_id < 's08' THEN 'A' ELSE 'B' END END AS correct FROM trials)

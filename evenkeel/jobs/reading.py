@@ -247,12 +247,12 @@ g AS (SELECT run_id, b, any_value(nx) AS nx, any_value(ny) AS ny, count(*) FILTE
 n AS (SELECT run_id, 2 * nx * ny AS den, abs(sa * ny - ta * nx) + abs((nx - sa) * ny - (ny - ta) * nx) AS num FROM g)
 SELECT run_id, CAST(quantile_disc(num, 0.025) AS BIGINT) AS low_num, CAST(quantile_disc(num, 0.975) AS BIGINT) AS high_num, CAST(any_value(den) AS BIGINT) AS den FROM n GROUP BY run_id"""))
 def op_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    return R.bootstrap(_runs(spark, folder), iterations=100)
+    return R.bootstrap(_runs(spark, folder))
 
 
 @query()
 def op_null_floor(spark: SparkSession, folder: str) -> DataFrame:
-    found = R.null_floor(_runs(spark, folder), iterations=1_000, after_bootstrap=1_000)
+    found = R.null_floor(_runs(spark, folder), after_bootstrap=R.ITERATIONS)
     return found.select("run_id", published(F.col("floor_num") * 100, F.col("floor_den")).alias("null_floor_pct"))
 
 

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evenkeel.functions.exact import published
+from evenkeel.jobs import reading, registry
 from evenkeel.operators import counts, gates, resampling, scenarios
 
 
@@ -83,6 +84,32 @@ def test_bootstrap_blocks_make_one_sequence(spark):
     assert {r.run_id: r.floor_num is None for r in resampling.null_floor(runs, 10).collect()} == {"r": False, "empty": True}
 
 
+def test_registered_queries_resample_in_full_from_one_stream(spark, data, tmp_path):
+    spark.read.parquet(f"{data}/events.parquet").where("user_id % 12 < 2 and event_id < 300").write.parquet(f"{tmp_path}/events.parquet")
+    ask = lambda name: {r.run_id: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+    ci, floor, whole = ask("op_bootstrap_ci"), ask("op_null_floor"), ask("op_measurement")
+    runs = reading._runs(spark, str(tmp_path)).collect()
+    assert len(runs) == len(whole) == 2
+    for r in runs:
+        (a, b), (c, d), n = r.cx, r.cy, 10_000
+        nx, ny, den = a + b, c + d, 2 * (a + b) * (c + d)
+        apart = lambda x, y: abs(x * ny - y * nx) + abs((nx - x) * ny - (ny - y) * nx)
+        draw = sequential(int(r.seed), n * (2 * nx + ny))
+        nums = sorted(apart(sum([next(draw) % nx < a for _ in range(nx)]), sum([next(draw) % ny < c for _ in range(ny)])) for _ in range(n))
+        pool, total = [1] * (a + c) + [0] * (b + d), 0
+        for _ in range(n):
+            for i in range(nx):
+                j = i + next(draw) % (nx + ny - i)
+                pool[i], pool[j] = pool[j], pool[i]
+            total += apart(sum(pool[:nx]), a + c - sum(pool[:nx]))
+        low, high, pct = nums[n // 40 - 1], nums[n - n // 40 - 1], round(100 * total / (den * n), 6)
+        found = whole[r.run_id]
+        assert (ci[r.run_id].low_num, ci[r.run_id].high_num, ci[r.run_id].den) == (low, high, den)
+        assert floor[r.run_id].null_floor_pct == pytest.approx(pct, abs=1e-6) and found.null_floor_pct == pytest.approx(pct, abs=1e-6)
+        assert found.ci_low_pct == pytest.approx(100 - 100 * high / den, abs=1e-6) and found.ci_high_pct == pytest.approx(100 - 100 * low / den, abs=1e-6)
+        assert found.at_noise_floor == (Fraction(apart(a, c), den) <= Fraction(total, den * n))
+
+
 def test_call_order_is_a_seeded_shuffle():
     order, draw = list(range(20)), sequential(5, 19)
     for i in range(19, 0, -1):
