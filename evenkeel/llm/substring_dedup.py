@@ -18,8 +18,10 @@ in, 128 bits together. No row holds more than one document's pieces; no group is
 gathered except the pieces of one document.
 
 Defined results. Null or empty text has no words and nothing removed. doc_id orders
-documents; a null doc_id comes last. Rows that share a doc_id are one document: their
-equal coordinates are not earlier than each other. Extra columns are ignored.
+documents; a null doc_id comes last. Rows that share a doc_id (or have none) but not the
+text are documents of their own, in the order of a hash of the text; rows that share both
+are one document: their equal coordinates are not earlier than each other. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -43,6 +45,12 @@ def _id(docs: DataFrame) -> Column:
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST))
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """id, print (a hash of the text) and text of every row; id and print name a document."""
+    text = docs["text"].cast("string")
+    return docs.select(_id(docs).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """Index of the leftmost least value in values[i:i + width], for each i."""
     where = np.arange(len(values))
@@ -76,23 +84,23 @@ def path_pieces(words: W.Words, window: int, minimizer: int) -> tuple[np.ndarray
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
-    """id, at, n (edges), key (minimizer), body of every path piece of every document."""
-    names = ["id", "at", "n", "key", "body"]
+    """id, print, at, n (edges), key (minimizer), body of every path piece of every document."""
+    names = ["id", "print", "at", "n", "key", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, edges in W.chunks(batch, "text"):
                 doc, at, n, key, body = path_pieces(W.cut(data, edges), window, minimizer)
-                ids = W.column(part, "id", LAST)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(body)], names)
+                ids, prints = W.column(part, "id", LAST)[doc], W.column(part, "print", 0)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(key), pa.array(body)], names)
 
-    return docs.select(_id(docs).alias("id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "id long, at int, n int, key long, body long")
+    return _texts(docs).mapInArrow(run, "id long, print long, at int, n int, key long, body long")
 
 
 def _edges(texts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
-    """id, at, key, edge of every edge of the opened pieces (id, at, n, key)."""
-    names = ["id", "at", "key", "edge"]
-    mine = opened.groupBy("id").agg(F.collect_list(F.struct("at", "n", "key")).alias("open"))
+    """id, print, at, key, edge of every edge of the opened pieces (id, print, at, n, key)."""
+    names = ["id", "print", "at", "key", "edge"]
+    mine = opened.groupBy("id", "print").agg(F.collect_list(F.struct("at", "n", "key")).alias("open"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,22 +113,22 @@ def _edges(texts: DataFrame, opened: DataFrame, window: int) -> DataFrame:
                 of = np.repeat(np.arange(len(at)), n)
                 local = at[of] + np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
                 start = words.first[doc[of]] + local
-                fits = local + window <= words.counts[doc[of]]  # a clash of doc_id may point past a text's end
+                fits = local + window <= words.counts[doc[of]]  # a clash of prints may point past a text's end
                 of, local, start = of[fits], local[fits], start[fits]
                 edge = words.span_hashes(start, start + window, second=True).view(np.int64)
-                ids = W.column(part, "id", LAST)[doc[of]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(local, pa.int32()), pa.array(key[of]), pa.array(edge)], names)
+                ids, prints = W.column(part, "id", LAST)[doc[of]], W.column(part, "print", 0)[doc[of]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(prints), pa.array(local, pa.int32()), pa.array(key[of]), pa.array(edge)], names)
 
-    return texts.join(mine, "id").select("id", "text", "open").mapInArrow(run, "id long, at int, key long, edge long")
+    return texts.join(mine, ["id", "print"]).select("id", "print", "text", "open").mapInArrow(run, "id long, print long, at int, key long, edge long")
 
 
 def _later(first: str) -> Column:
     """The row's own coordinate comes after `first`."""
-    return F.struct("id", "at") > F.col(first)
+    return F.struct("id", "print", "at") > F.col(first)
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
-    """id, at, length, source_id, source_at: words that repeat an earlier source, window-wise.
+    """id, print, at, length, source_id, source_print, source_at: words that repeat an earlier source, window-wise.
 
     Pieces may overlap; together they cover exactly the words to remove.
     """
@@ -128,33 +136,35 @@ def repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -
     # sums are written before they meet rows again: a join of two plain shuffles splits a hot key
     shared = every.groupBy("key").agg(F.count("*").alias("times"), F.min("body").alias("low"), F.max("body").alias("high")).where("times > 1")
     shared = materialize(shared.select("key", (F.col("low") != F.col("high")).alias("branches")), "op2-shared")
-    again = materialize(every.join(shared, "key").select("id", "at", "n", "key", "body", "branches"), "op2-pieces")
-    place = F.min(F.struct("id", "at")).alias("first")
+    again = materialize(every.join(shared, "key").select("id", "print", "at", "n", "key", "body", "branches"), "op2-pieces")
+    place = F.min(F.struct("id", "print", "at")).alias("first")
     classes = again.groupBy("key", "body").agg(F.first("n").alias("edges"), F.first("branches").alias("opens"), F.count("*").alias("copies"), place)
     classes = materialize(classes.where("copies > 1 or opens"), "op2-classes")
     copies = again.join(classes.where("copies > 1").select("key", "body", "first"), ["key", "body"]).where(_later("first"))
-    whole = copies.select("id", "at", (F.col("n") + window - 1).alias("length"), F.col("first.id").alias("source_id"), F.col("first.at").alias("source_at"))
-    opened = classes.where("opens").select("first.id", "first.at", F.col("edges").alias("n"), "key")
-    edges = _edges(docs.select(_id(docs).alias("id"), docs["text"].cast("string").alias("text")), opened, window)
+    source = [F.col(f"first.{c}").alias(f"source_{c}") for c in ("id", "print", "at")]
+    whole = copies.select("id", "print", "at", (F.col("n") + window - 1).alias("length"), *source)
+    opened = classes.where("opens").select("first.id", "first.print", "first.at", F.col("edges").alias("n"), "key")
+    edges = _edges(_texts(docs), opened, window)
     firsts = edges.groupBy("key", "edge").agg(F.count("*").alias("times"), place).where("times > 1")
     later = edges.join(firsts, ["key", "edge"]).where(_later("first"))
-    return whole.unionByName(later.select("id", "at", F.lit(window).alias("length"), F.col("first.id").alias("source_id"), F.col("first.at").alias("source_at")))
+    return whole.unionByName(later.select("id", "print", "at", F.lit(window).alias("length"), *source))
 
 
 def long_spans(found: DataFrame) -> DataFrame:
     """Compact repeats that adjoin in the document and in their source into maximal spans."""
-    mine = Window.partitionBy("id", "source_id", F.col("source_at") - F.col("at")).orderBy("at")
+    mine = Window.partitionBy("id", "print", "source_id", "source_print", F.col("source_at") - F.col("at")).orderBy("at")
     reach = F.max(F.col("at") + F.col("length")).over(mine.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("path", F.sum(F.when(F.col("at") <= reach, 0).otherwise(1)).over(mine.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("id", "source_id", (F.col("source_at") - F.col("at")).alias("shift"), "path").agg(
+    return marked.groupBy("id", "print", "source_id", "source_print", (F.col("source_at") - F.col("at")).alias("shift"), "path").agg(
         F.min("at").alias("at"), (F.max(F.col("at") + F.col("length")) - F.min("at")).alias("length"), F.min("source_at").alias("source_at")
     ).drop("shift", "path")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (kept_text)."""
-    mine = repeats(docs, window, minimizer).groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("length").alias("length"))
-    texts = docs.select(_id(docs).alias("id"), docs["text"].cast("string").alias("text"))
+    mine = repeats(docs, window, minimizer).groupBy("id", "print").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
+    mine = mine.select("id", "print", F.col("spans.at").alias("at"), F.col("spans.length").alias("length"))
+    texts = _texts(docs)
     names = ["id", "n_words", "n_removed", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,5 +185,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIM
                 gone = words.counts - np.bincount(words.doc, weights=keep, minlength=part.num_rows).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(W.column(part, "id", LAST)), pa.array(words.counts, pa.int64()), pa.array(gone, pa.int64()), kept], names)
 
-    found = texts.join(mine, "id", "left").select("id", "text", "at", "length").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
+    found = texts.join(mine, ["id", "print"], "left").select("id", "text", "at", "length").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
     return found.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text")

@@ -143,6 +143,26 @@ def test_substring_dedup_of_repeated_rows_and_nothing(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_dedup_of_rows_without_an_id_of_their_own(spark):
+    span = lambda c, n: [f"{c}{k}" for k in range(n)]
+    shared, texts = span("s", 30), []
+    for k in range(6):  # the same place in two texts, other places in the others, and texts without the passage
+        texts.append(span(f"a{k}_", 45) if k % 3 == 2 else span(f"a{k}_", 10 * (k // 2)) + shared + span(f"b{k}_", 25))
+    rows = [(i, " ".join(t)) for i in (None, 7) for t in texts]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.n_words) for r in got) == sorted((i is None, len(words(t))) for i, t in rows)
+    kept = Counter((r.doc_id, r.kept_text) for r in got)
+    # without an id all are later than 7: their words go, as copies of those of 7
+    assert kept[(None, "")] == 6
+    mine = [r for r in got if r.doc_id == 7]
+    assert sorted(r.n_removed for r in mine) == [0, 0, 0, 30, 30, 30]
+    alone = substring_dedup.remove_repeats(spark.createDataFrame([r for r in rows if r[0] is None], "doc_id long, text string")).collect()
+    assert sorted(r.n_removed for r in alone) == [0, 0, 0, 30, 30, 30]
+    for t in texts:
+        own = " ".join(w for w in t if w not in shared)
+        assert sum(r.kept_text in (" ".join(t), own) for r in alone) == sum(r.kept_text in (" ".join(t), own) for r in mine) == 1
+
+
 def test_long_spans_join_adjoining_repeats(spark):
     text = " ".join(f"w{k}" for k in range(100))
     df = spark.createDataFrame([(1, text), (2, "head " + text + " tail")], "doc_id long, text string")
