@@ -9,7 +9,9 @@ or more documents recur, and all of their lines are dropped.
 
 Leaves are thinned first: only those with enough lines can hold a recurring template, and
 only their lines, once per distinct line, have their tokens looked at. Sums by leaf, position
-and token are partial before they meet; no leaf is gathered.
+and token are partial before they meet; no leaf is gathered. A line goes through joins as two
+64-bit hashes, of its leaf and of its masked text; the text itself is moved once, for each
+distinct line.
 
 Defined results. Lines end at a line feed; tokens are runs of non-space characters; lines
 without tokens are never dropped and don't count. Null text has no lines. Rows are keyed
@@ -38,7 +40,7 @@ def _has(text: Column, *marks: str) -> Column:
 
 
 def lines_of(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, print, at, masked, leaf of every line with tokens.
+    """doc_id, print, at, leaf, line (hash of masked), masked of every line with tokens.
 
     masked: the line's tokens joined by one space, those with a digit as a variable field.
     Texts and lines that need no rewriting are told apart by cheap scans first.
@@ -54,25 +56,26 @@ def lines_of(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(line)
     rows = cut.select("doc_id", "print", "at", masked.alias("masked")).where("masked <> ''")
     n = F.octet_length("masked") - F.octet_length(F.replace("masked", F.lit(" "), F.lit("")))
-    return rows.withColumn("leaf", F.xxhash64(n, F.substring_index("masked", " ", depth)))
+    return rows.select("doc_id", "print", "at", F.xxhash64(n, F.substring_index("masked", " ", depth)).alias("leaf"), F.xxhash64("masked").alias("line"), "masked")
 
 
 def _templates(lines: DataFrame, least_docs: int, least_constant: float) -> DataFrame:
-    """leaf, masked of each distinct line whose template recurs, from lines of leaves with enough lines."""
-    in_docs = lines.select("leaf", "masked", "doc_id", "print").distinct()
-    distinct = materialize(in_docs.groupBy("leaf", "masked").agg(F.count("*").alias("docs")), "line-distinct")
-    tokens = distinct.select("leaf", "masked", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
+    """leaf, line of each distinct line whose template recurs, from lines of leaves with enough lines."""
+    in_docs = materialize(lines.select("leaf", "line", "doc_id", "print").distinct(), "line-docs")
+    docs = in_docs.groupBy("leaf", "line").agg(F.count("*").alias("docs"))
+    distinct = materialize(lines.groupBy("leaf", "line").agg(F.min("masked").alias("masked")).join(docs, ["leaf", "line"]), "line-distinct")
+    tokens = distinct.select("leaf", "line", "docs", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     common = tokens.groupBy("leaf", "place", "token").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "place", "token", F.lit(True).alias("stays"))
-    marked = tokens.select("leaf", "masked", "place", "token").join(common, ["leaf", "place", "token"], "left")
+    marked = tokens.select("leaf", "line", "place", "token").join(common, ["leaf", "place", "token"], "left")
     field = F.coalesce(F.col("stays"), F.lit(False)) & (F.col("token") != FIELD)
-    shaped = marked.groupBy("leaf", "masked").agg(
+    shaped = marked.groupBy("leaf", "line").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.when(field, F.col("token")).otherwise(FIELD).alias("token")))), lambda p: p["token"]), " ").alias("general"),
         F.avg(field.cast("int")).alias("constant"),
     )
-    shaped = materialize(shaped.select("leaf", "masked", F.xxhash64(F.when(F.col("constant") >= least_constant, F.col("general")).otherwise(F.col("masked"))).alias("template")), "line-templates")
-    seen = in_docs.join(shaped, ["leaf", "masked"]).select("leaf", "template", "doc_id", "print").distinct()
+    shaped = materialize(shaped.select("leaf", "line", F.when(F.col("constant") >= least_constant, F.xxhash64("general")).otherwise(F.col("line")).alias("template")), "line-templates")
+    seen = in_docs.join(shaped, ["leaf", "line"]).select("leaf", "template", "doc_id", "print").distinct()
     recurring = seen.groupBy("leaf", "template").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("leaf", "template")
-    return shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "masked")
+    return materialize(shaped.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "line"), "line-recurring")
 
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST_DOCS, least_constant: float = LEAST_CONSTANT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
@@ -80,7 +83,7 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, least_docs: int = LEAST
     every = lines_of(docs, depth)
     full = materialize(every.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= least_docs).select("leaf"), "line-leaves")
     some = materialize(every.join(F.broadcast(full) if full.count() <= most_broadcast else full, "leaf"), "line-candidates")
-    return some.join(_templates(some, least_docs, least_constant), ["leaf", "masked"], "left_semi").select("doc_id", "print", "at")
+    return some.select("doc_id", "print", "at", "leaf", "line").join(_templates(some, least_docs, least_constant), ["leaf", "line"], "left_semi").select("doc_id", "print", "at")
 
 
 def drop_lines(docs: DataFrame, **how) -> DataFrame:
