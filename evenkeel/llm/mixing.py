@@ -1,26 +1,24 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
-Documents are summed into cells (source, language, topic) of tokens. Raking scales the
-cells' token weights to the target marginals in turn, source, language and topic, for
-`rounds` rounds; each round brings the marginals several times nearer. Calibration goes on
-from there under the bound that no cell gives more tokens than it has: the names of a
-dimension are scaled in turn, each by the factor at which its cells, full ones held at their
-tokens, reach its share of `budget` of all tokens, until every marginal is within
-`TOLERANCE`. A cell's probability is its calibrated tokens over its counted tokens, and a
+Documents are summed into cells (source, language, topic) of tokens. Raking scales the cells'
+weights to the target marginals in turn, source, language and topic, under the bound that no
+cell gives more tokens than it has: a cell's tokens in the sample are the lesser of its weight
+and its tokens, and the cells of a name are scaled by the one factor at which these add up to
+the name's share of `budget` of all tokens. Rounds go on until every marginal is within
+`TOLERANCE`. A cell's probability is its tokens in the sample over its counted tokens, and a
 hash of doc_id decides.
 
 A name that has fewer tokens than its share is kept whole and the other names of its
 dimension share what it lacks; a warning names it. Where no sample meets all marginals at
-once the budget and the topics hold, and a warning tells the gap. `marginals` lists goals, attainable goals
-and expected tokens.
+once the budget and the topics hold after the last round, and a warning tells the gap.
+`marginals` lists goals, attainable goals and expected tokens.
 
 Targets: a marginal's share is its token share to the power `temper`, made to sum to one;
 explicit targets may be given instead. Topic is a property of the text: `tabular` (a bar
 between words), `licensed` (names a license), `long` (2,000 words or more) or `prose`.
 
 Cells are the product of three small vocabularies, already summed, so a hot source is one
-row; each round is three grouped sums and joins over them. Calibration reads the cells on
-the driver. Only DataFrame functions touch documents.
+row, and every round runs over this table of cells alone. Only DataFrame functions are used.
 
 Defined results. Null source or lang is the empty name; a null text has no tokens and
 counts as one token, so that every row lies in a cell of positive weight. Rows with equal
@@ -32,19 +30,19 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.sources.tables import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-ROUNDS, TEMPER, BUDGET = 5, 0.7, 0.5
+TEMPER, BUDGET = 0.7, 0.5
 #: Cells that may be broadcast; more are joined by shuffle.
 MOST_BROADCAST = 20_000
-#: Gap of a marginal, as a share of the sampled tokens, at which calibration ends; rounds after which it gives up.
-TOLERANCE, MOST_ROUNDS = 1e-9, 2_000
+#: Gap of a marginal, as a share of the sampled tokens, at which raking ends; rounds after which it gives up; rounds between two looks.
+TOLERANCE, MOST_ROUNDS, STRIDE = 1e-9, 600, 6
+#: Rounds of the SQL form.
+SQL_ROUNDS = 24
 
 
 def n_tokens(text: Column) -> Column:
@@ -70,116 +68,88 @@ def described(docs: DataFrame) -> DataFrame:
 def targets(cells: DataFrame, dimension: str, temper: float = TEMPER) -> DataFrame:
     """dimension, target: tempered token shares."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens"))
-    raised = sums.select(dimension, F.pow(F.col("tokens").cast("double"), F.lit(temper)).alias("raised"))
-    total = raised.agg(F.sum("raised")).first()[0] or 1.0
-    return raised.select(dimension, (F.col("raised") / F.lit(total)).alias("target"))
+    raised = F.pow(F.col("tokens").cast("double"), F.lit(temper))
+    return sums.select(dimension, (raised / F.sum(raised).over(Window.partitionBy(F.lit(dimension)))).alias("target"))  # a row for each name
 
 
-def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
-    """Cells with `raked`: token shares that meet the goals (dimension, target)."""
-    for d in DIMENSIONS:
-        cells = cells.join(goals[d].withColumnRenamed("target", f"goal_{d}"), d)
-    weighed = materialize(cells.withColumn("raked", F.col("tokens").cast("double")), "mix-goals")
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            scale = weighed.groupBy(d).agg((F.max(f"goal_{d}") / F.sum("raked")).alias("scale"))
-            weighed = weighed.join(scale, d).withColumn("raked", F.col("raked") * F.col("scale")).drop("scale")
-        weighed = materialize(weighed, "mix-raked")
-    return weighed.select(*DIMENSIONS, "tokens", "raked")
-
-
-def attainable(goal: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Goals of at most `most`: what full names lack goes to the others in proportion; the sum stays if it can."""
-    full = np.zeros(len(goal), dtype=bool)
-    while True:
-        left, free = goal.sum() - most[full].sum(), goal[~full].sum()
-        raised = np.where(full, most, goal * (left / free if free > 0 else 1.0))
-        if not (raised[~full] > most[~full]).any():
-            return raised
-        full |= raised > most
+def _factor(rows: DataFrame, cap: Column, weight: Column, goal: Column, by: list[Column], order: list[Column], name: str) -> DataFrame:
+    """rows with `name`: the factor f at which the sum of least(cap, f * weight) within `by` is the goal.
 
+    Rows fill up in the order of cap / weight. With the first k of them full, f would be what
+    the goal leaves over the weights of the others; the sum is the least of these lines, so the
+    factor is the largest f.
+    """
+    line = Window.partitionBy(*by).orderBy(cap / weight, *order)
+    full = F.coalesce(F.sum(cap).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    free = F.sum(weight).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    return rows.withColumn("_line", (goal - full) / free).withColumn(name, F.max("_line").over(Window.partitionBy(*by))).drop("_line")
 
-def _factors(name: np.ndarray, tokens: np.ndarray, weight: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """For each name the factor f at which its sum of least(tokens, f * weight) is the goal.
 
-    The sum is concave in f and linear between the points where a cell fills, so Newton's
-    steps from below never pass the factor and reach it.
-    """
-    total = lambda x: np.bincount(name, x, len(goal))
-    f = goal / total(weight)
-    while True:
-        scaled = f[name] * weight
-        free = total(np.where(scaled < tokens, weight, 0.0))
-        step = np.divide(goal - total(np.minimum(tokens, scaled)), free, out=np.zeros(len(goal)), where=free > 0)
-        if not (step > 1e-13 * f).any():
-            return f
-        f = f + np.maximum(step, 0.0)
+def attainable(cells: DataFrame, goals: dict[str, DataFrame], budget: float) -> DataFrame:
+    """dimension, name, tokens, goal, attainable: goals of at most the tokens there are; what full names lack goes to the others in proportion."""
+    lines = []
+    for d in DIMENSIONS:
+        have = cells.groupBy(F.col(d).alias("name")).agg(F.sum("tokens").cast("double").alias("tokens"))
+        lines.append(have.join(goals[d].select(F.col(d).alias("name"), "target"), "name", "left").select(F.lit(d).alias("dimension"), "name", "tokens", F.greatest(F.coalesce("target", F.lit(0.0)), F.lit(1e-250)).alias("target")))
+    lines = lines[0].unionByName(lines[1]).unionByName(lines[2])
+    whole = Window.partitionBy("dimension")
+    asked = F.sum("tokens").over(whole) * min(budget, 1.0)
+    lines = lines.withColumn("asked", asked).withColumn("goal", F.col("asked") * F.col("target") / F.sum("target").over(whole))
+    lines = _factor(lines, F.col("tokens"), F.col("goal"), F.col("asked"), [F.col("dimension")], [F.col("name")], "factor")
+    return materialize(lines.select("dimension", "name", "tokens", "goal", F.least("tokens", F.col("goal") * F.col("factor")).alias("attainable")), "mix-goals")
 
 
-def calibrate(tokens: np.ndarray, weight: np.ndarray, names: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Tokens to expect of each cell, at most its own, and the largest gap left, as a share of their sum.
+def rake(cells: DataFrame, lines: DataFrame, budget: float = BUDGET, rounds: int | None = None) -> tuple[DataFrame, float]:
+    """Cells with `expected` tokens in the sample, at most their own, that meet the attainable goals, and the largest gap left as a share of the sample.
 
-    names: for each dimension the number of each cell's name; goals: tokens for each name, attainable ones.
+    lines: of `attainable`. Rounds: until all gaps are within TOLERANCE if not given.
     """
-    asked, gap = goals[-1].sum(), np.inf
-    for _ in range(MOST_ROUNDS):
-        for name, goal in zip(names, goals):
-            weight = np.clip(weight * _factors(name, tokens, weight, goal)[name], 1e-250, 1e250)
-        found = np.minimum(tokens, weight)
-        gap = max(np.abs(np.bincount(name, found, len(goal)) - goal).max() for name, goal in zip(names, goals)) / asked
-        if gap <= TOLERANCE:
-            break
-    return found, gap
-
-
-def _solved(raked: DataFrame, goals: dict[str, DataFrame], budget: float) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Cells with their probability, and the marginals."""
-    cells = raked.toPandas().sort_values(list(DIMENSIONS), ignore_index=True)
-    if cells.empty:
-        return cells.assign(probability=0.0), pd.DataFrame(columns=["dimension", "name", "tokens", "goal", "attainable", "expected"])
-    tokens = cells["tokens"].to_numpy(dtype=float)
-    asked = min(budget, 1.0) * tokens.sum()
-    names, wanted, lines = [], [], []
+    weighed = cells.withColumn("cap", F.col("tokens").cast("double")).withColumn("weight", F.col("cap") * min(budget, 1.0))
     for d in DIMENSIONS:
-        name, labels = pd.factorize(cells[d])
-        share = dict(goals[d].select(d, "target").toPandas().itertuples(index=False))
-        goal = np.array([share[k] for k in labels], dtype=float)
-        goal, most = asked * goal / goal.sum(), np.bincount(name, tokens)
-        names.append(name)
-        wanted.append(attainable(goal, most))
-        lines.append(pd.DataFrame({"dimension": d, "name": labels, "tokens": most, "goal": goal, "attainable": wanted[-1]}))
-    short = [f"{d} {k!r}" for d, line in zip(DIMENSIONS, lines) for k in line["name"][line["attainable"] < line["goal"] * (1 - TOLERANCE)]]
-    if short:
-        warnings.warn(f"mixing: fewer tokens than their share, kept whole: {', '.join(short[:20])} ({len(short)} in all)", stacklevel=3)
-    found, gap = calibrate(tokens, tokens.sum() * cells["raked"].to_numpy(dtype=float) * budget, names, wanted)
-    if gap > TOLERANCE:
-        warnings.warn(f"mixing: no sample found that meets all marginals; the largest gap is {gap:.2e} of the sampled tokens", stacklevel=3)
-    marginals = pd.concat([line.assign(expected=np.bincount(name, found)) for line, name in zip(lines, names)], ignore_index=True)
-    return cells.assign(probability=found / tokens), marginals
-
-
-def _cells(docs: DataFrame, rounds: int, temper: float, goals: dict[str, DataFrame] | None) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
-    """The described rows, raked cells, and the goals."""
+        weighed = weighed.join(lines.where(F.col("dimension") == d).select(F.col("name").alias(d), F.col("attainable").alias(f"goal_{d}")), d)
+    weighed = materialize(weighed, "mix-weights")
+    order, expected = [F.col(d) for d in DIMENSIONS], F.least("cap", "weight")
+    done, gap = 0, None
+    while True:
+        for _ in range(min(STRIDE, (rounds or MOST_ROUNDS) - done)):
+            for d in DIMENSIONS:
+                weighed = _factor(weighed, F.col("cap"), F.col("weight"), F.col(f"goal_{d}"), [F.col(d)], order, "factor")
+                weighed = weighed.withColumn("weight", F.least(F.greatest(F.col("weight") * F.col("factor"), F.lit(1e-250)), F.lit(1e250))).drop("factor")
+            done += 1
+        weighed = materialize(weighed, "mix-weights")
+        gaps = [weighed.groupBy(d).agg(F.abs(F.sum(expected) - F.max(f"goal_{d}")).alias("gap"), F.max(f"goal_{d}").alias("goal")) for d in DIMENSIONS]
+        each = [x.agg((F.max("gap") / F.sum("goal")).alias("gap")) for x in gaps]
+        gap = each[0].unionByName(each[1]).unionByName(each[2]).agg(F.max("gap")).first()[0] or 0.0
+        if done >= (rounds or MOST_ROUNDS) or rounds is None and gap <= TOLERANCE:
+            return weighed.select(*DIMENSIONS, "tokens", expected.alias("expected")), gap
+
+
+def _raked(docs: DataFrame, temper: float, budget: float, goals: dict[str, DataFrame] | None, rounds: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The described rows, cells with their expected tokens, and the attainable goals."""
     rows = materialize(described(docs), "mix-rows")
     cells = materialize(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    goals = goals or {d: targets(cells, d, temper) for d in DIMENSIONS}
-    return rows, rake(cells, goals, rounds), goals
+    lines = attainable(cells, goals or {d: targets(cells, d, temper) for d in DIMENSIONS}, budget)
+    short = [f"{r.dimension} {r.name_!r}" for r in lines.where(F.col("attainable") < F.col("goal") * (1 - TOLERANCE)).select("dimension", F.col("name").alias("name_")).limit(20).collect()]
+    if short:
+        warnings.warn(f"mixing: fewer tokens than their share, kept whole (up to 20 named): {', '.join(sorted(short))}", stacklevel=3)
+    found, gap = rake(cells, lines, budget, rounds)
+    if gap > TOLERANCE:
+        warnings.warn(f"mixing: the largest gap of a marginal is {gap:.2e} of the sampled tokens", stacklevel=3)
+    return rows, found, lines
 
 
-def calibrated(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def calibrated(docs: DataFrame, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The described rows, and each cell's probability."""
-    rows, raked, goals = _cells(docs, rounds, temper, goals)
-    cells, _ = _solved(raked, goals, budget)
-    found = list(cells[[*DIMENSIONS, "probability"]].itertuples(index=False, name=None))
-    named = docs.sparkSession.createDataFrame(found, "source string, lang string, topic string, probability double")
-    return rows, F.broadcast(named) if len(found) <= MOST_BROADCAST else named
+    rows, found, _ = _raked(docs, temper, budget, goals, rounds)
+    cells = materialize(found.select(*DIMENSIONS, (F.col("expected") / F.col("tokens")).alias("probability")), "mix-cells")
+    return rows, F.broadcast(cells) if cells.count() <= MOST_BROADCAST else cells
 
 
-def marginals(docs: DataFrame, rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None) -> DataFrame:
+def marginals(docs: DataFrame, temper: float = TEMPER, budget: float = BUDGET, goals: dict[str, DataFrame] | None = None, rounds: int | None = None) -> DataFrame:
     """dimension, name, tokens, goal, attainable goal and expected tokens of the sample."""
-    _, raked, goals = _cells(docs, rounds, temper, goals)
-    lines = list(_solved(raked, goals, budget)[1].itertuples(index=False, name=None))
-    return docs.sparkSession.createDataFrame(lines, "dimension string, name string, tokens double, goal double, attainable double, expected double")
+    _, found, lines = _raked(docs, temper, budget, goals, rounds)
+    sums = [found.groupBy(F.lit(d).alias("dimension"), F.col(d).alias("name")).agg(F.sum("expected").alias("expected")) for d in DIMENSIONS]
+    return lines.join(sums[0].unionByName(sums[1]).unionByName(sums[2]), ["dimension", "name"])
 
 
 def draw(doc_id: Column) -> Column:
@@ -198,34 +168,42 @@ def weigh(docs: DataFrame, **how) -> DataFrame:
 def sample(docs: DataFrame, **how) -> DataFrame:
     """The rows drawn, columns unchanged."""
     _, cells = calibrated(docs, **how)
-    named = cells.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("probability").alias("_chance"))
+    named = cells.select(*(F.col(d).alias(f"cell_{d}") for d in DIMENSIONS), F.col("probability").alias("chance"))
     of = topic(docs["text"], n_tokens(docs["text"]))
-    same = (F.coalesce(docs["source"], F.lit("")) == F.col("_source")) & (F.coalesce(docs["lang"], F.lit("")) == F.col("_lang")) & (of == F.col("_topic"))
-    return docs.join(named, same).where(draw(docs["doc_id"]) < F.col("_chance")).select(*(docs[c] for c in docs.columns))
+    same = (F.coalesce(docs["source"], F.lit("")) == named["cell_source"]) & (F.coalesce(docs["lang"], F.lit("")) == named["cell_lang"]) & (of == named["cell_topic"])
+    return docs.join(named, same).where(draw(docs["doc_id"]) < named["chance"]).select(*(docs[c] for c in docs.columns))
 
 
-def sql(rounds: int = ROUNDS, temper: float = TEMPER, budget: float = BUDGET) -> str:
+def sql(rounds: int = SQL_ROUNDS, temper: float = TEMPER, budget: float = BUDGET) -> str:
     """DuckDB form of `weigh`: the rounds are written out one after another."""
+
+    def factor(cap: str, weight: str, goal: str, by: str, order: str, source: str) -> str:
+        line = f"(PARTITION BY {by} ORDER BY {cap} / {weight}, {order} ROWS BETWEEN"
+        lines = f"SELECT *, ({goal} - coalesce(sum({cap}) OVER {line} UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum({weight}) OVER {line} CURRENT ROW AND UNBOUNDED FOLLOWING) AS line FROM {source}"
+        return f"(SELECT *, max(line) OVER (PARTITION BY {by}) AS factor FROM ({lines}))"
+
     parts = [
         """rows_ AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, text,
   greatest(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0), 1) AS tokens FROM documents)""",
         """told AS (SELECT doc_id, source, lang, CASE WHEN contains(text, ' | ') THEN 'tabular' WHEN contains(text, 'License') THEN 'licensed'
   WHEN tokens >= 2000 THEN 'long' ELSE 'prose' END AS topic, tokens FROM rows_)""",
-        "c0 AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(tokens) AS DOUBLE) AS raked FROM told GROUP BY ALL)",
+        "cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM told GROUP BY ALL)",
+        "have AS (" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS name, sum(tokens) AS tokens FROM cells GROUP BY {d}" for d in DIMENSIONS) + ")",
+        f"asked AS (SELECT *, {budget} * sum(tokens) OVER w AS asked, {budget} * sum(tokens) OVER w * pow(tokens, {temper}) / sum(pow(tokens, {temper})) OVER w AS goal FROM have WINDOW w AS (PARTITION BY dimension))",
+        f"goals AS MATERIALIZED (SELECT dimension, name, least(tokens, goal * factor) AS goal FROM {factor('tokens', 'goal', 'asked', 'dimension', 'name', 'asked')})",
+        f"c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, tokens * {budget} AS weight, "
+        + ", ".join(f"(SELECT goal FROM goals WHERE dimension = '{d}' AND name = {d}) AS goal_{d}" for d in DIMENSIONS)
+        + " FROM cells)",
     ]
-    for d in DIMENSIONS:
-        parts.append(f"g_{d} AS (SELECT {d}, pow(CAST(sum(tokens) AS DOUBLE), {temper}) / sum(pow(CAST(sum(tokens) AS DOUBLE), {temper})) OVER () AS target FROM c0 GROUP BY {d})")
     at = 0
     for _ in range(rounds):
         for d in DIMENSIONS:
-            parts.append(
-                f"c{at + 1} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.raked * (g.target / n.now) AS raked FROM c{at} c"
-                f" JOIN (SELECT {d}, sum(raked) AS now FROM c{at} GROUP BY {d}) n ON n.{d} = c.{d} JOIN g_{d} g ON g.{d} = c.{d})"
-            )
+            found = factor("tokens", "weight", f"goal_{d}", d, ", ".join(DIMENSIONS), f"c{at}")
+            parts.append(f"c{at + 1} AS MATERIALIZED (SELECT * EXCLUDE (line, factor) REPLACE (weight * factor AS weight) FROM {found})")
             at += 1
     return (
         "WITH " + ",\n".join(parts) + f""",
-p AS (SELECT source, lang, topic, least(1.0, {budget} * (SELECT sum(tokens) FROM c0) * raked / tokens) AS probability FROM c{at})
+p AS (SELECT source, lang, topic, least(tokens, weight) / tokens AS probability FROM c{at})
 SELECT t.doc_id, t.source, t.lang, t.topic, CAST(t.tokens AS BIGINT) AS tokens, round(p.probability, 6) AS probability,
   CAST('0x' || substr(md5('mix|' || coalesce(CAST(t.doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656.0 < p.probability AS kept
 FROM told t JOIN p USING (source, lang, topic)"""
