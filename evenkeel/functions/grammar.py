@@ -118,8 +118,19 @@ def classify(rows: DataFrame, options: list[str], version: int) -> DataFrame:
 
 
 def surface_skeleton(text: Column) -> Column:
-    """Letters and digits alone, lower-cased: what a change of spaces and marks leaves as it was."""
-    return F.regexp_replace(F.lower(text), r"(?U)[\W_]+", "")
+    """Letters and digits alone, case-folded: what a change of spaces and marks leaves as it was."""
+    return F.regexp_replace(folded(text), r"(?U)[\W_]+", "")
+
+
+#: Small and capital Cherokee letters: full case folding ends in the capital ones.
+_CHEROKEE = tuple("".join(map(chr, [*range(a, a + 80), *range(b, b + 6)])) for a, b in ((0xAB70, 0x13F8), (0x13A0, 0x13F0)))
+
+
+def folded(text: Column) -> Column:
+    """Full Unicode case folding (ß becomes ss), by way of upper case; the letters for which that way ends elsewhere are set right."""
+    apart = "\uE131"  # stands for the dotless i, which has no fold
+    low = F.lower(F.translate(F.upper(F.translate(F.lower(text), "ı", apart)), apart, "ı"))
+    return F.translate(low, f"ς{_CHEROKEE[0]}", f"σ{_CHEROKEE[1]}")
 
 
 def prompt(template: Column, scenario: Column) -> Column:
@@ -132,7 +143,12 @@ def version_of(protocol_id: Column) -> tuple[Column, Column]:
     return F.when(n != "", F.regexp_extract(protocol_id, r"^(.+)__v(\d+)$", 1)).otherwise(protocol_id), F.when(n != "", n.cast("int")).otherwise(0)
 
 
-def funds_error(status: Column, message: Column, statuses: tuple[int, ...] = (400, 402, 403), marks: tuple[str, ...] = ("credit balance", "billing", "quota")) -> Column:
+# Answers that say the account's funds are spent.
+FUNDS_STATUSES = (400, 402, 403, 429)
+FUNDS_MARKS = ("credit balance is too low", "api usage limits", "reached your specified")
+
+
+def funds_error(status: Column, message: Column, statuses: tuple[int, ...] = FUNDS_STATUSES, marks: tuple[str, ...] = FUNDS_MARKS) -> Column:
     low = F.lower(message)
     hit = F.lit(False)
     for mark in marks:

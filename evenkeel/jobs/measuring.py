@@ -81,15 +81,15 @@ _OWED = """, w AS (SELECT DISTINCT family, model_id FROM registry WHERE event =
 o AS (SELECT DISTINCT 'model_' || (CAST(substr(model_id, 2) AS INTEGER) % 2 + 1) AS new_model, 'p' || lpad(CAST(CAST(substr(model_id, 2) AS INTEGER) AS VARCHAR), 2, '0') AS protocol_id FROM z WHERE e = 'appeared' AND NOT EXISTS (SELECT 1 FROM w WHERE w.family = z.family AND w.model_id = z.model_id))"""
 
 
-@query(with_views("registry history", _OWED + """ SELECT new_model, protocol_id FROM o WHERE NOT EXISTS (SELECT 1 FROM history n JOIN history c ON c.protocol_id = n.protocol_id AND c.model_id = 'model_0' AND abs(date_diff('day', n.run_date, c.run_date)) <= 2
-  WHERE n.protocol_id = o.protocol_id AND n.model_id = o.new_model AND n.run_date >= DATE '2001-06-01')"""))
+@query(with_views("registry history", _OWED + """ SELECT new_model, protocol_id FROM o WHERE NOT EXISTS (SELECT 1 FROM history n JOIN history c ON c.protocol_id = n.protocol_id AND c.model_id = 'model_0' AND c.series = n.series AND c.on_curve AND n.on_curve AND abs(date_diff('day', n.run_date, c.run_date)) <= 7
+  WHERE n.protocol_id = o.protocol_id AND n.model_id = o.new_model)"""))
 def op_bridge_missing(spark: SparkSession, folder: str) -> DataFrame:
     k = F.substr("model_id", F.lit(2)).cast("int")
     owed = L.owed(registry(spark, folder)).select(F.concat(F.lit("model_"), (k % 2 + 1).cast("string")).alias("new_model"), F.concat(F.lit("p"), F.lpad(k.cast("string"), 2, "0")).alias("protocol_id")).distinct()
     rows = history(spark, folder)
-    new = rows.where((F.col("model_id") != "model_0") & (F.col("run_date") >= F.lit("2001-06-01").cast("date"))).select("protocol_id", F.col("model_id").alias("new_model"), F.col("run_date").alias("new_day"))
-    now = rows.where("model_id = 'model_0'").select("protocol_id", F.col("run_date").alias("now_day"))
-    done = H.near(new, now, ["protocol_id"], "new_day", "now_day", 2).select("new_model", "protocol_id").distinct()
+    new = rows.where("model_id <> 'model_0' and on_curve").select("protocol_id", "series", F.col("model_id").alias("new_model"), F.col("run_date").alias("new_day"))
+    now = rows.where("model_id = 'model_0' and on_curve").select("protocol_id", "series", F.col("run_date").alias("now_day"))
+    done = H.near(new, now, ["protocol_id", "series"], "new_day", "now_day").select("new_model", "protocol_id").distinct()
     return owed.join(done, ["new_model", "protocol_id"], "left_anti")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import grammar as G
 from evenkeel.functions import hashing as S
 from evenkeel.functions.exact import published
-from evenkeel.operators import counts, protocols as P, resampling as R
+from evenkeel.operators import admission, counts, protocols as P, resampling as R, rewording
 from evenkeel.sources.derived import history, protocols, responses, trials, with_views
 from evenkeel.sources.tables import table
 
@@ -59,7 +59,7 @@ def op_classify(spark: SparkSession, folder: str) -> DataFrame:
     return G.classify(responses(spark, folder), ["A", "B"], 2).select("conv_id", "turn", "outcome", "token", "reason")
 
 
-@query(" SELECT conv_id, turn, sha256(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')) AS skeleton_sha256, length(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g')) AS n_chars FROM conversations")
+@query(" WITH s AS (SELECT conv_id, turn, regexp_replace(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[^\\p{L}\\p{N}]+', '', 'g') AS bare FROM conversations) SELECT conv_id, turn, sha256(bare) AS skeleton_sha256, length(bare) AS n_chars FROM s")
 def op_surface_skeleton(spark: SparkSession, folder: str) -> DataFrame:
     bare = G.surface_skeleton(F.col("text"))
     return table(spark, folder, "conversations").select("conv_id", "turn", F.sha2(bare, 256).alias("skeleton_sha256"), F.char_length(bare).cast("long").alias("n_chars"))
@@ -71,12 +71,16 @@ def op_prompt_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", F.sha2(made, 256).alias("prompt_sha256"))
 
 
-@query(""" SELECT event_id, event_type, (event_id % 5 IN (0, 2) AND event_id % 7 < 3) AS funds_error FROM events""")
+_SAID = ["Your CREDIT balance is too low to access the API", "You have reached your specified API usage limits", "Invalid billing address field", "rate limit exceeded", "Number of API usage limits reached", "try again", None]
+
+
+@query(f""" WITH e AS (SELECT event_id, event_type, ([400, 401, 402, 403, 429, 500, NULL])[event_id % 7 + 1] AS status, ({_SAID!r})[user_id % {len(_SAID)} + 1] AS said FROM events)
+SELECT event_id, event_type, coalesce(status IN (400, 402, 403, 429) AND (contains(lower(said), 'credit balance is too low') OR contains(lower(said), 'api usage limits') OR contains(lower(said), 'reached your specified')), false) AS funds_error FROM e""".replace("None", "NULL"))
 def op_funds_errors(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("event_id")
-    status = F.when(k % 5 == 0, 400).when(k % 5 == 2, 402).otherwise(500)
-    message = F.when(k % 7 == 0, "Your CREDIT balance is too low").when(k % 7 == 1, "Billing hold").when(k % 7 == 2, "over quota").otherwise("try again")
-    return table(spark, folder, "events").select("event_id", "event_type", G.funds_error(status, message).alias("funds_error"))
+    e = table(spark, folder, "events").select("event_id", "event_type", "user_id")
+    status = F.element_at(F.array(*map(F.lit, (400, 401, 402, 403, 429, 500, None))), (F.col("event_id") % 7 + 1).cast("int"))
+    message = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("user_id") % len(_SAID) + 1).cast("int"))
+    return e.select("event_id", "event_type", G.funds_error(status, message).alias("funds_error"))
 
 
 @query(""" SELECT conv_id, count(*) FILTER (WHERE role = 'assistant') AS blocks, CAST(coalesce(length(string_agg(text, chr(10) ORDER BY turn) FILTER (WHERE role = 'assistant')), -1) AS BIGINT) AS n_chars FROM conversations GROUP BY conv_id""")
@@ -152,14 +156,14 @@ def op_guard_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return P.rotation(days, guards).withColumn("day", F.col("day").cast("string"))
 
 
-_MANIFESTS = ", m AS (SELECT DISTINCT 'x' || l_partkey AS id, sha256('panel' || (l_partkey % 300)) AS panel, sha256('protocol' || l_partkey) AS protocol FROM lineitem WHERE l_quantity < 3)"
+_MANIFESTS = ", m AS (SELECT DISTINCT 'x' || l_partkey AS id, sha256('panel' || (l_partkey % 300)) AS panel, sha256('protocol' || l_partkey) AS protocol FROM lineitem WHERE l_returnflag = 'N')"
 
 
 @query(with_views("protocols", _MANIFESTS + " SELECT place, protocol_id FROM protocols p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.panel = p.panel_sha256 AND m.protocol = p.protocol_sha256)"))
 def op_prereg_anti(spark: SparkSession, folder: str) -> DataFrame:
     p = protocols(spark, folder)
     k = F.col("l_partkey")
-    stamped = table(spark, folder, "lineitem").where("l_quantity < 3").select(k.alias("place"), F.sha2(F.concat(F.lit("panel"), (k % 300).cast("string")), 256).alias("panel_sha256"), F.sha2(F.concat(F.lit("protocol"), k.cast("string")), 256).alias("protocol_sha256"))
+    stamped = table(spark, folder, "lineitem").where("l_returnflag = 'N'").select(k.alias("place"), F.sha2(F.concat(F.lit("panel"), (k % 300).cast("string")), 256).alias("panel_sha256"), F.sha2(F.concat(F.lit("protocol"), k.cast("string")), 256).alias("protocol_sha256"))
     manifests = stamped.join(p.select("place", "protocol_id"), "place").drop("place")
     return P.not_preregistered(p, manifests).select("place", "protocol_id")
 
@@ -208,22 +212,146 @@ def op_structure_rules(spark: SparkSession, folder: str) -> DataFrame:
     return P.structure_rules(scenarios(spark, folder)).withColumn("broken", F.array_join("broken", ","))
 
 
-@query(""" WITH s AS (SELECT p_partkey AS place, p_partkey % 4 AS kind, p_partkey % 10 AS d FROM part)
-SELECT place, CASE kind WHEN 0 THEN CASE WHEN d = 0 THEN 'another line differs' WHEN d = 2 THEN 'identical' END WHEN 1 THEN CASE WHEN d = 1 THEN 'identical' WHEN d = 3 THEN 'not a reordering' END
-  WHEN 2 THEN CASE WHEN d = 0 THEN 'default not switched' WHEN d = 2 THEN 'not exactly one line differs' END ELSE CASE WHEN d = 1 THEN 'not a number' WHEN d = 3 THEN 'anchor appears elsewhere' END END AS broken FROM s""")
+# Pairs of texts that keep or break each rule; {k} is the part's number.
+_REWORDINGS = [
+    ("wording", "risky_choice_framing", "Case {k}.\nPlan A: keep 40 of 90.\nPlan B: a chance.", "Case {k}.\nPlan A: lose 50 of 90.\nPlan B: a chance."),
+    ("wording", "risky_choice_framing", "Case {k}.\nPlan A: keep 40 of 90.\nPlan B: a chance.", "Item {k}.\nPlan A: lose 50 of 90.\nPlan B: a chance."),
+    ("wording", "risky_choice_framing", "Case {k}.\nPlan A: keep 40 of 90.", "Case {k}.\nPlan A: keep 40 of 90."),
+    ("wording", "risky_choice_framing", "Case {k}.\nPlan A: keep 40 of 90.", "Case {k}.\nPlan A: keep 40 of 90.\nPlan B: none."),
+    ("wording", "sunk_cost_fallacy", "So far, €{k} has been spent.\nOption A: stop and save.\nOption B: go on.", "So far, €{k} has been spent.\nOption A: stop, giving up the €{k} already spent, and save.\nOption B: go on."),
+    ("wording", "sunk_cost_fallacy", "So far, €{k} has been spent.\nOption A: stop and save.\nOption B: go on.", "So far, €{k} has been spent.\nOption A: stop, giving up the €9{k} already spent, and save.\nOption B: go on."),
+    ("wording", "sunk_cost_fallacy", "So far {k} was spent.\nOption A: stop.", "So far {k} was spent.\nOption A: halt."),
+    ("wording", "sunk_cost_fallacy", "So far, €{k} has been spent.\nOption A: stop.\nOption B: go.", "So far, €{k} has been spent.\nOption A: halt.\nOption B: run."),
+    ("wording", "base_rate_neglect", "Test {k}.\n2% of the parts are faulty. It wrongly flags 50% of the rest.\nOption A: x", "Test {k}.\nOut of every 1,000 parts, 20 are faulty. It wrongly flags 490 of the rest.\nOption A: x"),
+    ("wording", "base_rate_neglect", "Test {k}.\n2% of the parts are faulty. It wrongly flags 50% of the rest.\nOption A: x", "Test {k}.\nOut of every 1,000 parts, 20 are faulty. It wrongly flags 500 of the rest.\nOption A: x"),
+    ("wording", "base_rate_neglect", "Test {k}.\n2% of the parts are faulty. It wrongly flags 50% of the rest.\nOption A: x", "Trial {k}.\nOut of every 1,000 parts, 20 are faulty. It wrongly flags many.\nOption A: y"),
+    ("wording", "base_rate_neglect", "Test {k}.\nOption A: x", "Test {k}.\nOption A: x"),
+    ("wording", "mental_accounting", "Test {k}.", "Trial {k}."),
+    ("order", "any", "Case {k}.\nPlan A: one.\nPlan B: two.", "Case {k}.\nPlan B: two.\nPlan A: one."),
+    ("order", "any", "Case {k}.\nPlan A: one.\nPlan B: two.", "Case {k}.\nPlan A: one.\nPlan B: two."),
+    ("order", "any", "Case {k}.\nPlan A: one.\nPlan B: two.", "Case {k}.\nPlan B: three.\nPlan A: one."),
+    ("order", "any", "Case {k}.\nNote.\nPlan A: one.\nPlan B: two.", "Note.\nCase {k}.\nPlan B: two.\nPlan A: one."),
+    ("default", "any", "Case {k}.\nPlan A is chosen by default.\nPlan A: x.", "Case {k}.\nPlan B is chosen by default.\nPlan A: x."),
+    ("default", "any", "Case {k}.\nPlan A is chosen by default.\nPlan A: x.", "Case {k}.\nPlan B is picked by default.\nPlan A: x."),
+    ("default", "any", "Case {k}.\nPlan A is chosen by default.\nPlan A: x.", "Case {k}.\nPlan A is picked by default.\nPlan A: x."),
+    ("default", "any", "Case {k}.\nPlan A is chosen.\nPlan A: x.", "Case {k}.\nPlan B is chosen.\nPlan A: x."),
+    ("default", "any", "Case {k}.\nPlan A is chosen by default.", "Case {k}.\nPlan A is chosen by default."),
+    ("anchoring", "any", "Someone said 5{k}, then left. Cost: 31 (about).", "Someone said 9{k}, then left. Cost: 31 (about)."),
+    ("anchoring", "any", "Someone said 5{k}, then left. Cost: 31 (about).", "Someone said many, then left. Cost: 31 (about)."),
+    ("anchoring", "any", "Someone said 500, then left. Cost {k}: (31%).", "Someone said 31, then left. Cost {k}: (31%)."),
+    ("anchoring", "any", "Someone said 5{k} and left.", "Someone said 9{k} and went."),
+    ("framing", "any", "Case {k}.", "Item {k}."),
+]
+
+
+def _rules_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    values = ", ".join(f"({i}, '{kind}', '{family}', {quoted(a)}, {quoted(b)})" for i, (kind, family, a, b) in enumerate(_REWORDINGS))
+    option = "'^(Plan|Option) [AB]:'"
+    return f""" WITH v(i, kind, family, a, b) AS (VALUES {values}),
+t AS (SELECT p_partkey AS place, kind, family, replace(a, '{{k}}', CAST(p_partkey AS VARCHAR)) AS a, replace(b, '{{k}}', CAST(p_partkey AS VARCHAR)) AS b FROM part JOIN v ON v.i = p_partkey % {len(_REWORDINGS)}),
+l AS (SELECT *, string_split(a, chr(10)) AS la, string_split(b, chr(10)) AS lb, string_split_regex(a, '\\s+') AS ta, string_split_regex(b, '\\s+') AS tb FROM t),
+d AS (SELECT *, list_filter(range(1, len(la) + 1), lambda i: la[i] IS DISTINCT FROM lb[i]) AS dl, list_filter(range(1, len(ta) + 1), lambda i: ta[i] IS DISTINCT FROM tb[i]) AS dt,
+  list_filter(la, lambda x: regexp_matches(x, {option})) AS oa, list_filter(lb, lambda x: regexp_matches(x, {option})) AS ob, list_filter(la, lambda x: NOT regexp_matches(x, {option})) AS ra, list_filter(lb, lambda x: NOT regexp_matches(x, {option})) AS rb FROM l),
+s AS (SELECT *, len(la) = len(lb) AND len(dl) = 1 AS single, la[dl[1]] AS x, lb[dl[1]] AS y, len(ta) = len(tb) AND len(dt) = 1 AS one, rtrim(ta[dt[1]], '.,;') AS p, rtrim(tb[dt[1]], '.,;') AS q,
+  list_transform(list_filter(ta, lambda w: w <> ta[dt[1]]), lambda w: trim(w, '.,;:€%()')) AS rest, regexp_extract(a, 'So far, €(\\d[\\d,]*) has been spent', 1) AS spent,
+  try_cast(regexp_extract(a, '(\\d+)% of the .* are \\w+', 1) AS BIGINT) AS r1, try_cast(regexp_extract(a, 'wrongly flags (\\d+)%', 1) AS BIGINT) AS r2,
+  try_cast(regexp_extract(b, 'Out of every 1,000 .*?, (\\d+) are ', 1) AS BIGINT) AS r3, try_cast(regexp_extract(b, 'wrongly flags (\\d+)', 1) AS BIGINT) AS r4 FROM d),
+z AS (SELECT *, regexp_extract(x, '(Plan|Option) ([AB])\\b', 2) AS lx, regexp_extract(y, '(Plan|Option) ([AB])\\b', 2) AS ly, r1 IS NOT NULL AND r2 IS NOT NULL AND r3 IS NOT NULL AND r4 IS NOT NULL AS known FROM s)
+SELECT place, CASE
+  WHEN kind = 'order' THEN concat_ws(',', CASE WHEN ra <> rb THEN 'other_lines_changed' END, CASE WHEN list_sort(oa) <> list_sort(ob) THEN 'options_changed' END, CASE WHEN oa = ob THEN 'options_not_moved' END)
+  WHEN kind = 'default' THEN concat_ws(',', CASE WHEN NOT single THEN 'not_one_line' END, CASE WHEN single AND NOT (contains(x, 'by default') AND contains(y, 'by default')) THEN 'no_default_sentence' END,
+    CASE WHEN single AND (lx = '' OR ly = '' OR lx = ly) THEN 'not_switched' END, CASE WHEN single AND regexp_replace(x, '(Plan|Option) ([AB])\\b', '#', 'g') <> regexp_replace(y, '(Plan|Option) ([AB])\\b', '#', 'g') THEN 'more_than_the_letter' END)
+  WHEN kind = 'anchoring' THEN concat_ws(',', CASE WHEN NOT one THEN 'not_one_token' END, CASE WHEN one AND NOT (regexp_full_match(p, '\\d[\\d,]*') AND regexp_full_match(q, '\\d[\\d,]*')) THEN 'not_a_number' END, CASE WHEN one AND (list_contains(rest, p) OR list_contains(rest, q)) THEN 'anchor_repeated' END)
+  WHEN kind = 'wording' AND family = 'risky_choice_framing' THEN concat_ws(',', CASE WHEN la = lb THEN 'unchanged' END, CASE WHEN len(la) <> len(lb) THEN 'line_count' END, CASE WHEN len(la) = len(lb) AND len(list_filter(dl, lambda i: NOT regexp_matches(la[i], {option}))) > 0 THEN 'other_line_changed' END)
+  WHEN kind = 'wording' AND family = 'sunk_cost_fallacy' THEN concat_ws(',', CASE WHEN NOT single THEN 'not_one_line' END, CASE WHEN spent = '' THEN 'no_amount' END, CASE WHEN single AND spent <> '' AND replace(y, ', giving up the €' || spent || ' already spent,', '') <> x THEN 'not_the_phrase' END)
+  WHEN kind = 'wording' AND family = 'base_rate_neglect' THEN concat_ws(',', CASE WHEN a = b THEN 'unchanged' END, CASE WHEN oa <> ob THEN 'options_changed' END, CASE WHEN NOT known THEN 'no_rates' END, CASE WHEN known AND (r3 <> r1 * 10 OR r4 * 100 <> r2 * (1000 - r3)) THEN 'rates_differ' END, CASE WHEN la[1] <> lb[1] THEN 'opening_changed' END)
+  ELSE 'no_rule' END AS broken FROM z"""
+
+
+@query(_rules_sql())
 def op_conformance(spark: SparkSession, folder: str) -> DataFrame:
-    k = F.col("p_partkey")
-    d, kind = k % 10, k % 4
-    plain = F.concat(F.lit("Case "), k.cast("string"), F.lit(".\nPlan A: keep 40 of 90.\nPlan B: chance on 7."))
-    names = F.element_at(F.array(*map(F.lit, ("wording", "order", "default", "anchoring"))), (kind + 1).cast("int"))
-    default = F.concat(F.lit("Case.\nPlan A is chosen by default.\nPlan A: x.\nPlan B: y. "), k.cast("string"))
-    a = F.when(kind == 2, default).when(kind == 3, F.concat(F.lit("Someone said "), F.lit("500 first. Cost: 31, then go."))).otherwise(plain)
-    wording = F.when(d == 0, F.replace(plain, F.lit("Case "), F.lit("Item "))).when(d == 2, plain).otherwise(F.replace(plain, F.lit("keep 40 of 90"), F.lit("lose 50 of 90")))
-    order = F.when(d == 1, plain).when(d == 3, F.replace(plain, F.lit("chance"), F.lit("gamble"))).otherwise(F.concat(F.lit("Case "), k.cast("string"), F.lit(".\nPlan B: chance on 7.\nPlan A: keep 40 of 90.")))
-    switched = F.when(d == 0, F.replace(default, F.lit("Plan A is chosen by"), F.lit("Plan A is picked by"))).when(d == 2, default).otherwise(F.replace(default, F.lit("Plan A is"), F.lit("Plan B is")))
-    anchored = F.when(d == 1, F.lit("Someone said many first. Cost: 31, then go.")).when(d == 3, F.lit("Someone said 31 first. Cost: 31, then go.")).otherwise(F.lit("Someone said 900 first. Cost: 31, then go."))
-    b = F.when(kind == 0, wording).when(kind == 1, order).when(kind == 2, switched).otherwise(anchored)
-    return table(spark, folder, "part").select(k.alias("place"), P.conformance(names, a, b).alias("broken"))
+    cases = spark.createDataFrame([(i, *case) for i, case in enumerate(_REWORDINGS)], "i int, kind string, family string, a string, b string")
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("place"), (F.col("p_partkey") % len(_REWORDINGS)).cast("int").alias("i"))
+    filled = lambda c: F.replace(F.col(c), F.lit("{k}"), F.col("place").cast("string"))
+    broken = rewording.broken_rules(F.col("kind"), F.col("family"), filled("a"), filled("b"))
+    return parts.join(F.broadcast(cases), "i").select("place", F.array_join(broken, ",").alias("broken"))
+
+
+_VERSIONS = ("A", "A_prime", "B", "C")
+
+
+def declared_protocols(spark: SparkSession, folder: str) -> DataFrame:
+    """A protocol for each part, of three scenarios, most of them sound; hashes are right before the flaws are put in."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("name"), F.col("p_size").cast("long").alias("size"))
+    k = F.col("place")
+
+    def scenario(i: int):
+        text = F.concat(F.lit(f"Case {i}: "), F.col("name"), F.lit(". Plan A or Plan B?"))
+        prime = F.when(k % 37 == i, F.concat(text, F.lit(" Now."))).when(k % 41 == i, text).otherwise(F.concat(F.replace(text, F.lit(". "), F.lit(" -\n")), F.lit("!")))
+        texts = {"A": text, "A_prime": prime, "B": F.upper(text), "C": F.when(k % 43 == i, F.lit(" \n")).otherwise(F.reverse(text))}
+        broken = F.when(k % 47 == i, F.lit(None).cast("array<string>")).when(k % 53 == i, F.array(F.lit("uneven_values"))).otherwise(F.array().cast("array<string>"))
+        options = F.when(k % 59 == i, F.array(F.lit("A"), F.lit("C"))).otherwise(F.col("options"))
+        name = F.when(k % 61 == i, F.lit("s0")).otherwise(F.lit(f"s{i}"))
+        versions = F.when(k % 67 == i, F.lit(None)).otherwise(F.struct(*(texts[v].alias(v) for v in _VERSIONS)))
+        return F.struct(name.alias("scenario_id"), options.alias("options"), versions.alias("versions"), broken.alias("broken"))
+
+    rows = parts.withColumn("options", F.when(k % 71 == 3, F.array(F.lit("A"), F.lit("*a*."))).otherwise(F.array(F.lit("A"), F.lit("B"))))
+    rows = rows.withColumns({
+        "protocol_id": F.concat(F.lit("p"), k.cast("string")), "family": F.concat(F.lit("family_"), F.col("size").cast("string")),
+        "rewording_type": F.when(k % 73 == 5, "tone").when(k % 2 == 0, "order").otherwise("wording"), "status": F.when(k % 9 == 0, "candidate").otherwise("admitted"),
+        "lane": F.when((k % 9 != 0) | (k % 27 == 0), F.when(k % 2 == 0, "open").when(k % 79 == 5, "hidden").otherwise("guard")), "twin_id": F.when(k % 5 != 0, F.concat(F.lit("p"), (k + k % 7).cast("string"))),
+        "n": (F.col("size") * F.when(k % 83 == 7, 4).otherwise(3)).cast("long"), "n_per_scenario": F.col("size"), "effort": F.when(k % 89 == 2, "high").otherwise("disabled"), "grammar_version": (k % 31 % 3 + 1).cast("long"),
+        "prompt_template": F.when(k % 97 == 4, "Read this.").when(k % 101 == 4, F.lit(None)).otherwise('Read "this": {scenario}'), "theta_positive_pct": F.lit(10).cast("long"), "scenario_dominated_share_pct": F.lit(50).cast("long"),
+        "scenarios": F.array(*map(scenario, range(3))),
+    })
+    panel = admission.panel_sha256(F.col("scenarios"))
+    rows = rows.withColumn("panel_sha256", F.when(k % 103 == 6, F.sha2(F.lit("other"), 256)).otherwise(panel))
+    return rows.withColumn("protocol_sha256", F.when(k % 107 == 8, F.lit("0")).otherwise(admission.protocol_sha256()))
+
+
+def _admission_sql() -> str:
+    def scenario(i: int) -> str:
+        text = f"'Case {i}: ' || name || '. Plan A or Plan B?'"
+        prime = f"CASE WHEN k % 37 = {i} THEN {text} || ' Now.' WHEN k % 41 = {i} THEN {text} ELSE replace({text}, '. ', ' -' || chr(10)) || '!' END"
+        versions = f"CASE WHEN k % 67 = {i} THEN NULL ELSE {{'A': {text}, 'A_prime': {prime}, 'B': upper({text}), 'C': CASE WHEN k % 43 = {i} THEN ' ' || chr(10) ELSE reverse({text}) END}} END"
+        name = f"CASE WHEN k % 61 = {i} THEN 's0' ELSE 's{i}' END"
+        options = f"CASE WHEN k % 59 = {i} THEN ['A', 'C'] ELSE options END"
+        broken = f"CASE WHEN k % 47 = {i} THEN NULL WHEN k % 53 = {i} THEN ['uneven_values'] ELSE [] END"
+        return f"{{'options': {options}, 'scenario_id': {name}, 'versions': {versions}, 'broken': {broken}}}"
+
+    skeleton = lambda x: f"regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+    whole = "s.versions IS NOT NULL"
+    tests = {
+        "other_options": "s.options <> options", "versions_missing": f"NOT ({whole})",
+        "empty_version": f"{whole} AND len(list_filter([s.versions.A, s.versions.A_prime, s.versions.B, s.versions.C], lambda t: trim(t, ' ' || chr(10)) = '')) > 0",
+        "null_change_too_large": f"{whole} AND {skeleton('s.versions.A')} <> {skeleton('s.versions.A_prime')}", "null_change_missing": f"{whole} AND s.versions.A = s.versions.A_prime", "no_structure": f"{whole} AND s.broken IS NULL",
+    }
+    faults = ", ".join(f"list_transform(list_filter(scenarios, lambda s: {test}), lambda s: '{name}:' || s.scenario_id)" for name, test in tests.items())
+    rules = {
+        "unknown_type": "rewording_type NOT IN ('wording', 'order', 'default', 'anchoring')", "unknown_lane": "lane NOT IN ('open', 'guard', 'sealed')", "candidate_has_lane": "status = 'candidate' AND lane IS NOT NULL",
+        "candidate_has_twin": "status = 'candidate' AND twin_id IS NOT NULL", "open_without_twin": "status = 'admitted' AND lane = 'open' AND twin_id IS NULL", "own_twin": "twin_id = protocol_id", "unknown_grammar": "grammar_version NOT IN (1, 2)",
+        "effort_not_disabled": "effort <> 'disabled'", "no_placeholder": "NOT contains(prompt_template, '{scenario}')", "options_collide": "len(list_distinct(list_transform(options, lambda o: rtrim(lower(replace(o, '*', '')), '.')))) <> len(options)",
+        "duplicate_scenario": "len(list_distinct(list_transform(scenarios, lambda s: s.scenario_id))) <> len(scenarios)", "wrong_n": "n <> n_per_scenario * len(scenarios)", "panel_hash": "panel_sha256 <> panel", "protocol_hash": "protocol_sha256 <> protocol",
+    }
+    broken = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in rules.items())
+    return f""" WITH r AS (SELECT p_partkey AS k, p_name AS name, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 71 = 3 THEN ['A', '*a*.'] ELSE ['A', 'B'] END AS options FROM part),
+q AS (SELECT *, 'p' || k AS protocol_id, 'family_' || size AS family, CASE WHEN k % 73 = 5 THEN 'tone' WHEN k % 2 = 0 THEN 'order' ELSE 'wording' END AS rewording_type, CASE WHEN k % 9 = 0 THEN 'candidate' ELSE 'admitted' END AS status,
+  CASE WHEN k % 9 <> 0 OR k % 27 = 0 THEN CASE WHEN k % 2 = 0 THEN 'open' WHEN k % 79 = 5 THEN 'hidden' ELSE 'guard' END END AS lane, CASE WHEN k % 5 <> 0 THEN 'p' || (k + k % 7) END AS twin_id,
+  size * CASE WHEN k % 83 = 7 THEN 4 ELSE 3 END AS n, size AS n_per_scenario, CASE WHEN k % 89 = 2 THEN 'high' ELSE 'disabled' END AS effort, k % 31 % 3 + 1 AS grammar_version,
+  CASE WHEN k % 97 = 4 THEN 'Read this.' WHEN k % 101 = 4 THEN NULL ELSE 'Read "this": {{scenario}}' END AS prompt_template, [{", ".join(map(scenario, range(3)))}] AS scenarios FROM r),
+h AS (SELECT *, sha256(to_json(list_transform(scenarios, lambda s: {{'options': s.options, 'scenario_id': s.scenario_id, 'versions': s.versions}}))) AS panel FROM q),
+g AS (SELECT *, CASE WHEN k % 103 = 6 THEN sha256('other') ELSE panel END AS panel_sha256 FROM h),
+j AS (SELECT *, sha256(to_json({{'effort': effort, 'family': family, 'grammar_version': grammar_version, 'n': n, 'n_per_scenario': n_per_scenario, 'options': options, 'panel_sha256': panel_sha256, 'prompt_template': prompt_template, 'rewording_type': rewording_type, 'scenario_dominated_share_pct': 50, 'theta_positive_pct': 10}})) AS protocol FROM g),
+f AS (SELECT *, CASE WHEN k % 107 = 8 THEN '0' ELSE protocol END AS protocol_sha256 FROM j)
+SELECT k AS place, CASE WHEN prompt_template IS NULL THEN 'missing prompt_template' ELSE concat_ws(',', {broken}) END AS broken,
+  CASE WHEN prompt_template IS NULL THEN '' ELSE array_to_string(list_sort(flatten([{faults}, flatten(list_transform(scenarios, lambda s: list_transform(coalesce(s.broken, []), lambda b: b || ':' || s.scenario_id)))])), ',') END AS scenario_faults FROM f"""
+
+
+@query(_admission_sql())
+def op_admission(spark: SparkSession, folder: str) -> DataFrame:
+    found = admission.broken_rules(declared_protocols(spark, folder))
+    return found.select("place", F.array_join("broken", ",").alias("broken"), F.array_join("scenario_faults", ",").alias("scenario_faults"))
 
 
 def _runs(spark: SparkSession, folder: str) -> DataFrame:
@@ -238,7 +366,7 @@ _MIX = "xor({z}, {z} >> 31)"
 @query(with_views("trials", """, c AS (SELECT run_id, count(*) FILTER (WHERE version = 'A' AND token = 'A') AS xa, count(*) FILTER (WHERE version = 'A' AND token = 'B') AS xb,
   count(*) FILTER (WHERE version = 'B' AND token = 'A') AS ya, count(*) FILTER (WHERE version = 'B' AND token = 'B') AS yb FROM trials GROUP BY run_id),
 s AS (SELECT *, CAST('0x' || substr(sha256(run_id || '‖2026-01-31‖model'), 1, 16) AS UBIGINT)::UHUGEINT AS seed, xa + xb AS nx, ya + yb AS ny FROM c),
-d AS (SELECT run_id, xa, ya, nx, ny, seed, b, k FROM s, LATERAL (SELECT unnest(range(0, 100)) AS b), LATERAL (SELECT unnest(range(0, s.nx + s.ny)) AS k)),
+d AS (SELECT run_id, xa, ya, nx, ny, seed, b, k FROM s, LATERAL (SELECT unnest(range(0, 10000)) AS b), LATERAL (SELECT unnest(range(0, s.nx + s.ny)) AS k)),
 z0 AS (SELECT *, (seed + (b * (nx + ny) + k + 1)::UHUGEINT * 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM d),
 z1 AS (SELECT * REPLACE ((xor(z, z >> 30) * 13787848793156543929::UHUGEINT) % 18446744073709551616::UHUGEINT AS z) FROM z0),
 z2 AS (SELECT * REPLACE ((xor(z, z >> 27) * 10723151780598845931::UHUGEINT) % 18446744073709551616::UHUGEINT AS z) FROM z1),

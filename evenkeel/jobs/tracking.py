@@ -100,14 +100,14 @@ def op_registry_state(spark: SparkSession, folder: str) -> DataFrame:
     return L.listed_models(registry(spark, folder))
 
 
-@query(with_views("registry", _KNOWN.replace("registry", "old") .replace(", k AS", ", old AS (SELECT * FROM registry WHERE family <> 'signup'), k AS") + """, g AS (SELECT DISTINCT event_type AS family, 'm' || ((user_id * 7) % 71) AS model_id FROM events WHERE event_id % 4 = 1),
+@query(with_views("registry", _KNOWN.replace("registry", "old") .replace(", k AS", ", old AS (SELECT * FROM registry WHERE family <> 'signup'), k AS") + """, g AS (SELECT DISTINCT event_type AS family, 'm' || ((user_id * 7) % 71) AS model_id FROM events),
 a AS (SELECT DISTINCT event_type AS family, 'm' || (event_id % 9) AS model_id FROM events),
 b AS (SELECT coalesce(g.family, k.family) AS family, coalesce(g.model_id, k.model_id) AS model_id, g.family IS NOT NULL AS listed, k.family IS NOT NULL AS seen FROM g FULL JOIN k ON g.family = k.family AND g.model_id = k.model_id),
 c AS (SELECT b.*, CASE WHEN listed AND family NOT IN (SELECT family FROM old) THEN 'baseline' WHEN listed AND NOT seen THEN 'appeared' WHEN seen AND NOT listed THEN 'gone' END AS change FROM b)
 SELECT c.family, c.model_id, c.change, a.family IS NOT NULL AND c.change = 'gone' AS active_gone FROM c LEFT JOIN a ON a.family = c.family AND a.model_id = c.model_id WHERE change IS NOT NULL"""))
 def op_model_diff(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select("event_id", "event_type", "user_id")
-    listing = e.where("event_id % 4 = 1").select(F.col("event_type").alias("family"), F.concat(F.lit("m"), (F.col("user_id") * 7 % 71).cast("string")).alias("model_id"))
+    listing = e.select(F.col("event_type").alias("family"), F.concat(F.lit("m"), (F.col("user_id") * 7 % 71).cast("string")).alias("model_id"))
     active = e.select(F.col("event_type").alias("family"), F.concat(F.lit("m"), (F.col("event_id") % 9).cast("string")).alias("model_id"))
     return L.model_diff(listing, registry(spark, folder).where("family <> 'signup'"), active)
 
@@ -128,11 +128,11 @@ def op_coverage_report(spark: SparkSession, folder: str) -> DataFrame:
     return L.missing_causes(observations(spark, folder))
 
 
-@query(with_views("observations", """, s AS (SELECT CASE WHEN job IN ('click', 'view') THEN 'sweep' ELSE 'reference' END AS runner, day, cause AS reason FROM observations WHERE NOT ran)
-SELECT runner, day, count(DISTINCT reason) AS reasons, CASE WHEN count(DISTINCT reason) = 1 AND runner = 'sweep' AND min(reason) = 'budget_halted' THEN 'budget_halted' END AS cause FROM s GROUP BY runner, day"""))
+@query(with_views("observations", """, s AS (SELECT CASE WHEN job IN ('click', 'view') THEN 'full_sweep' ELSE 'reference' END AS runner, day, cause AS reason FROM observations WHERE NOT ran)
+SELECT runner, day, count(DISTINCT reason) AS reasons, CASE WHEN count(DISTINCT reason) = 1 AND runner = 'full_sweep' AND min(reason) = 'budget_halted' THEN 'budget_halted' END AS cause FROM s GROUP BY runner, day"""))
 def op_gap_causes(spark: SparkSession, folder: str) -> DataFrame:
     rows = observations(spark, folder).where("not ran")
-    return L.honest_causes(rows.select(F.when(F.col("job").isin("click", "view"), "sweep").otherwise("reference").alias("runner"), "day", F.col("cause").alias("reason")))
+    return L.honest_causes(rows.select(F.when(F.col("job").isin("click", "view"), "full_sweep").otherwise("reference").alias("runner"), "day", F.col("cause").alias("reason")))
 
 
 @query(with_views("history observations", """, f AS (SELECT run_date AS day, 2 AS o, 'measured' AS kind, protocol_id || ' · ' || model_id AS what, format('stability {:.1f}%', stability_pct) AS result, CASE WHEN on_curve THEN 'on' ELSE 'off' END AS tone FROM history WHERE stability_pct IS NOT NULL
@@ -146,7 +146,7 @@ _TODAY = "(SELECT max(day) FROM observations)"
 
 
 @query(with_views("observations", f""", i AS (SELECT job, CAST(1 + length(job) % 4 AS DOUBLE) / 2 AS interval_days FROM (SELECT DISTINCT job FROM observations) UNION ALL SELECT 'quarterly', 90.0),
-z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran AND place % 50 = 0 GROUP BY job)
+z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran GROUP BY job)
 SELECT i.job, i.interval_days, z.last_run, CAST(date_diff('day', z.last_run, {_TODAY}) AS DOUBLE) AS elapsed_days, z.last_run IS NULL OR date_diff('day', z.last_run, {_TODAY}) >= i.interval_days AS due FROM i LEFT JOIN z ON z.job = i.job"""))
 def op_due_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return L.due(*_cadence(spark, folder)).withColumn("elapsed_days", F.col("elapsed_days").cast("double"))
@@ -157,11 +157,11 @@ def _cadence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, F.
     jobs = rows.select("job").distinct().select("job", ((1 + F.length("job") % 4).cast("double") / 2).alias("interval_days"))
     extra = spark.range(1).select(F.lit("quarterly").alias("job"), F.lit(90.0).alias("interval_days"))
     today = F.lit(rows.agg(F.max("day")).first()[0])
-    return jobs.unionByName(extra), L.latest_state(rows.where("place % 50 = 0")), today
+    return jobs.unionByName(extra), L.latest_state(rows), today
 
 
 @query(with_views("observations", f""", i AS (SELECT job, CAST(1 + length(job) % 4 AS DOUBLE) / 2 AS interval_days FROM (SELECT DISTINCT job FROM observations) UNION ALL SELECT 'quarterly', 90.0),
-z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran AND place % 50 = 0 GROUP BY job), d AS (SELECT i.job FROM i LEFT JOIN z ON z.job = i.job WHERE z.last_run IS NULL OR date_diff('day', z.last_run, {_TODAY}) >= i.interval_days),
+z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran GROUP BY job), d AS (SELECT i.job FROM i LEFT JOIN z ON z.job = i.job WHERE z.last_run IS NULL OR date_diff('day', z.last_run, {_TODAY}) >= i.interval_days),
 r AS (SELECT DISTINCT job, CASE WHEN length(job) > 5 THEN 'sweep' ELSE 'reference' END AS runner FROM observations) SELECT runner, string_agg(DISTINCT job, ',' ORDER BY job) AS jobs FROM d JOIN r USING (job) GROUP BY runner"""))
 def op_route_jobs(spark: SparkSession, folder: str) -> DataFrame:
     runners = observations(spark, folder).select("job").distinct().select("job", F.when(F.length("job") > 5, "sweep").otherwise("reference").alias("runner"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions.vocabulary import EVENTS_THAT_ADD, EVENTS_THAT_REMOVE
 
 #: Gap causes by runner and skip reason; any other pair has no honest cause.
-SKIP_CAUSES = {("sweep", "budget_halted"): "budget_halted"}
+SKIP_CAUSES = {("full_sweep", "budget_halted"): "budget_halted"}
 #: Share of the monthly pool from which a rung holds, its name, most protocols, and the one lane it allows.
 RUNGS = ((0, "full", 10**9, None), (60, "reduced_sweep", 6, None), (80, "guard_only_sweep", 4, "guard"), (95, "fingerprint_only", 0, None))
 

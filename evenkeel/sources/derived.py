@@ -67,7 +67,7 @@ def registry(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "events").select("event_id", "ts", "event_type", "user_id")
     k = F.col("event_id")
     event = F.when(k % 11 == 0, "gone").when(k % 17 == 0, "bridge_waived").when(k % 5 == 0, "baseline").otherwise("appeared")
-    return e.where(k % 3 == 0).select(k.alias("place"), F.col("event_type").alias("family"), F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("model_id"), F.to_date("ts").alias("day"), event.alias("event"))
+    return e.select(k.alias("place"), F.col("event_type").alias("family"), F.concat(F.lit("m"), (F.col("user_id") % 60).cast("string")).alias("model_id"), F.to_date("ts").alias("day"), event.alias("event"))
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,7 +144,7 @@ SELECT event_id AS place, event_type AS job, CAST(ts AS DATE) AS day, event_id %
     "registry": """
 SELECT event_id AS place, event_type AS family, 'm' || (user_id % 60) AS model_id, CAST(ts AS DATE) AS day,
   CASE WHEN event_id % 11 = 0 THEN 'gone' WHEN event_id % 17 = 0 THEN 'bridge_waived' WHEN event_id % 5 = 0 THEN 'baseline' ELSE 'appeared' END AS event
-FROM events WHERE event_id % 3 = 0""",
+FROM events""",
     "responses": """
 SELECT conv_id, turn, CASE m WHEN 3 THEN NULL WHEN 4 THEN ' ' || chr(10) || ' ' ELSE text || chr(10) || CASE k WHEN 0 THEN 'DECISION: A' WHEN 1 THEN '**Decision: B**' WHEN 2 THEN 'decision: a.'
   WHEN 3 THEN 'Decision：B' WHEN 4 THEN 'DECISION: A' || chr(10) || 'Decision: B' WHEN 5 THEN 'Decision: C' WHEN 6 THEN 'no verdict' WHEN 7 THEN 'decision:  `B` !'
