@@ -101,5 +101,5 @@ def inspect(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadc
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows that hold no window of any item, columns unchanged."""
     places, _ = occurrences(docs.select("doc_id", "text"), items.select("item_id", "text"), window, most_broadcast)
-    bad = places.select(F.col("doc_id").alias("_of"), F.col("print").alias("_print")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_of")) & F.xxhash64(docs["text"]).eqNullSafe(F.col("_print")), "left_anti")
+    bad = places.select(F.col("doc_id").alias("of"), F.col("print").alias("of_print")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["of"]) & (F.xxhash64(docs["text"]) == bad["of_print"]), "left_anti")

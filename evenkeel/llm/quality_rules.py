@@ -239,7 +239,7 @@ def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that pass the base rules and the learned list, columns unchanged."""
     name = "stats"
-    while name in docs.columns:
+    while name in map(str.lower, docs.columns):
         name += "_"
     rules = fit(statistics(docs, ["doc_id"]), labels)
     whole = statistics(docs, docs.columns, as_=name)

@@ -91,7 +91,11 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT, overhead: int = OVERHEA
     """All columns of docs, then shard, n_bytes and n_rows; a column of docs with one of these names gets the prefix own_."""
     clash = {c: f"own_{c}" for c in docs.columns if c.lower() in _OWN}
     rows = keys(docs.withColumnsRenamed(clash), overhead)
-    out = assign(rows, directory(rows, limit)).drop("h", "t", "bytes")
+    shards = directory(rows, limit)
+    if not shards.where(F.col("depth") > HALF).isEmpty():  # places in the input count: they are written once
+        rows = materialize(rows, "shard-rows")
+        shards = directory(rows, limit)
+    out = assign(rows, shards).drop("h", "t", "bytes")
     return out.withColumnsRenamed({v: k for k, v in clash.items() if k.lower() not in ("shard", "n_bytes", "n_rows")})
 
 
