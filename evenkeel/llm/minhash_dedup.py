@@ -1,29 +1,34 @@
 """Near-duplicates by improved consistent weighted sampling of TF-IDF shingles.
 
-1. Texts with the same words collapse to one representative (least doc_id) by a grouped
-   hash; only representatives are compared.
-2. Document frequencies of 5-word shingles are counted over all documents in a count-mean
-   sketch of `cells` cells: its size is a parameter, not the corpus's, so it can be
-   broadcast.
-3. A shingle weighs tf * (1 + damping * idf), idf = ln((1 + N) / (1 + df)) / ln(2 + N).
-   Improved consistent weighted sampling (Ioffe 2010) gives each text `bands * rows`
-   samples whose chance to agree is the weighted Jaccard similarity; the samples of a band
-   make its key. Keys are refined by size class: texts whose total weights differ too much
-   can't be similar, so a passage that very different texts share doesn't pair them.
+1. A shingle of five words weighs tf * (1 + damping * idf). idf is clipped and depends on the
+   share of documents that hold the shingle alone: 1 up to a share of `common` (1 in 100),
+   from there ln(share) / ln(common), down to 0 for a shingle of all documents. Shingles above
+   that share are few whatever the size of the corpus (at most the mean number of shingles of
+   a text over `common`); they are counted exactly, after a sketch has named the cells they
+   may lie in, and broadcast.
+2. Improved consistent weighted sampling (Ioffe 2010) gives each text `bands * rows` samples
+   whose chance to agree is the weighted Jaccard similarity; the samples of a band make its
+   key. Keys are refined by size class: texts whose total weights differ too much can't be
+   similar, so a passage that very different texts share doesn't pair them.
+3. Texts with the same words collapse to one representative by a grouped 128-bit hash; only
+   representatives are compared.
 4. Texts of one key are candidates. Two rounds verify a key's members against pivots (one,
    then up to two outside the key's largest class), pair by pair, by exact weighted Jaccard
    similarity. Classes (connected components of the verified links) are brought up to date
    after each round, and only keys whose members lie in different classes go on. What is
    left, members that no pivot settled against members of other classes, is verified in
-   blocks: rows that hold up to `BLOCK` texts of either side, for each two blocks that share
-   a key. So a large group of copies costs about one pair for each member and key, its
-   outliers are still held against all others, and no group meets in one task.
+   blocks of texts, `BLOCK_BYTES` each: keys that join the same blocks count once, and each
+   two blocks that share a key meet once. So a large group of copies costs about one pair for
+   each member and key, its outliers are still held against all others, and no group meets
+   in one task.
 5. Components are found by large-star and small-star rounds, all in joins.
 
 Words are as in substring dedup, with A-Z lower-cased. A text of one to four words is one
 shingle. Defined results: null texts and texts without words are alone in their class.
-Rows that share a doc_id are one document and share a class; a null doc_id is returned
-with a null class. Extra columns are ignored or, in `drop_near_duplicates`, kept.
+A row is a document, named by doc_id and a hash of its text: rows that share a doc_id (or have
+none) but not the text are told apart, rows that share both share their result. A class is
+named by its least doc_id; one without any doc_id has a null name. Extra columns are ignored
+or, in `drop_near_duplicates`, kept.
 """
 
 from __future__ import annotations
@@ -42,8 +47,11 @@ from evenkeel.sources.tables import materialize
 SHINGLE, LIMIT = 5, 0.8
 BANDS, ROWS = 12, 4
 SKETCH_CELLS = 1 << 18
-DAMPING = 0.25
-BLOCK = 32
+DAMPING, COMMON = 0.25, 0.01
+#: Text of a block, on average; a longer text is a block of its own size.
+BLOCK_BYTES = 400_000
+#: Rows of numbers up to which a table is worked on in one task, without shuffles.
+SMALL = 200_000
 _STEPS = 1 << 14
 
 
@@ -72,16 +80,17 @@ def _cell(keys: np.ndarray, cells: int) -> np.ndarray:
 
 
 class Weights:
-    """TF-IDF weights from a sketch of document frequencies over n texts."""
+    """TF-IDF weights over n texts: `keys` (sorted) are the shingles of `df` texts, more than a share of `common`."""
 
-    def __init__(self, cells: np.ndarray, n: int, damping: float):
-        load = cells.sum() / len(cells)
-        df = np.clip(cells - load, 1, max(n, 1))  # less the mean of what others add to a cell
-        idf = np.log((1 + n) / (1 + df)) / math.log(2 + n)
-        self.factor = 1 + damping * idf
+    def __init__(self, keys: np.ndarray, df: np.ndarray, n: int, damping: float, common: float):
+        self.keys, self.rare = keys, 1 + damping
+        self.factor = 1 + damping * np.log(np.maximum(n, 1) / df) / -math.log(common)
 
     def of(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
-        return self.factor[_cell(keys, len(self.factor))] * times
+        if not len(self.keys):
+            return self.rare * times
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.factor[at], self.rare) * times
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -125,31 +134,15 @@ def band_keys(doc: np.ndarray, keys: np.ndarray, weights: np.ndarray, n: int, ba
     return out
 
 
-def sized_keys(made: np.ndarray, total: np.ndarray, limit: float) -> np.ndarray:
-    """Each band key twice: with the text's size class and with the next.
+def size_class(total: np.ndarray, limit: float) -> np.ndarray:
+    """Similar texts have total weights in a ratio of `limit` or more, so their size classes (powers of 1 / limit) differ by one at most."""
+    return np.floor(np.log(np.maximum(total, 1e-9)) / (-math.log(limit) * (1 + 1e-6))).astype(np.int64)
 
-    Similar texts have total weights in a ratio of `limit` or more, so their size classes
-    (powers of 1 / limit) differ by one at most and they share a class under a shared key.
-    """
-    step = np.floor(np.log(np.maximum(total, 1e-9)) / (-math.log(limit) * (1 + 1e-6))).astype(np.int64)
-    both = np.stack([step, step + 1], axis=1).view(np.uint64)
-    return W.mix(made[:, :, None] ^ W.mix(both * np.uint64(2) + np.uint64(1))[:, None, :]).reshape(len(made), -1)
-
-
-def _members(texts: DataFrame) -> DataFrame:
-    """doc_id, rep of every text with words; rep is the least doc_id with the same words."""
-    names = ["doc_id", "a", "b"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, data, edges in W.chunks(batch, "text"):
-                words = W.cut(data, edges, lower=True)
-                a, b = (words.span_hashes(words.first[:-1], words.first[1:], second=x).view(np.int64) for x in (False, True))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(a), pa.array(b)], names).filter(pa.array(words.counts > 0))
 
-    prints = materialize(texts.mapInArrow(run, "doc_id long, a long, b long"), "near-prints")
-    reps = materialize(prints.groupBy("a", "b").agg(F.min("doc_id").alias("rep")), "near-reps")
-    return materialize(prints.join(reps, ["a", "b"]).select("doc_id", "rep").distinct(), "near-members")
+def _texts(docs: DataFrame) -> DataFrame:
+    """doc_id, print (a hash of the text) and text of every row."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
 def _sketch(texts: DataFrame, cells: int, n: int) -> tuple[np.ndarray, int]:
@@ -165,27 +158,48 @@ def _sketch(texts: DataFrame, cells: int, n: int) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, cells)), pa.array(np.append(total[used], seen))], ["cell", "times"])
 
-    whole = texts.mapInArrow(run, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()  # at most cells + 1 rows
+    whole = texts.select("text").mapInArrow(run, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()  # at most cells + 1 rows
     out = np.zeros(cells + 1, dtype=np.int64)
     out[whole["cell"].to_numpy()] = whole["times"].to_numpy()
     return out[:-1], int(out[-1])
 
 
-def _bands(texts: DataFrame, weights, n: int, bands: int, rows: int, limit: float) -> DataFrame:
-    """doc_id, key for each band and size class of each text with words."""
+def fit_weights(texts: DataFrame, n: int, cells: int, damping: float, common: float) -> Weights:
+    """Weights from exact document frequencies of the shingles that more than `common` of the texts hold."""
+    load, seen = _sketch(texts, cells, n)
+    least = common * seen
+    full = texts.sparkSession.sparkContext.broadcast(load > least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, data, edges in W.chunks(batch, "text"):
+                _, keys, _ = counted(*shingles(W.cut(data, edges, lower=True), n))
+                keys, times = np.unique(keys[full.value[_cell(keys, cells)]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "times"])
+
+    df = texts.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > least).toPandas()
+    keys = df["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return Weights(keys[order], df["times"].to_numpy(dtype=float)[order], seen, damping, common)
+
+
+def _prints(texts: DataFrame, weights, n: int, bands: int, rows: int, limit: float) -> DataFrame:
+    """doc_id, print, a, b (hash of the words), step (size class) and keys (one a band) of each text with words."""
+    names = ["doc_id", "print", "a", "b", "step", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, edges in W.chunks(batch, "text", 500_000):
-                doc, keys, times = counted(*shingles(W.cut(data, edges, lower=True), n))
+                words = W.cut(data, edges, lower=True)
+                doc, keys, times = counted(*shingles(words, n))
                 w = weights.value.of(keys, times)
-                total = np.bincount(doc, weights=w, minlength=part.num_rows)
-                made = sized_keys(band_keys(doc, keys, w, part.num_rows, bands, rows), total, limit)
-                ids = np.repeat(W.column(part, "doc_id", 0), made.shape[1])
-                some = np.repeat(total > 0, made.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(made.reshape(-1).view(np.int64)[some])], ["doc_id", "key"])
+                step = size_class(np.bincount(doc, weights=w, minlength=part.num_rows), limit)
+                made = band_keys(doc, keys, w, part.num_rows, bands, rows).view(np.int64)
+                a, b = (words.span_hashes(words.first[:-1], words.first[1:], second=x).view(np.int64) for x in (False, True))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * bands), pa.array(made.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("print"), pa.array(a), pa.array(b), pa.array(step), lists], names).filter(pa.array(words.counts > 0))
 
-    return texts.mapInArrow(run, "doc_id long, key long")
+    return texts.mapInArrow(run, "doc_id long, print long, a long, b long, step long, keys array<long>")
 
 
 def similarity(left: W.Words, right: W.Words, weights: Weights, n: int) -> np.ndarray:
@@ -213,11 +227,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, n: int) -> DataFrame:
                     found = similarity(W.cut(data_a, edges_a, lower=True), W.cut(data_b, edges_b, lower=True), weights.value, n)
                     yield pa.RecordBatch.from_arrays([inner.column("a"), inner.column("b"), pa.array(found)], ["a", "b", "similarity"])
 
-    side = lambda of: texts.select(F.col("doc_id").alias(of), F.col("text").alias(f"text_{of}"))
+    side = lambda of: texts.select(F.col("rep").alias(of), F.col("text").alias(f"text_{of}"))
     joined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a long, b long, similarity double")
 
 
+def _near(table: DataFrame, rows: int) -> DataFrame:
+    return table.coalesce(1) if rows <= SMALL else table
+
+
 def _state(table: DataFrame) -> tuple:
     return tuple(table.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -231,11 +249,12 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "near-edges")
     state = _state(edges)
     while state[0]:
+        edges = _near(edges, state[0])
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # large star: a node's larger neighbours point to the least of its neighbourhood
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "near-large")
+        large = _near(materialize(large, "near-large"), state[0])  # no more rows than there were edges
         # small star: a node and its smaller neighbours point to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -247,7 +266,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(roots.select("node", F.col("node").alias("class")))
 
 
-def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, most: int = 2_000_000) -> np.ndarray:
+def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, most: int = 250_000) -> np.ndarray:
     """Weighted Jaccard similarities of all left texts (rows) and all right texts (columns)."""
     rows, cols = len(left.edges) - 1, len(right.edges) - 1
     (doc_a, key_a, tf_a), (doc_b, key_b, tf_b) = (counted(*shingles(x, n)) for x in (left, right))
@@ -273,43 +292,39 @@ def block_similarity(left: W.Words, right: W.Words, weights: Weights, n: int, mo
 
 
 def _in_blocks(open_: DataFrame, texts: DataFrame, weights, n: int, limit: float) -> DataFrame:
-    """Links (a, b) between members outside a key's largest class and members of other classes of the key."""
-    rows = open_.join(_largest(open_), "key").withColumn("minor", F.col("class") != F.col("main"))
+    """Links (a, b) between members outside a key's largest class and members of other classes of the key.
+
+    A block holds texts of one sort: those that lie outside the largest class of some key
+    (minor), or the rest, of which no two of different classes share a key.
+    """
+    rows = materialize(open_.join(_largest(open_), "key").withColumn("minor", F.col("class") != F.col("main")), "near-rows")
     # blocks are made among texts with one largest key: full blocks of texts that may meet
-    members = rows.groupBy("key").agg(F.count("*").alias("members"))
+    members = materialize(rows.groupBy("key").agg(F.count("*").alias("members")), "near-sizes")
     home = F.max(F.struct("members", "key"))["key"].alias("home")
-    reps = rows.join(materialize(members, "near-members"), "key").groupBy("rep").agg(home, F.max("class").alias("class"), F.max("minor").alias("minor"))
-    reps = materialize(reps, "near-homes")
-    homes = reps.groupBy("home").agg(F.count("*").alias("n"))
-    place = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-    blocks = materialize(reps.join(homes, "home").select("rep", "class", "minor", F.xxhash64("home", place).alias("block")), "near-blocks")
-    sides = {"a": blocks.where("minor"), "b": blocks}
-    of = rows.select("key", "rep", F.col("minor").alias("here")).join(blocks.select("rep", "block"), "rep")
-    tries = of.where("here").select("key", F.col("block").alias("a")).distinct().join(of.select("key", F.col("block").alias("b")).distinct(), "key").select("a", "b").distinct()
-
-    def held(side: str) -> DataFrame:
-        full = sides[side].select("rep", "class", "block").join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-        return full.groupBy("block").agg(F.collect_list(F.struct("rep", "class", "text")).alias(f"held_{side}")).withColumnRenamed("block", side)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                a, b = (batch.column(c).slice(i, 1).flatten() for c in ("held_a", "held_b"))
-                sides = [W.cut(*W.texts(x.field("text")), lower=True) for x in (a, b)]
-                found = block_similarity(*sides, weights.value, n)
-                of = [[x.field(c).to_numpy() for c in ("rep", "class")] for x in (a, b)]
-                hit = np.argwhere((found >= limit) & (of[0][1][:, None] != of[1][1][None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(of[0][0][hit[:, 0]]), pa.array(of[1][0][hit[:, 1]])], ["a", "b"])
-
-    spark = texts.sparkSession
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "16")  # rows hold many texts
-    try:
-        joined = tries.join(materialize(held("a"), "near-held"), "a").join(materialize(held("b"), "near-held"), "b")
-        return materialize(joined.select("held_a", "held_b").mapInArrow(run, "a long, b long"), "near-block-links")
-    finally:
-        spark.conf.set(name, before)
+    reps = rows.join(members, "key").groupBy("rep").agg(home, F.max("class").alias("class"), F.max("minor").alias("minor"))
+    reps = materialize(reps.join(texts.select("rep", F.octet_length("text").alias("bytes")), "rep"), "near-homes")
+    homes = reps.groupBy("home", "minor").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).alias("parts"))
+    block = F.xxhash64("home", "minor", F.pmod(F.xxhash64("rep"), F.col("parts"))).alias("block")
+    blocks = materialize(reps.join(homes, ["home", "minor"]).select("rep", "class", "minor", block), "near-blocks")
+    met = materialize(rows.select("key", "rep").join(blocks.select("rep", "block", "minor"), "rep").select("key", "block", "minor").distinct(), "near-met")
+    # keys that join the same blocks count once
+    same = met.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("block")).alias("x"), F.bit_xor(F.xxhash64("block", F.lit(1))).alias("y"))
+    met = materialize(met.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key"), "near-met")
+    once = ~F.col("other") | (F.col("a") <= F.col("b"))
+    tries = met.where("minor").select("key", F.col("block").alias("a")).join(met.select("key", F.col("block").alias("b"), F.col("minor").alias("other")), "key").where(once)
+    tries = materialize(tries.select("a", "b").distinct(), "near-tries").repartition(texts.sparkSession.sparkContext.defaultParallelism)
+    held = materialize(blocks.select("rep", "class", "block").join(texts, "rep"), "near-held")
+    sides = [tries.select("a", "b", F.col(side).alias("block"), F.lit(side).alias("side")) for side in ("a", "b")]
+    full = sides[0].unionByName(sides[1]).join(held, "block").select("a", "b", "side", "rep", "class", "text")
+
+    def run(pair: pa.Table) -> pa.Table:
+        left, right = (pair.filter(pa.compute.equal(pair["side"], side)) for side in ("a", "b"))
+        found = block_similarity(*(W.cut(*W.texts(x["text"]), lower=True) for x in (left, right)), weights.value, n)
+        (rep_a, class_a), (rep_b, class_b) = ([x[c].to_numpy() for c in ("rep", "class")] for x in (left, right))
+        hit = np.argwhere((found >= limit) & (class_a[:, None] != class_b[None, :]))
+        return pa.table({"a": rep_a[hit[:, 0]], "b": rep_b[hit[:, 1]]})
+
+    return materialize(full.groupBy("a", "b").applyInArrow(run, "a long, b long"), "near-block-links")
 
 
 def _largest(open_: DataFrame) -> DataFrame:
@@ -326,13 +341,20 @@ def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(both.select("rep", F.coalesce("now", "class").alias("class")), "near-classes")
 
 
-def _classed(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) -> DataFrame:
-    """rep, class: verified links join every two texts that share a key and reach the limit."""
+def _classed(reps: DataFrame, docs: DataFrame, weights, n: int, limit: float) -> DataFrame:
+    """rep, class: verified links join every two texts that share a key and reach the limit.
+
+    reps: rep, doc_id and print of its text, step and keys.
+    """
+    keys = reps.select("rep", "step", F.explode(F.array_distinct("keys")).alias("band")).select("rep", F.explode(F.array(F.xxhash64("band", "step"), F.xxhash64("band", F.col("step") + 1))).alias("key"))
+    keys = materialize(keys, "near-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     pending = materialize(keys.join(shared, "key"), "near-pending")
     known = materialize(pending.select("rep", F.col("rep").alias("class")).distinct(), "near-classes")
-    texts = materialize(docs.join(known.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "near-texts")
-    open_ = pending.join(known, "rep")
+    named = known.join(reps.select("rep", F.col("doc_id").alias("of"), F.col("print").alias("of_print")), "rep")
+    texts = docs.join(named, (F.col("print") == F.col("of_print")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    texts = materialize(texts.groupBy("rep").agg(F.min("text").alias("text")), "near-texts")
+    open_, few, tasks = pending.join(known, "rep"), SMALL + 1, docs.sparkSession.sparkContext.defaultParallelism
     for pivots_of_key in (1, 2):
         if pivots_of_key == 1:
             chosen = open_.groupBy("key").agg(F.min("rep").alias("pivot"))
@@ -343,31 +365,47 @@ def _classed(keys: DataFrame, docs: DataFrame, weights, n: int, limit: float) ->
         pivots = materialize(chosen.join(of, ["key", "pivot"]), "near-pivots")
         tries = open_.join(pivots, "key").where(F.col("class") != F.col("pivot_class"))
         pairs = tries.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
+        if few <= SMALL:
+            pairs = pairs.repartition(tasks)
         found = materialize(_verified(pairs, texts, weights, n).where(F.col("similarity") >= limit).select("a", "b"), "near-verified")
         known = _merged(known, found)
         # a pivot has met all of its key
         placed = open_.select("key", "rep").join(pivots.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti").join(known, "rep")
         apart = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
         open_ = materialize(placed.join(apart, "key"), "near-open")
-        if open_.isEmpty():
+        few = open_.count()
+        if not few:
             return known
+        open_ = _near(open_, few)
     return _merged(known, _in_blocks(open_, texts, weights, n, limit))
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class) of every distinct non-null doc_id."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).where("doc_id is not null")
-    members = _members(texts)
-    weights = docs.sparkSession.sparkContext.broadcast(Weights(*_sketch(texts, cells, n), damping))
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
-    keys = _bands(texts, weights, n, bands, rows, limit).join(reps, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "key").distinct()
-    found = _classed(materialize(keys, "near-keys"), texts, weights, n, limit)
-    of_rep = members.join(found, "rep", "left").select("doc_id", F.coalesce("class", "rep").alias("class_id"))
-    of_doc = of_rep.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))  # of a doc_id with several texts
-    return texts.select("doc_id").distinct().join(of_doc, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
-    """The rows of one document (the least doc_id) of each class, columns unchanged; rows without a doc_id stay."""
-    gone = classes(docs, **how).where("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+def _members(docs: DataFrame, n: int, limit: float, bands: int, rows: int, cells: int, damping: float, common: float) -> DataFrame:
+    """doc_id, print and class (a number) of every row whose text has words."""
+    texts = _texts(docs)
+    weights = docs.sparkSession.sparkContext.broadcast(fit_weights(texts, n, cells, damping, common))
+    prints = materialize(_prints(texts, weights, n, bands, rows, limit), "near-prints")
+    # equal words make equal keys; the number of a group is written once and so stays the same
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("least")
+    groups = prints.groupBy("a", "b").agg(least, F.any_value("step").alias("step"), F.any_value("keys").alias("keys"))
+    reps = materialize(groups.select("a", "b", F.monotonically_increasing_id().alias("rep"), "least.doc_id", "least.print", "step", "keys"), "near-reps")
+    found = _classed(reps, texts, weights, n, limit)
+    of_group = materialize(reps.select("a", "b", "rep").join(found, "rep", "left").select("a", "b", F.coalesce("class", "rep").alias("class")), "near-groups")
+    return materialize(prints.select("doc_id", "print", "a", "b").join(of_group, ["a", "b"]).select("doc_id", "print", "class"), "near-members")
+
+
+def classes(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING, common: float = COMMON) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class) of every row."""
+    members = _members(docs, n, limit, bands, rows, cells, damping, common)
+    names = materialize(members.groupBy("class").agg(F.min("doc_id").alias("class_id")), "near-names")
+    alone = _texts(docs).where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"))
+    return members.join(names, "class").select("doc_id", "class_id").unionByName(alone)
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = SHINGLE, limit: float = LIMIT, bands: int = BANDS, rows: int = ROWS, cells: int = SKETCH_CELLS, damping: float = DAMPING, common: float = COMMON) -> DataFrame:
+    """The rows of one document (the least doc_id, a null one last) of each class, columns unchanged."""
+    members = _members(docs, n, limit, bands, rows, cells, damping, common)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = materialize(members.groupBy("class").agg(F.min(own).alias("first")), "near-firsts")
+    gone = members.join(first, "class").where(own != F.col("first")).select(F.col("doc_id").alias("of"), F.col("print").alias("of_print"))
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["of"]) & (F.xxhash64(docs["text"].cast("string")) == gone["of_print"]), "left_anti")

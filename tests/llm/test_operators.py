@@ -60,7 +60,7 @@ def docs(spark):
 
 def with_extras(df):
     """Columns whose names operators use inside."""
-    return df.withColumns({c: F.lit(1) for c in ("stats", "id", "key", "print", "bytes", "h", "shard", "words", "rep", "kept", "tokens", "topic", "probability")})
+    return df.withColumns({c: F.lit(1) for c in ("id", "key", "print", "bytes", "h", "shard", "words", "rep", "kept", "tokens", "topic", "probability", "STATS", "_of", "_print", "of", "of_print", "_source", "_lang", "_topic", "_chance", "chance", "cell_source", "class", "keys", "step", "depth", "p", "q", "masked", "line", "leaf")})
 
 
 @settings(max_examples=60, deadline=None)
@@ -193,18 +193,11 @@ def test_folding_edits_and_regenerations(spark):
     assert [(r.role, r.text) for r in chat_format.fold(df).orderBy("turn").collect()] == [("assistant", "cd"), ("", "lone")]
 
 
-def test_mixing_meets_its_goals(spark, docs):
-    rows, _ = mixing.calibrated(docs)
-    cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    goals = {d: mixing.targets(cells, d) for d in mixing.DIMENSIONS}
-    raked = mixing.rake(cells, goals, rounds=60).toPandas()
-    for d in mixing.DIMENSIONS:
-        want = {r[d]: r.target for r in goals[d].collect()}
-        assert all(abs(v - want[k]) < 1e-3 for k, v in raked.groupby(d)["raked"].sum().items())
-
-
 def test_mixing_equals_its_sql(spark, data):
-    same(queries.op4_mixing(spark, data), connection(data), mixing.sql())
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    # the rare cells of the smallest tables converge slowly: both take the same rounds
+    found = mixing.weigh(docs, rounds=mixing.SQL_ROUNDS).withColumn("probability", F.round("probability", 6))
+    same(found, connection(data), queries.ORACLE_SQL["op4_mixing"])
 
 
 def spread_docs(spark, n=400):
@@ -237,10 +230,12 @@ def test_mixing_keeps_budget_and_marginals_when_cells_fill(spark):
     assert np.allclose(table["expected"], table["attainable"], rtol=0, atol=1e-6 * total)
 
 
-def test_mixing_tells_when_no_sample_meets_all_marginals():
-    tokens, names = np.array([100.0, 100.0]), [np.array([0, 1]), np.array([0, 1])]
-    found, gap = mixing.calibrate(tokens, tokens / 2, names, [np.array([30.0, 70.0]), np.array([60.0, 40.0])])
-    assert gap > 0.1 and np.allclose(found, [60, 40])
+def test_mixing_tells_when_no_sample_meets_all_marginals(spark):
+    cells = spark.createDataFrame([("a", "x", "t", 100), ("b", "y", "t", 100)], "source string, lang string, topic string, tokens long")
+    goal = lambda d, *shares: spark.createDataFrame(list(shares), f"{d} string, target double")
+    goals = {"source": goal("source", ("a", 0.3), ("b", 0.7)), "lang": goal("lang", ("x", 0.6), ("y", 0.4)), "topic": goal("topic", ("t", 1.0))}
+    found, gap = mixing.rake(cells, mixing.attainable(cells, goals, 0.5), 0.5, rounds=20)
+    assert gap > 0.1 and np.allclose([r.expected for r in found.orderBy("source").collect()], [60, 40])
 
 
 def test_mixing_edge_cases(spark, docs):
@@ -404,6 +399,12 @@ def test_shards_fit_even_for_repeated_rows(spark, docs, most_broadcast):
     assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
 
 
+def test_repeats_of_a_large_row_are_all_sharded(spark):
+    many = spark.range(0, 300, 1, 3).select(F.lit(1).cast("long").alias("doc_id"), F.repeat(F.lit("x "), F.lit(50)).alias("text"))
+    out = sharding.shard_documents(many, limit=2_000).groupBy("shard").agg(F.count("*").alias("n"), F.max("n_rows").alias("n_rows"), F.max("n_bytes").alias("n_bytes")).collect()
+    assert sum(r.n for r in out) == 300 and all(r.n == r.n_rows and r.n_bytes <= 2_000 for r in out)
+
+
 def test_sharding_passes_columns_through(spark, docs):
     out = sharding.shard_documents(with_extras(docs))
     assert set(with_extras(docs).columns) - {"shard"} <= set(out.columns) and "own_shard" in out.columns
@@ -416,7 +417,8 @@ def brute_classes(rows, n=5, limit=0.8):
     grams = {i: Counter(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else Counter([tuple(w)] if w else []) for i, w in texts.items()}
     df = Counter(g for c in grams.values() for g in c)
     total = sum(1 for c in grams.values() if c)
-    weight = lambda g: 1 + minhash_dedup.DAMPING * math.log((1 + total) / (1 + max(df[g], 1))) / math.log(2 + total)
+    rare = lambda g: df[g] <= minhash_dedup.COMMON * total
+    weight = lambda g: 1 + minhash_dedup.DAMPING * (1 if rare(g) else math.log(total / df[g]) / -math.log(minhash_dedup.COMMON))
     root = {i: i for i in texts}
 
     def find(i):
@@ -442,14 +444,34 @@ def brute_classes(rows, n=5, limit=0.8):
 @pytest.mark.parametrize("seed", [3, 11])
 def test_near_duplicate_classes(spark, seed):
     rows = [(r[0], r[1]) for r in made_docs(seed, 80)]
-    df = spark.createDataFrame(rows + rows[:5] + [(None, "a b")], "doc_id long, text string")
-    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(with_extras(df), bands=24).collect()}
-    want, pairs = brute_classes(rows)
-    close = [p for p, s in pairs.items() if abs(s - 0.8) < 0.01]
-    assert got == want or close, sorted((k, got[k], want[k]) for k in want if got[k] != want[k])
-    kept = minhash_dedup.drop_near_duplicates(with_extras(df), bands=24)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in minhash_dedup.classes(with_extras(df)).collect()}
+    want, _ = brute_classes(rows)
+    assert got == want and len(set(want.values())) < len(rows) - 5
+    kept = minhash_dedup.drop_near_duplicates(with_extras(df))
     assert kept.columns == with_extras(df).columns
-    assert {r.doc_id for r in kept.collect()} == set(got.values()) | {None}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_near_duplicates_of_rows_that_share_an_id_or_have_none(spark):
+    text = lambda c, n=40: " ".join(f"{c}{k}" for k in range(n))
+    near = text("a") + " more"
+    rows = [(1, text("a")), (1, text("b")), (2, text("c")), (2, near), (3, text("c")), (None, text("d")), (None, text("e")), (None, text("b")), (4, text("f")), (4, text("f")), (None, None)]
+    df = with_extras(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.class_id) for r in minhash_dedup.classes(df).collect()), key=repr)
+    # the copy of a under 2 joins 1, the other text of 2 keeps its own class, and so do the unnamed d and e
+    assert got == sorted([(1, 1), (1, 1), (2, 2), (2, 1), (3, 2), (None, None), (None, None), (None, 1), (4, 4), (4, 4), (None, None)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in minhash_dedup.drop_near_duplicates(df).collect()), key=repr)
+    assert kept == sorted([rows[0], rows[1], rows[2], rows[5], rows[6], rows[8], rows[9], rows[10]], key=repr)
+
+
+def test_weights_fall_with_the_share_of_documents_alone(spark):
+    """Doubling a corpus (under other ids) changes no weight."""
+    rows = [(i, f"all of these words stand everywhere and then u{i} v{i} w{i} x{i} y{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = (minhash_dedup.fit_weights(x, 5, 1 << 12, 0.25, 0.01) for x in (df, df.unionByName(df)))
+    assert len(one.keys) and (one.keys == two.keys).all() and np.allclose(one.factor, two.factor) and one.rare == two.rare == 1.25
+    assert np.allclose(one.factor, 1) and len(one.keys) == 4
 
 
 def test_large_groups_of_near_copies_join(spark):
@@ -501,7 +523,7 @@ def test_registry(spark):
 
 def test_blocks_find_what_pivots_leave(spark, monkeypatch):
     """A loose group, most of whose members match only some of the others."""
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    monkeypatch.setattr(minhash_dedup, "BLOCK_BYTES", 4_000)
     rng = np.random.default_rng(12)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -511,7 +533,10 @@ def test_blocks_find_what_pivots_leave(spark, monkeypatch):
             text[at] = f"c{i}x{at}"
         rows.append((i, " ".join(text)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
+    tried = []
+    blocks = minhash_dedup._in_blocks
+    monkeypatch.setattr(minhash_dedup, "_in_blocks", lambda *of: tried.append(blocks(*of)) or tried[-1])
     got = {r.doc_id: r.class_id for r in minhash_dedup.classes(df, bands=24, rows=2).collect()}
-    want, pairs = brute_classes(rows)
-    assert got == want or any(abs(s - 0.8) < 0.005 for s in pairs.values())
-    assert 1 < len(set(want.values()))
+    want, _ = brute_classes(rows)
+    assert got == want and 1 < len(set(want.values())) < 90
+    assert tried and tried[0].count() > 0

@@ -37,9 +37,8 @@ def test_quality_keeps_what_the_rules_keep(spark, data, steps):
 
 def test_one_document_of_each_class_stays(steps):
     _, before, after = steps[1]
-    want, pairs = brute_classes([(r.doc_id, r.text) for r in before.collect()])
-    left = {r.doc_id for r in after.collect()}
-    assert left == set(want.values()) or any(abs(s - 0.8) < 0.01 for s in pairs.values())
+    want, _ = brute_classes([(r.doc_id, r.text) for r in before.collect()])
+    assert sorted(r.doc_id for r in after.collect()) == sorted(set(want.values()))
 
 
 def test_no_benchmark_window_is_left(spark, data, steps):
@@ -70,4 +69,7 @@ def test_empty_and_odd_tables(spark, tmp_path):
         df.write.parquet(f"{tmp_path}/a/{name}.parquet")
         df.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
     assert pipeline.run(spark, f"{tmp_path}/b").count() == 0
-    assert pipeline.run(spark, f"{tmp_path}/a").count() >= 0
+    # without labels the base rules alone decide, and nothing is left to compare with
+    found = {r.doc_id for r in pipeline.run(spark, f"{tmp_path}/a").collect()}
+    long_enough = {r.doc_id for r in odd.collect() if (s := brute_statistics(r.text))[0] >= 50 and 100 * s[4] <= 50 * s[0]}
+    assert found <= long_enough and None not in found
