@@ -168,14 +168,20 @@ def op_prereg_anti(spark: SparkSession, folder: str) -> DataFrame:
     return P.not_preregistered(p, manifests).select("place", "protocol_id")
 
 
-@query(with_views("protocols", _CURRENT + """, l AS (SELECT place, twin FROM protocols WHERE twin IS NOT NULL UNION ALL SELECT twin, place FROM protocols WHERE twin IS NOT NULL),
+@query(with_views("protocols history", _CURRENT + """, l AS (SELECT place, twin FROM protocols WHERE twin IS NOT NULL UNION ALL SELECT twin, place FROM protocols WHERE twin IS NOT NULL),
 s AS (SELECT place, panel_sha256 AS panel FROM protocols UNION SELECT l.place, p.panel_sha256 FROM l JOIN protocols p ON p.place = l.twin),
-h AS (SELECT s.place, count(DISTINCT c.place) AS sharing FROM s JOIN c ON c.panel_sha256 = s.panel AND c.place <> s.place GROUP BY s.place)
+h AS (SELECT s.place, count(DISTINCT c.place) AS sharing FROM s JOIN c ON c.panel_sha256 = s.panel AND c.place <> s.place GROUP BY s.place),
+u AS (SELECT DISTINCT p.place, p.panel_sha256 AS panel, m.model_id, m.run_date AS day FROM protocols p JOIN history m ON CAST(substr(m.protocol_id, 2) AS INTEGER) = p.place % 97 AND m.on_curve AND m.series = 'commercial'),
+o AS (SELECT DISTINCT panel, model_id, day FROM u),
+b AS (SELECT DISTINCT p.place FROM protocols p JOIN c n ON n.prefix = regexp_extract(p.protocol_id, '^(.+)__v(\\d+)$', 1) AND n.place <> p.place JOIN o ON o.panel = p.panel_sha256 JOIN u ON u.place = n.place AND u.model_id = o.model_id AND abs(date_diff('day', o.day, u.day)) <= 7)
 SELECT p.place, concat_ws(',', CASE WHEN p.status <> 'admitted' THEN 'not_admitted' END, CASE WHEN p.status = 'admitted' AND k.place IS NOT NULL THEN 'still_current' END, CASE WHEN p.status = 'admitted' AND h.sharing IS NOT NULL THEN 'panel_in_use' END,
-  CASE WHEN p.status = 'admitted' AND (n.place IS NULL OR n.place = p.place) THEN 'no_successor' END) AS broken, coalesce(h.sharing, 0) AS sharing
+  CASE WHEN p.status = 'admitted' AND (n.place IS NULL OR n.place = p.place) THEN 'no_successor' END, CASE WHEN p.status = 'admitted' AND n.place <> p.place AND p.place NOT IN (SELECT place FROM b) THEN 'no_bridge' END) AS broken, coalesce(h.sharing, 0) AS sharing
 FROM protocols p LEFT JOIN c k ON k.place = p.place LEFT JOIN h ON h.place = p.place LEFT JOIN c n ON n.prefix = regexp_extract(p.protocol_id, '^(.+)__v(\\d+)$', 1)"""))
 def op_declassification(spark: SparkSession, folder: str) -> DataFrame:
-    return P.declassification(protocols(spark, folder)).withColumn("broken", F.array_join("broken", ","))
+    p = protocols(spark, folder)
+    measured = history(spark, folder).where("on_curve and series = 'commercial'").select(F.substr("protocol_id", F.lit(2)).cast("long").alias("k"), "model_id", F.col("run_date").alias("day"))
+    runs = p.select("place", (F.col("place") % 97).alias("k")).join(measured, "k").drop("k")
+    return P.declassification(p, runs).withColumn("broken", F.array_join("broken", ","))
 
 
 @query(with_views("protocols history", _CURRENT + """, m AS (SELECT DISTINCT CAST(substr(protocol_id, 2) AS INTEGER) AS k, model_id FROM history WHERE series = 'commercial'), d AS (SELECT DISTINCT model_id FROM m)
