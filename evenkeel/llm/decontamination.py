@@ -98,6 +98,21 @@ def inspect(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadc
     return out.select("doc_id", "print", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
 
 
+def sql(window: int = WINDOW) -> str:
+    """DuckDB form of the query over `inspect`, for tables whose doc_id names a row."""
+    words = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT item_id, {words} AS w FROM benchmark),
+i AS (SELECT DISTINCT item_id, array_to_string(w[k:k + {window} - 1], ' ') AS win, least(len(w), {window}) AS n FROM (SELECT *, unnest(range(1, greatest(len(w) - {window} + 1, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+s AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d JOIN (SELECT DISTINCT n FROM i) ON n <= len(w)),
+o AS (SELECT DISTINCT s.doc_id, s.k, s.n, i.item_id FROM s JOIN i ON i.n = s.n AND i.win = array_to_string(s.w[s.k:s.k + s.n - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS place FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows that hold no window of any item, columns unchanged."""
     places, _ = occurrences(docs.select("doc_id", "text"), items.select("item_id", "text"), window, most_broadcast)

@@ -71,9 +71,11 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": substring_dedup.sql(),
     "op3_chat_format": chat_format.SQL,
     "op4_mixing": mixing.sql(),
     "op5_url_filter": url_filter.SQL,
     "op7_line_dedup": line_dedup.sql(),
+    "op8_decontamination": decontamination.sql(),
     "op9_sharding": sharding.sql(),
 }

@@ -187,3 +187,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIM
 
     found = texts.join(mine, ["id", "print"], "left").select("id", "text", "at", "length").mapInArrow(run, "id long, n_words long, n_removed long, kept_text string")
     return found.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text")
+
+
+def sql(window: int = WINDOW) -> str:
+    """DuckDB form of the query over `remove_repeats`, for tables whose doc_id names a row: every window is compared as text."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, k, array_to_string(w[k:k + {window} - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - {window} + 2)) AS k FROM d)),
+r AS (SELECT doc_id, k, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS LAST, k) AS nr FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + {window})) AS at FROM r WHERE nr > 1),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS at FROM d),
+k AS (SELECT u.doc_id, string_agg(u.w[u.at], ' ' ORDER BY u.at) AS kept, count(*) AS n FROM u LEFT JOIN g ON g.doc_id = u.doc_id AND g.at = u.at WHERE g.at IS NULL GROUP BY u.doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -163,6 +163,11 @@ def test_substring_dedup_of_rows_without_an_id_of_their_own(spark):
         assert sum(r.kept_text in (" ".join(t), own) for r in alone) == sum(r.kept_text in (" ".join(t), own) for r in mine) == 1
 
 
+@pytest.mark.parametrize("name", ["op2_substring_dedup", "op8_decontamination"])
+def test_whole_tables_equal_their_sql(spark, data, name):
+    same(queries.QUERIES[name](spark, data), connection(data), queries.ORACLE_SQL[name])
+
+
 def test_long_spans_join_adjoining_repeats(spark):
     text = " ".join(f"w{k}" for k in range(100))
     df = spark.createDataFrame([(1, text), (2, "head " + text + " tail")], "doc_id long, text string")
