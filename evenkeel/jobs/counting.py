@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.operators import counts, gates, scenarios
-from evenkeel.sources.derived import trials, with_views
+from evenkeel.sources.derived import panels, trials, with_views
 from evenkeel.sources.tables import materialize
 
 QUERIES, SQL = {}, {}
@@ -124,12 +124,12 @@ def op_tokens_seen(spark: SparkSession, folder: str) -> DataFrame:
     return counts.tokens_seen(trials(spark, folder))
 
 
-_GAPS = _per("run_id, scenario_id", "c") + f""", g AS (SELECT r.run_id, s.scenario_id, {_pct('A', 'B')} AS gap_pct FROM (SELECT DISTINCT run_id FROM trials) r CROSS JOIN (SELECT DISTINCT scenario_id FROM trials) s
+_GAPS = _per("run_id, scenario_id", "c") + f""", g AS (SELECT r.run_id, s.scenario_id, {_pct('A', 'B')} AS gap_pct FROM (SELECT DISTINCT run_id FROM trials) r CROSS JOIN (SELECT 's' || lpad(CAST(unnest(range(1, 16)) AS VARCHAR), 2, '0') AS scenario_id) s
   LEFT JOIN c ON c.run_id = r.run_id AND c.scenario_id = s.scenario_id)"""
 
 
 def _gaps(spark: SparkSession, folder: str) -> DataFrame:
-    return scenarios.gaps(trials(spark, folder))
+    return scenarios.gaps(trials(spark, folder), panels(spark, folder))
 
 
 @query(with_views("trials", _GAPS + " SELECT * FROM g"))

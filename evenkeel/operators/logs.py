@@ -24,7 +24,7 @@ def model_diff(listing: DataFrame, log: DataFrame, active: DataFrame) -> DataFra
     """What a listing (family, model_id) changes: baseline, appeared or gone, and whether an active model is gone."""
     seen = listed_models(log).withColumn("seen", F.lit(True))
     known = log.select("family").distinct().withColumn("has_log", F.lit(True))
-    both = listing.distinct().withColumn("listed", F.lit(True)).join(seen, ["family", "model_id"], "full").join(F.broadcast(known), "family", "left")
+    both = listing.distinct().withColumn("listed", F.lit(True)).join(seen, ["family", "model_id"], "full").join(known, "family", "left")
     what = F.when(F.col("listed") & F.col("has_log").isNull(), "baseline").when(F.col("listed") & F.col("seen").isNull(), "appeared").when(F.col("seen") & F.col("listed").isNull(), "gone")
     rows = both.withColumn("change", what).where("change is not null")
     in_use = active.select("family", "model_id").distinct().withColumn("is_active", F.lit(True))

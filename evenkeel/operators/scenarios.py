@@ -14,17 +14,15 @@ from evenkeel.functions.exact import published
 from evenkeel.operators.counts import OPTIONS, distance, tally
 
 
-def gaps(trials: DataFrame, scenarios: DataFrame | None = None, options: list[str] = OPTIONS) -> DataFrame:
-    """run_id, scenario_id, gap_pct; scenarios of the panel without trials stay, with a null gap."""
+def gaps(trials: DataFrame, panels: DataFrame | None = None, options: list[str] = OPTIONS) -> DataFrame:
+    """run_id, scenario_id, gap_pct of every scenario of a run's panel (run_id, scenario_id); one without trials has a null gap.
+
+    Without panels the scenarios that a run has trials of are its panel.
+    """
     rows = tally(trials, ["run_id", "scenario_id"], options)
     num, den = distance(F.col("c_A"), F.col("c_B"))
     found = rows.select("run_id", "scenario_id", published(num * 100, den).alias("gap_pct"))
-    if scenarios is None:
-        scenarios = trials.select("scenario_id").distinct()
-    panel = F.sort_array(F.collect_set("scenario_id"))
-    every = scenarios.agg(panel.alias("panel")).first()["panel"]  # a panel is a short declared list
-    runs = found.select("run_id").distinct().select("run_id", F.explode(F.array(*map(F.lit, every))).alias("scenario_id")) if every else found.select("run_id", "scenario_id")
-    return runs.join(found, ["run_id", "scenario_id"], "left")
+    return found if panels is None else panels.join(found, ["run_id", "scenario_id"], "left")
 
 
 def spread(found: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ def trials(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def panels(spark: SparkSession, folder: str) -> DataFrame:
+    """run_id, scenario_id: the declared panel of every run."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(N_SCENARIOS)), lambda i: F.concat(F.lit("s"), F.lpad(i.cast("string"), 2, "0")))
+    return trials(spark, folder).select("run_id").distinct().select("run_id", F.explode(ids).alias("scenario_id"))
+
+
 def history(spark: SparkSession, folder: str) -> DataFrame:
     """Past measurements: protocol_id, series, model_id, run_date, run_id, stability, interval, bound, on_curve."""
     o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")

@@ -168,10 +168,11 @@ def test_undeclared_tokens_are_an_error(spark):
 
 def test_scenarios_without_trials_have_null_gaps(spark):
     rows = spark.createDataFrame([("r", "s1", "A", "valid", "A"), ("r", "s1", "B", "valid", "B"), ("r", "s2", "A", "valid", "A")], "run_id string, scenario_id string, version string, outcome string, token string")
-    panel = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "scenario_id string")
-    found = {r.scenario_id: r.gap_pct for r in scenarios.gaps(rows, panel).collect()}
-    assert found == {"s1": 100.0, "s2": None, "s3": None}
+    panel = spark.createDataFrame([("r", "s1"), ("r", "s2"), ("r", "s3"), ("other", "s9")], "run_id string, scenario_id string")
+    found = {(r.run_id, r.scenario_id): r.gap_pct for r in scenarios.gaps(rows, panel).collect()}
+    assert found == {("r", "s1"): 100.0, ("r", "s2"): None, ("r", "s3"): None, ("other", "s9"): None}  # no scenario of another run's panel
     assert scenarios.spread(scenarios.gaps(rows, panel)).first().known == 1
+    assert {r.scenario_id for r in scenarios.gaps(rows).collect()} == {"s1", "s2"}
 
 
 def test_compare_uses_both_limits(spark):
