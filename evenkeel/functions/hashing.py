@@ -17,6 +17,16 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def files_sha256(files: Column) -> Column:
+    """Hash of several files (structs of path and content): both closed by a zero, in order of path."""
+    closed = F.transform(F.sort_array(files), lambda f: F.concat(f["path"], F.lit("\0"), f["content"], F.lit("\0")))
+    return F.sha2(F.array_join(closed, ""), 256)
+
+
+def run_id(day: Column, protocol_id: Column, model_id: Column, replicate: Column) -> Column:
+    return F.concat_ws("__", day.cast("string"), protocol_id, model_id, F.concat(F.lit("r"), replicate.cast("string")))
+
+
 def seed(*parts: Column) -> Column:
     """The first 64 bits of the parts' hash, as decimal text (it may exceed BIGINT)."""
     return F.conv(F.substring(F.sha2(F.concat_ws(JOINT, *parts), 256), 1, 16), 16, 10)

@@ -104,6 +104,20 @@ def op_canonical_hash(spark: SparkSession, folder: str) -> DataFrame:
     return protocols(spark, folder).select("place", S.sha256(S.canonical_json(**fields)).alias("sha256"))
 
 
+@query(with_views("history", " SELECT run_id, CAST(run_date AS VARCHAR) || '__' || protocol_id || '__' || model_id || '__r' || (CAST(substr(run_id, 2) AS BIGINT) % 3) AS name FROM history"))
+def op_run_ids(spark: SparkSession, folder: str) -> DataFrame:
+    replicate = F.substr("run_id", F.lit(2)).cast("long") % 3
+    return history(spark, folder).select("run_id", S.run_id(F.col("run_date"), F.col("protocol_id"), F.col("model_id"), replicate).alias("name"))
+
+
+@query(" SELECT conv_id, sha256(string_agg(role || '/' || turn || chr(0) || text || chr(0), '' ORDER BY role || '/' || turn)) AS sha256 FROM conversations GROUP BY conv_id")
+def op_files_hash(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation's turns as files named by role and turn."""
+    file = F.struct(F.concat_ws("/", "role", F.col("turn").cast("string")).alias("path"), F.col("text").alias("content"))
+    files = table(spark, folder, "conversations").groupBy("conv_id").agg(F.collect_list(file).alias("files"))
+    return files.select("conv_id", S.files_sha256(F.col("files")).alias("sha256"))
+
+
 @query(with_views("history", " SELECT run_id, CAST(CAST('0x' || substr(sha256(protocol_id || '‖' || CAST(run_date AS VARCHAR) || '‖' || model_id), 1, 16) AS UBIGINT) AS VARCHAR) AS seed FROM history"))
 def op_seeds(spark: SparkSession, folder: str) -> DataFrame:
     return history(spark, folder).select("run_id", S.seed(F.col("protocol_id"), F.col("run_date").cast("string"), F.col("model_id")).alias("seed"))

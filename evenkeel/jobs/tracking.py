@@ -60,10 +60,14 @@ def op_near_measurements(spark: SparkSession, folder: str) -> DataFrame:
     return H.model_pairs(history(spark, folder)).groupBy("series", "this_model", "other_model", "gap").agg(F.count("*").alias("pairs"))
 
 
-@query(with_views("history", _LATEST + """ SELECT a.protocol_id, a.series, a.model_id, a.run_id, b.model_id AS other_model, b.run_id AS other_run, CAST(abs(date_diff('day', a.run_date, b.run_date)) AS INTEGER) AS days_apart
-FROM l a JOIN l b ON a.protocol_id = b.protocol_id AND a.series = b.series AND a.model_id <> b.model_id"""))
+@query(with_views("history", _LATEST + _NEAR + f""", r AS (SELECT *, {_VERDICT} AS verdict, row_number() OVER (PARTITION BY protocol_id, series, this_model, other_model ORDER BY gap, d DESC, this_run, other_run) AS n FROM p)
+SELECT a.protocol_id, a.series, a.model_id, a.run_id, b.model_id AS other_model, b.run_id AS other_run, CAST(abs(date_diff('day', a.run_date, b.run_date)) AS INTEGER) AS days_apart, r.this_run AS bridge_this, r.other_run AS bridge_other, r.verdict
+FROM l a JOIN l b ON a.protocol_id = b.protocol_id AND a.series = b.series AND a.model_id <> b.model_id
+LEFT JOIN r ON r.n = 1 AND r.protocol_id = a.protocol_id AND r.series = a.series AND r.this_model = a.model_id AND r.other_model = b.model_id"""))
 def op_other_models(spark: SparkSession, folder: str) -> DataFrame:
-    return H.other_models(history(spark, folder))
+    rows = history(spark, folder)
+    pairs = H.bridges(rows).select("protocol_id", "series", F.col("this_model").alias("model_id"), "other_model", F.col("this_run").alias("bridge_this"), F.col("other_run").alias("bridge_other"), "verdict")
+    return H.other_models(rows).join(pairs, ["protocol_id", "series", "model_id", "other_model"], "left")
 
 
 _SUCCESSOR = "'p' || lpad(CAST((CAST(substr(protocol_id, 2) AS INTEGER) + 1) % 97 AS VARCHAR), 2, '0')"
@@ -191,6 +195,22 @@ def op_error_runs(spark: SparkSession, folder: str) -> DataFrame:
     return L.error_runs(calls, ["client"], "event_id")
 
 
+_FATAL = """ WITH c AS (SELECT user_id, event_id, value < 25 AS failed, CASE WHEN value < 25 THEN ([500, 429, 401, 500, 404, 400, 529])[event_id % 7 + 1] END AS status, CASE WHEN event_id % 2 = 0 THEN 'Your credit balance is too low' ELSE 'overloaded' END AS message FROM events),
+g AS (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS good FROM c),
+s AS (SELECT *, count(*) FILTER (WHERE failed) OVER (PARTITION BY user_id, good ORDER BY event_id) AS streak FROM g),
+w AS (SELECT *, CASE WHEN NOT failed THEN NULL WHEN status IN (400, 402, 403, 429) AND contains(lower(message), 'credit balance is too low') THEN 'funds' WHEN status IN (401, 403, 404) THEN 'status' WHEN streak >= 5 THEN 'failures' END AS why FROM s)
+SELECT user_id, min(event_id) AS stopped_at, arg_min(why, event_id) AS why FROM w WHERE why IS NOT NULL GROUP BY user_id"""
+
+
+@query(_FATAL)
+def op_run_stops(spark: SparkSession, folder: str) -> DataFrame:
+    failed, k = F.col("value") < 25, F.col("event_id")
+    status = F.when(failed, F.element_at(F.array(*map(F.lit, (500, 429, 401, 500, 404, 400, 529))), (k % 7 + 1).cast("int")))
+    message = F.when(k % 2 == 0, "Your credit balance is too low").otherwise("overloaded")
+    calls = table(spark, folder, "events").select("user_id", "event_id", failed.alias("failed"), status.alias("status"), message.alias("message"))
+    return L.run_stops(calls, ["user_id"], "event_id")
+
+
 @query(with_views("observations", f" SELECT DISTINCT day AS run_date FROM observations WHERE NOT ran AND day BETWEEN {_TODAY} - 6 AND {_TODAY}"))
 def op_alarms_since(spark: SparkSession, folder: str) -> DataFrame:
     rows = observations(spark, folder)

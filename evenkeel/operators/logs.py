@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evenkeel.functions.grammar import funds_error
 from evenkeel.functions.vocabulary import EVENTS_THAT_ADD, EVENTS_THAT_REMOVE
 
 #: Gap causes by runner and skip reason; any other pair has no honest cause.
@@ -106,6 +107,23 @@ def error_runs(calls: DataFrame, by: list[str], order: str, least: int = 5) -> D
     return runs.where(F.col("length") >= least).drop("_good")
 
 
+# Answers that end a run at once, and failed calls in a row that do.
+FATAL_STATUSES, MOST_FAILURES = (401, 403, 404), 5
+
+
+def run_stops(calls: DataFrame, by: list[str], order: str) -> DataFrame:
+    """by, stopped_at, why of every run that its breaker ends: spent funds, a fatal status, or too many failed calls in a row.
+
+    calls: failed, status and message of each call; a run's calls are numbered by `order`.
+    """
+    line = Window.partitionBy(*by).orderBy(order)
+    block = F.count_if(~F.col("failed")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    streak = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)) - F.when(F.col("_block") > 0, 1).otherwise(0)
+    why = F.when(funds_error(F.col("status"), F.col("message")), "funds").when(F.col("status").isin(*FATAL_STATUSES), "status").when(F.col("_streak") >= MOST_FAILURES, "failures")
+    marked = calls.withColumn("_block", block).withColumn("_streak", streak).where("failed").withColumn("why", why).where("why is not null")
+    return marked.groupBy(*by).agg(F.min(order).alias("stopped_at"), F.min_by("why", order).alias("why"))
+
+
 def alarms_since(alarms: DataFrame, today: Column, days: int) -> DataFrame:
     """Distinct days with a line that isn't ok, among the last `days` days, today included."""
     return alarms.where(~F.col("ok") & F.col("run_date").between(F.date_sub(today, days - 1), today)).select("run_date").distinct()

@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel.functions import hashing
 from evenkeel.jobs import publish
 from evenkeel.operators import history, logs
 from evenkeel.sources import records
@@ -156,3 +157,19 @@ def test_streamed_checks_equal_batch(spark, tmp_path):
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 30
+
+
+def test_files_hash_is_that_of_paths_and_contents_in_order(spark):
+    files = [("b/2.txt", "two é"), ("a.txt", ""), ("b/10.txt", "ten")]
+    want = hashlib.sha256()
+    for path, content in sorted(files):
+        want.update(path.encode() + b"\0" + content.encode() + b"\0")
+    df = spark.createDataFrame([(files,)], "files array<struct<path:string,content:string>>")
+    assert df.select(hashing.files_sha256(F.col("files"))).first()[0] == want.hexdigest()
+
+
+def test_a_run_stops_at_once_or_after_five_failures(spark):
+    calls = [("a", i, True, 500) for i in range(4)] + [("a", 4, False, None)] + [("a", 5 + i, True, 500) for i in range(5)]
+    calls += [("b", 0, False, None), ("b", 1, True, 404), ("c", 0, True, 500), ("d", 0, True, 429)]
+    df = spark.createDataFrame([(*c, "credit balance is too low" if c[0] == "d" else "x") for c in calls], "run string, at long, failed boolean, status int, message string")
+    assert {tuple(r) for r in logs.run_stops(df, ["run"], "at").collect()} == {("a", 9, "failures"), ("b", 1, "status"), ("d", 0, "funds")}
