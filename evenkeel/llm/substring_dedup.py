@@ -8,10 +8,11 @@ times fewer rows than edges. The rest is Spark joins:
 1. pieces whose minimizer occurs once in the corpus are unrepeated and go;
 2. equal pieces meet in one class, whose first source coordinate stands for it; every
    other occurrence is a repeat of that source as a whole;
-3. where pieces of one minimizer differ (a path branches), the first piece of each class
-   is opened into its edges, and each edge is compared with its own first coordinate;
-4. removed pieces return to their documents by source coordinate; adjoining ones whose
-   sources adjoin as well compact into long spans (`long_spans`).
+3. a minimizer with one class of pieces is a place where no path branches. Where it has
+   several, the first piece of each class is opened into its edges, and each edge is
+   compared with its own first coordinate;
+4. repeats return to their documents by source coordinate; those that adjoin, and whose
+   sources adjoin alike, compact into long spans (`long_spans`), and these are removed.
 
 Equality means equal 64-bit hashes of both the minimizer and the piece or edge it lies
 in, 128 bits together. No row holds more than one document's pieces; no group is
@@ -151,18 +152,26 @@ def repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -
 
 
 def long_spans(found: DataFrame) -> DataFrame:
-    """Compact repeats that adjoin in the document and in their source into maximal spans."""
-    mine = Window.partitionBy("id", "print", "source_id", "source_print", F.col("source_at") - F.col("at")).orderBy("at")
+    """id, print, source_id, source_print, at, length, source_at of maximal repeated spans.
+
+    Repeats of one document that adjoin, and whose sources adjoin alike, are one span of that
+    source; the coordinates of both verify it. Repeated rows leave equal repeats only, which go
+    before the shuffle; the rest stays in the document's own partition.
+    """
+    shift = (F.col("source_at") - F.col("at")).alias("shift")
+    gathered = found.groupBy("id", "print").agg(F.collect_set(F.struct("source_id", "source_print", shift, "at", "length")).alias("all"))
+    each = gathered.select("id", "print", F.explode("all").alias("one")).select("id", "print", "one.*")
+    line = ["id", "print", "source_id", "source_print", "shift"]
+    mine = Window.partitionBy(*line).orderBy("at")
     reach = F.max(F.col("at") + F.col("length")).over(mine.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.withColumn("path", F.sum(F.when(F.col("at") <= reach, 0).otherwise(1)).over(mine.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("id", "print", "source_id", "source_print", (F.col("source_at") - F.col("at")).alias("shift"), "path").agg(
-        F.min("at").alias("at"), (F.max(F.col("at") + F.col("length")) - F.min("at")).alias("length"), F.min("source_at").alias("source_at")
-    ).drop("shift", "path")
+    marked = each.withColumn("path", F.sum(F.when(F.col("at") <= reach, 0).otherwise(1)).over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = marked.groupBy(*line, "path").agg(F.min("at").alias("at"), F.max(F.col("at") + F.col("length")).alias("end"))
+    return spans.select("id", "print", "source_id", "source_print", "at", (F.col("end") - F.col("at")).alias("length"), (F.col("at") + F.col("shift")).alias("source_at"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space (kept_text)."""
-    mine = repeats(docs, window, minimizer).groupBy("id", "print").agg(F.collect_set(F.struct("at", "length")).alias("spans"))
+    mine = long_spans(repeats(docs, window, minimizer)).groupBy("id", "print").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
     mine = mine.select("id", "print", F.col("spans.at").alias("at"), F.col("spans.length").alias("length"))
     texts = _texts(docs)
     names = ["id", "n_words", "n_removed", "kept_text"]
