@@ -311,6 +311,65 @@ def test_toxicity_holds_out(spark):
     assert np.mean([r.predicted == (r.doc_id % 6 == 0) for r in unseen]) > 0.97
 
 
+def plain_cells(text):
+    """The cells of a text and its number of words, one word at a time in plain integers."""
+    hashed = lambda b: int(W.spans_hash(W._BYTE_KEYS[np.frombuffer(b, np.uint8)], np.array([0]), np.array([len(b)]), W._BYTE_BASE)[0])
+    cell = lambda h: (int(W.mix(np.array([h], dtype=np.uint64))[0]) >> 8) % toxicity.CELLS
+    found, many = set(), re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    for word in many:
+        word = word.lower()  # of bytes: A-Z alone
+        for _ in range(3):
+            word = word[1:] if len(word) > 1 and word[:1] in b"\"'()[]{}.,;:!?*_-" else word
+            word = word[:-1] if len(word) > 1 and word[-1:] in b"\"'()[]{}.,;:!?*_-" else word
+        found.add(cell(hashed(word)))
+        found |= {cell(hashed(word[:n]) ^ n) for n in (4, 5, 6, 7) if len(word) > n}
+    return found, len(many)
+
+
+def test_toxicity_equals_brute_force(spark):
+    texts, labels = toxic_rows(300)
+    texts += [(5000, None), (5001, ""), (5002, "«Zorkling» (idiot), über-zorked")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    known = dict((i, t) for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+    cells = {i: plain_cells(t) for i, t in texts}
+    # counts of the training rows, the lexicon by likelihood ratio, then votes, label model and classifier row by row
+    n_toxic = sum(known.values())
+    counts = {True: Counter(), False: Counter()}
+    for i, t in known.items():
+        counts[bool(t)].update(cells[i][0])
+    worth = {}
+    for c, t in counts[True].items():
+        k, n = counts[False][c], len(known)
+        rate_t, rate_c, both = (t + 0.5) / (n_toxic + 1), (k + 0.5) / (n - n_toxic + 1), (t + k + 1) / (n + 2)
+        ratio = 2 * (t * math.log(rate_t / both) + k * math.log(rate_c / both))
+        if t >= 3 and rate_t > 4 * rate_c and ratio > 15:
+            worth[c] = ratio
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert set(np.flatnonzero(model.place >= 0)) == set(worth) and len(worth) > 3
+    order = sorted(worth, key=lambda c: (-round(worth[c], 9), c))
+    assert sorted(model.place[order]) == list(range(len(order)))
+    weight = {c: model.weights[model.place[c]] for c in order}
+    want = {i: 1 / (1 + math.exp(-(model.bias + sum(weight.get(c, 0.0) for c in mine)))) for i, (mine, _) in cells.items()}
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-12 for i in want)
+    # the classifier itself: on the same posteriors a plain loop arrives at the same weights
+    items = [np.array(sorted(model.place[list(cells[i][0] & set(order))]), dtype=np.int64) for i in sorted(known)]
+    target = np.linspace(0, 1, len(items))
+    w, bias = toxicity.train(items, target, len(order), rounds=5)
+    v, m1, m2 = [0.0] * (len(order) + 1), [0.0] * (len(order) + 1), [0.0] * (len(order) + 1)
+    for t in range(1, 6):
+        g = [0.0] * len(v)
+        for mine, goal in zip(items, target):
+            miss = (1 / (1 + math.exp(-(v[-1] + sum(v[k] for k in mine)))) - goal) / len(items)
+            for k in [*mine, -1]:
+                g[k] += miss
+        for k in range(len(v)):
+            g[k] += 1e-4 * v[k] / len(v) if k < len(order) else 0.0
+            m1[k], m2[k] = 0.9 * m1[k] + 0.1 * g[k], 0.999 * m2[k] + 0.001 * g[k] ** 2
+            v[k] -= 0.1 * (m1[k] / (1 - 0.9**t)) / (math.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
+    assert np.allclose([*w, bias], v, atol=1e-9)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
