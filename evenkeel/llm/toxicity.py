@@ -104,12 +104,11 @@ def _counts(rows: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, int, i
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0, used]), pa.array(total[1, used])], ["cell", "toxic", "clean"])
 
     sums = rows.mapInArrow(run, "cell long, toxic long, clean long").groupBy("cell").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # a lexicon entry needs toxic texts, so that only such cells (at most `cells`) come to the driver
-    table = sums.where(F.col("toxic") >= 3).toPandas()
+    # a lexicon entry needs toxic texts, so that only such cells (at most `cells`) and the totals come to the driver
+    table = sums.where((F.col("toxic") >= 3) | (F.col("cell") == cells)).toPandas()
     out = np.zeros((2, cells + 1), dtype=np.int64)
     out[0, table["cell"]], out[1, table["cell"]] = table["toxic"], table["clean"]
-    everything = sums.where(F.col("cell") == cells).first()
-    return out[0, :cells], out[1, :cells], int(everything["toxic"]) if everything else 0, int(everything["clean"]) if everything else 0
+    return out[0, :cells], out[1, :cells], int(out[0, cells]), int(out[1, cells])
 
 
 def select(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, most: int = MOST_FEATURES, least_lift: float = 4.0) -> np.ndarray:
