@@ -41,3 +41,9 @@ def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_ou
     """Cost rounded up to 1e-4, from whole prices for a million tokens; null for an unknown price."""
     units = tokens_in.cast("long") * price_in + tokens_out.cast("long") * price_out
     return F.ceil(units / 100) / F.lit(10_000.0)
+
+
+def logprob_fingerprint(text: Column, steps: Column, places: int = 4) -> Column:
+    """Hash of a reply and of its steps (maps of token to log-probability, rounded, in order of token)."""
+    ordered = F.transform(steps, lambda step: F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(step, lambda _, lp: F.round(lp, places))))))
+    return F.sha2(F.to_json(F.struct(text.alias("text"), ordered.alias("tokens"))), 256)

@@ -93,3 +93,30 @@ def file_manifest(spark, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("bytes"))
     size = F.when(F.col("bytes") < 1024, F.concat(F.col("bytes").cast("string"), F.lit(" B"))).when(F.col("bytes") < 1 << 20, F.format_string("%.1f KB", F.col("bytes") / 1024)).otherwise(F.format_string("%.1f MB", F.col("bytes") / (1 << 20)))
     return files.withColumn("size", size)
+
+
+def parsed_cells(cells: DataFrame, schema: str) -> DataFrame:
+    """Cells of a published table in the types of `schema`; an empty cell is null."""
+
+    def value(field: T.StructField) -> Column:
+        text = F.nullif(F.col(field.name), F.lit(""))
+        nested = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
+        return (F.from_json(text, field.dataType) if nested else text.cast(field.dataType)).alias(field.name)
+
+    return cells.select(*(value(f) for f in T.StructType.fromDDL(schema).fields))
+
+
+def append_alarms(records: DataFrame, path: str) -> None:
+    """Append a line for each instrument record: run_date, ok, flag, the two checks and the guard protocol."""
+    fields = ["run_date", "ok", "flag", "runtime_fingerprint_ok", "guard_margin_ok", "guard_protocol_id"]
+    records.select(*fields).write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def write_once(record: DataFrame, path: str) -> None:
+    """Write a record that must not exist yet."""
+    record.write.mode("errorifexists").json(path)
+
+
+def misnamed_percentages(units: dict[str, str], percent_units: set[str]) -> list[str]:
+    """Fields whose name and unit disagree: `_pct` is in the name if and only if the unit is a percentage."""
+    return [field for field, unit in units.items() if ("_pct" in field) != (unit in percent_units)]

@@ -87,3 +87,16 @@ def broken_rules(protocols: DataFrame) -> DataFrame:
         F.when(lacking, F.transform(missing, lambda x: F.concat(F.lit("missing "), x))).otherwise(of_protocol).alias("broken"),
         F.when(lacking, none).otherwise(faults).alias("scenario_faults"),
     )
+
+
+def promote(protocols: DataFrame, lane: Column, twin_id: Column) -> DataFrame:
+    """place, outcome of promoting each protocol to a lane: only candidates may be, and every rule must hold before and after."""
+    asked = protocols.withColumns({"_lane": lane, "_twin": twin_id}).withColumn("_after", F.explode(F.array(F.lit(False), F.lit(True))))
+    key = F.struct("place", F.col("status").alias("was"), F.col("_lane").alias("lane"), F.col("_after").alias("after"))
+    changed = {"place": key, "status": F.when(F.col("_after"), "admitted").otherwise(F.col("status")), "lane": F.when(F.col("_after"), F.col("_lane")).otherwise(F.col("lane")), "twin_id": F.when(F.col("_after"), F.col("_twin")).otherwise(F.col("twin_id"))}
+    found = broken_rules(asked.select(*(changed[c].alias(c) if c in changed else c for c in protocols.columns)))
+    fails = (F.size("broken") > 0) | (F.size("scenario_faults") > 0)
+    rows = found.groupBy("place.place", "place.was", "place.lane").agg(F.max(fails & ~F.col("place.after")).alias("before"), F.max(fails & F.col("place.after")).alias("after"))
+    known = F.coalesce(F.col("lane").isin("open", "guard", "sealed"), F.lit(False))
+    outcome = F.when(~F.col("was").eqNullSafe(F.lit("candidate")), "not_candidate").when(~known, "unknown_lane").when(F.col("before"), "fails_before").when(F.col("after"), "fails_after").otherwise("promoted")
+    return rows.select("place", outcome.alias("outcome"))

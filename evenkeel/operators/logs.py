@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.grammar import funds_error
+from evenkeel.functions.hashing import canonical_json, token_cost
 from evenkeel.functions.vocabulary import EVENTS_THAT_ADD, EVENTS_THAT_REMOVE
 
 #: Gap causes by runner and skip reason; any other pair has no honest cause.
@@ -181,3 +182,30 @@ def admit(sweeps: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
     out = T.StructType([*sweeps.schema.fields, T.StructField("skipped", T.StringType()), T.StructField("rung", T.StringType())])
     return sweeps.groupBy(*by).applyInPandas(run, out)
+
+
+def registry_events(diff: DataFrame, today: Column) -> DataFrame:
+    """family, model_id, line (the record to append) and bridge_needed of each change of a listing."""
+    line = canonical_json(record_type=F.lit("model_observed"), observed_date=today, family=F.col("family"), model_id=F.col("model_id"), event=F.col("change"))
+    return diff.select("family", "model_id", line.alias("line"), (F.col("change") == "appeared").alias("bridge_needed"))
+
+
+def spend_entries(runs: DataFrame) -> DataFrame:
+    """Ledger entries of finished runs, from the tokens they used; an unknown price or no cost writes nothing."""
+    note = F.concat("category", F.lit("; tokens x list price ("), F.col("tokens_in").cast("string"), F.lit(" in / "), F.col("tokens_out").cast("string"), F.lit(" out), not yet reconciled"))
+    priced = runs.withColumn("amount", token_cost(F.col("tokens_in"), F.col("tokens_out"), F.col("price_in"), F.col("price_out")))
+    return priced.where("amount > 0").select("run_id", "category", "amount", note.alias("note"))
+
+
+def bridge_steps(complete: DataFrame, generations: DataFrame, ledger: DataFrame, sweeps: DataFrame) -> DataFrame:
+    """What is left to do after a bridge has run: new_model, protocol_id, month, listed, billed, gap_logged, open_required.
+
+    complete: new_model, protocol_id, month. An item stays while the model isn't listed or
+    the month has no bill; the sweep's gap is a reminder only.
+    """
+    named = generations.select("new_model", F.lit(True).alias("listed")).distinct()
+    bills = ledger.where("category = 'bridge'").groupBy(F.date_format("run_date", "yyyy-MM").alias("month")).agg((F.sum("amount") > 0).alias("billed"))
+    gaps = sweeps.select("month", F.lit(True).alias("gap_logged")).distinct()
+    rows = complete.join(named, "new_model", "left").join(bills, "month", "left").join(gaps, "month", "left")
+    rows = rows.select("new_model", "protocol_id", "month", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("listed", "billed", "gap_logged")))
+    return rows.withColumn("open_required", (~F.col("listed")).cast("int") + (~F.col("billed")).cast("int")).where("open_required > 0")

@@ -128,3 +128,21 @@ def pending_proofs(spark: SparkSession, folder: str, tag: str) -> DataFrame:
     bytes_ = F.regexp_replace(F.lower(F.hex("content")), "(..)", "$1 ")
     spaced = " ".join(tag[i : i + 2] for i in range(0, len(tag), 2)).lower()
     return files.where(~F.contains(bytes_, F.lit(spaced))).select("path")
+
+
+def declassified(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a declassification list; one without protocol_id, date or reason is an error."""
+    entry = "declassified array<struct<protocol_id:string,date:string,reason:string>>"
+    rows = spark.read.schema(entry).option("multiLine", True).json(path).select(F.explode("declassified").alias("e")).select("e.*")
+    whole = F.forall(F.array("protocol_id", "date", "reason"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return rows.withColumn("protocol_id", F.when(whole, F.col("protocol_id")).otherwise(F.raise_error(F.lit("an entry needs protocol_id, date and reason")).cast("string")))
+
+
+def model_in_use(generations: DataFrame, series: str, override: str | None = None) -> str:
+    """The model named outright, else the series' active one; none is an error."""
+    if override:
+        return override
+    found = active_models(generations).where(F.col("series") == series).first()
+    if found is None:
+        raise LookupError(f"no active model in {series}")
+    return found["model_id"]

@@ -173,3 +173,35 @@ def test_a_run_stops_at_once_or_after_five_failures(spark):
     calls += [("b", 0, False, None), ("b", 1, True, 404), ("c", 0, True, 500), ("d", 0, True, 429)]
     df = spark.createDataFrame([(*c, "credit balance is too low" if c[0] == "d" else "x") for c in calls], "run string, at long, failed boolean, status int, message string")
     assert {tuple(r) for r in logs.run_stops(df, ["run"], "at").collect()} == {("a", 9, "failures"), ("b", 1, "status"), ("d", 0, "funds")}
+
+
+def test_lists_alarms_and_names(spark, tmp_path):
+    (tmp_path / "list.json").write_text('{"declassified": [{"protocol_id": "p1", "date": "2026-01-01", "reason": "old"}]}')
+    assert [tuple(r) for r in records.declassified(spark, str(tmp_path / "list.json")).collect()] == [("p1", "2026-01-01", "old")]
+    (tmp_path / "bad.json").write_text('{"declassified": [{"protocol_id": "p1", "date": "", "reason": "old"}]}')
+    with pytest.raises(Exception, match="needs protocol_id"):
+        records.declassified(spark, str(tmp_path / "bad.json")).collect()
+    models = spark.createDataFrame([(0, "commercial", "m1", "retired"), (1, "commercial", "m2", "active")], "place int, series string, model_id string, status string")
+    assert records.model_in_use(models, "commercial") == "m2" and records.model_in_use(models, "commercial", "m9") == "m9"
+    with pytest.raises(LookupError):
+        records.model_in_use(models, "open_weights")
+    alarm = spark.createDataFrame([("2026-01-01", False, None, True, False, "g1", 5)], "run_date string, ok boolean, flag string, runtime_fingerprint_ok boolean, guard_margin_ok boolean, guard_protocol_id string, more int")
+    for _ in range(2):
+        publish.append_alarms(alarm, str(tmp_path / "alarms"))
+    assert spark.read.text(str(tmp_path / "alarms")).collect()[1][0] == '{"run_date":"2026-01-01","ok":false,"flag":null,"runtime_fingerprint_ok":true,"guard_margin_ok":false,"guard_protocol_id":"g1"}'
+    publish.write_once(alarm, str(tmp_path / "once"))
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        publish.write_once(alarm, str(tmp_path / "once"))
+    assert publish.misnamed_percentages({"a_pct": "percent", "b": "percent", "c_pct": "count", "n": "count"}, {"percent"}) == ["b", "c_pct"]
+
+
+def test_bridge_steps_and_spend_entries(spark):
+    done = spark.createDataFrame([("m1", "p1", "2026-01"), ("m2", "p1", "2026-01"), ("m2", "p2", "2026-02"), ("m3", "p1", "2026-02")], "new_model string, protocol_id string, month string")
+    listed = spark.createDataFrame([("m1",), ("m2",)], "new_model string")
+    bills = spark.createDataFrame([(date(2026, 1, 5), "bridge", 3), (date(2026, 2, 5), "bridge", 0), (date(2026, 2, 5), "sweep", 9)], "run_date date, category string, amount int")
+    sweeps = spark.createDataFrame([("2026-02",)], "month string")
+    rows = sorted(tuple(r) for r in logs.bridge_steps(done, listed, bills, sweeps).collect())
+    assert rows == [("m2", "p2", "2026-02", True, False, True, 1), ("m3", "p1", "2026-02", False, False, True, 2)]
+    runs = spark.createDataFrame([("r1", "sweep", 1000, 10, 3, 15), ("r2", "sweep", 0, 0, 3, 15), ("r3", "sweep", 10, 10, None, None)], "run_id string, category string, tokens_in long, tokens_out long, price_in int, price_out int")
+    found = [tuple(r) for r in logs.spend_entries(runs).collect()]
+    assert found == [("r1", "sweep", 0.0032, "sweep; tokens x list price (1000 in / 10 out), not yet reconciled")]
