@@ -58,12 +58,9 @@ def op_reclassified(spark: SparkSession, folder: str) -> DataFrame:
 k AS (SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY place) - 1 AS p, scenario_id AS call FROM trials WHERE place % 997 <> 0)
 SELECT coalesce(o.run_id, k.run_id) AS run_id, count(o.call) AS scheduled, count(k.call) AS kept, coalesce(min(CASE WHEN o.call IS DISTINCT FROM k.call THEN coalesce(o.p, k.p) END), -1) AS parts_at FROM o FULL JOIN k ON o.run_id = k.run_id AND o.p = k.p GROUP BY ALL"""))
 def op_trial_audit(spark: SparkSession, folder: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rows = trials(spark, folder)
-    order = Window.partitionBy("run_id").orderBy("place")
-    numbered = lambda t: t.select("run_id", (F.row_number().over(order) - 1).cast("long").alias("place_"), F.col("scenario_id").alias("call")).withColumnRenamed("place_", "place")
-    found = A.schedule_check(numbered(rows), numbered(rows.where("place % 997 <> 0")), ["run_id"])
+    rows = trials(spark, folder).select("run_id", "scenario_id", F.col("place").alias("at"))
+    numbered = lambda t: A.numbered(t, "run_id", "at").select("run_id", "place", F.col("scenario_id").alias("call"))
+    found = A.schedule_check(numbered(rows), numbered(rows.where("at % 997 <> 0")), ["run_id"])
     return found.withColumn("parts_at", F.coalesce("parts_at", F.lit(-1).cast("long")))
 
 

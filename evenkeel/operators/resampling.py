@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ITERATIONS = 10_000
-BLOCK = 500
+BLOCK, MOST_DRAWS = 500, 2_000_000  # iterations of a block, and draws held at once
 # The generator's step and its two multipliers.
 STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -43,11 +43,25 @@ def _redrawn(made: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.stack([(option == k).sum(axis=1) for k in range(len(counts))], axis=1)
 
 
-def bootstrap_block(cx: np.ndarray, cy: np.ndarray, seed: int, first: int, iterations: int) -> np.ndarray:
-    """Numerators (over 2 * nx * ny) of the iterations first .. first + iterations - 1."""
+def _redrawn_in_pieces(counts: np.ndarray, seed: int, start: int, most: int) -> np.ndarray:
+    """Counts by option of one row of draws, made `most` at a time."""
+    n = int(counts.sum())
+    return sum(_redrawn(draws(seed, start + at, min(most, n - at))[None, :], counts) for at in range(0, n, most))
+
+
+def bootstrap_block(cx: np.ndarray, cy: np.ndarray, seed: int, first: int, iterations: int, most: int = MOST_DRAWS) -> np.ndarray:
+    """Numerators (over 2 * nx * ny) of the iterations first .. first + iterations - 1, holding at most `most` draws."""
     nx, ny = int(cx.sum()), int(cy.sum())
-    made = draws(seed, first * (nx + ny), iterations * (nx + ny)).reshape(iterations, nx + ny)
-    return _apart(_redrawn(made[:, :nx], cx), _redrawn(made[:, nx:], cy), nx, ny)
+    if nx + ny > most:
+        starts = range(first * (nx + ny), (first + iterations) * (nx + ny), nx + ny)
+        return np.concatenate([_apart(_redrawn_in_pieces(cx, seed, at, most), _redrawn_in_pieces(cy, seed, at + nx, most), nx, ny) for at in starts])
+    per = max(1, most // (nx + ny))
+    out = []
+    for at in range(first, first + iterations, per):
+        n = min(per, first + iterations - at)
+        made = draws(seed, at * (nx + ny), n * (nx + ny)).reshape(n, nx + ny)
+        out.append(_apart(_redrawn(made[:, :nx], cx), _redrawn(made[:, nx:], cy), nx, ny))
+    return np.concatenate(out)
 
 
 def null_floor_sum(cx: np.ndarray, cy: np.ndarray, seed: int, iterations: int, start: int = 0) -> int:

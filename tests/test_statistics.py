@@ -77,6 +77,8 @@ def test_bootstrap_blocks_make_one_sequence(spark):
         b = sum(next(draw) % 13 < 4 for _ in range(13))
         want.append(abs(a * 13 - b * 12) + abs((12 - a) * 13 - (13 - b) * 12))
     got = np.concatenate([resampling.bootstrap_block(x, y, seed, k, 10) for k in (0, 10, 20, 30)])
+    for most in (3, int(x.sum() + y.sum()) - 1, 100):  # however few draws are held at once
+        assert np.array_equal(got, resampling.bootstrap_block(x, y, seed, 0, 40, most))
     assert got.tolist() == want
     runs = spark.createDataFrame([("r", [7, 5], [4, 9], "99"), ("empty", [0, 0], [1, 1], "5")], "run_id string, cx array<bigint>, cy array<bigint>, seed string")
     row = resampling.bootstrap(runs, 40).collect()
