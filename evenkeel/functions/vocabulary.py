@@ -7,17 +7,6 @@ VERSIONS = ["A", "A_prime", "B", "C"]
 VALID = "valid"
 OUTCOMES = ["valid", "unparseable", "refused", "blocked_upstream", "truncated", "empty", "off_format"]
 PAIRS = {"ab": ("A", "B"), "aa": ("A", "A_prime"), "ac": ("A", "C")}
-FLAGS = [
-    "drop_confounded",
-    "asymmetric_missingness",
-    "below_drop_bound",
-    "below_surface_noise",
-    "not_reading",
-    "degenerate_candidate",
-    "scenario_dominated",
-    "instrument_suspect",
-    "exploratory",
-]
 REWORDING_TYPES = ["wording", "order", "default", "anchoring"]
 DROP_BOUND_MAX_PCT = 2
 DROP_ASYMMETRY_MAX_PCT = 1

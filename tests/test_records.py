@@ -205,3 +205,18 @@ def test_bridge_steps_and_spend_entries(spark):
     runs = spark.createDataFrame([("r1", "sweep", 1000, 10, 3, 15), ("r2", "sweep", 0, 0, 3, 15), ("r3", "sweep", 10, 10, None, None)], "run_id string, category string, tokens_in long, tokens_out long, price_in int, price_out int")
     found = [tuple(r) for r in logs.spend_entries(runs).collect()]
     assert found == [("r1", "sweep", 0.0032, "sweep; tokens x list price (1000 in / 10 out), not yet reconciled")]
+
+
+def test_runs_state_and_sessions(spark, tmp_path):
+    trials = spark.createDataFrame([("r1", 0, "A")], "run_id string, index int, token string")
+    figures = spark.createDataFrame([("r1", 90.0)], "run_id string, stability_pct double")
+    publish.write_run(trials, figures, str(tmp_path / "r1"))
+    assert spark.read.json(str(tmp_path / "r1" / "measurement")).collect()[0]["stability_pct"] == 90.0
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        publish.write_run(trials, figures, str(tmp_path / "r1"))
+    state = lambda *rows: spark.createDataFrame(rows, "job string, last_run string")
+    publish.upsert_state(state(("a", "2026-01-03"), ("b", "2026-01-01")), state(("a", "2026-01-02"), ("b", "2026-01-05"), ("c", "2026-01-01")), str(tmp_path / "state"))
+    assert sorted(tuple(r) for r in spark.read.json(str(tmp_path / "state")).select("job", "last_run").collect()) == [("a", "2026-01-03"), ("b", "2026-01-05"), ("c", "2026-01-01")]
+    seen = spark.sql("SELECT job, timestamp(at) AS at FROM VALUES ('a', '2026-01-01 00:00:00'), ('a', '2026-01-02 06:00:00'), ('a', '2026-01-05 00:00:00'), ('b', '2026-01-01 00:00:00') AS t(job, at)")
+    found = streams.activity_gaps(seen, "job", "at").selectExpr("job", "string(first)", "events").collect()
+    assert sorted(tuple(r) for r in found) == [("a", "2026-01-01 00:00:00", 2), ("a", "2026-01-05 00:00:00", 1), ("b", "2026-01-01 00:00:00", 1)]
