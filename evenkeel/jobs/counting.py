@@ -159,8 +159,9 @@ def op_scenario_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
     """Every run with its gates; thresholds, status and lane follow the run's number."""
-    base = materialize(trials(spark, folder), "trials")
-    rows = counts.with_pairs(counts.tally(base, ["run_id"])).join(scenarios.concentration(scenarios.gaps(base)), "run_id", "left")
+    # the trials are counted once, by run and scenario; the rest works on these few rows
+    cells = materialize(counts.tally(trials(spark, folder), ["run_id", "scenario_id"]), "cells")
+    rows = counts.with_pairs(counts.added(cells, ["run_id"])).join(scenarios.concentration(scenarios.cell_gaps(cells)), "run_id", "left")
     k = F.substr("run_id", F.lit(5)).cast("int")
     theta = F.when(k % 5 != 0, (10 + k).cast("decimal(12,6)"))
     share = F.when(k % 7 != 0, (15 + 3 * k).cast("decimal(12,6)"))

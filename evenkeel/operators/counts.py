@@ -30,6 +30,15 @@ def tally(trials: DataFrame, by: list[str], options: list[str] = OPTIONS) -> Dat
     return rows.groupBy(*by).agg(*measures)
 
 
+def added(cells: DataFrame, by: list[str], options: list[str] = OPTIONS) -> DataFrame:
+    """Rows of `tally` over finer groups, added up to the groups of `by`."""
+    measures = []
+    for v in VERSIONS:
+        measures += [F.sum(f"n_{v}").alias(f"n_{v}"), F.sum(f"valid_{v}").alias(f"valid_{v}")]
+        measures.append(F.array(*(F.sum(F.col(f"c_{v}")[k]) for k in range(len(options)))).alias(f"c_{v}"))
+    return cells.groupBy(*by).agg(*measures)
+
+
 def total(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
 

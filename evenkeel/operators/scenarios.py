@@ -19,12 +19,16 @@ def gaps(trials: DataFrame, panels: DataFrame | None = None, options: list[str]
 
     Without panels the scenarios that a run has trials of are its panel.
     """
-    rows = tally(trials, ["run_id", "scenario_id"], options)
-    num, den = distance(F.col("c_A"), F.col("c_B"))
-    found = rows.select("run_id", "scenario_id", published(num * 100, den).alias("gap_pct"))
+    found = cell_gaps(tally(trials, ["run_id", "scenario_id"], options))
     return found if panels is None else panels.join(found, ["run_id", "scenario_id"], "left")
 
 
+def cell_gaps(cells: DataFrame) -> DataFrame:
+    """run_id, scenario_id, gap_pct of trials counted by run and scenario."""
+    num, den = distance(F.col("c_A"), F.col("c_B"))
+    return cells.select("run_id", "scenario_id", published(num * 100, den).alias("gap_pct"))
+
+
 def spread(found: DataFrame) -> DataFrame:
     """min, nearest-rank quartiles, median and max of each run's known gaps."""
     g = F.col("gap_pct")
