@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat_format, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, sharding, substring_dedup, toxicity, url_filter
+from evenkeel.llm import chat_format, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
 from evenkeel.sources.tables import materialize, table
 
 
@@ -57,6 +57,10 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -68,6 +72,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_spelling_variants": op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_line_dedup": line_dedup.sql(),
     "op8_decontamination": decontamination.sql(),
     "op9_sharding": sharding.sql(),
+    "op11_spelling_variants": spelling.sql(),
 }

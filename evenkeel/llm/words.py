@@ -93,12 +93,9 @@ class Words:
         return spans_hash(self.hashes, start, end, _WORD_BASE_2 if second else _WORD_BASE)
 
 
-def cut(data: np.ndarray, edges: np.ndarray, lower: bool = False) -> Words:
-    """Find and hash the words of texts data[edges[i]:edges[i + 1]]."""
-    if lower:
-        data = LOWER[data]
-    inside = ~SEPARATORS[data]
-    n = len(data)
+def spans(inside: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of bytes that are `inside`, none across the edge of a text."""
+    n = len(inside)
     opens, closes = np.empty(n + 1, dtype=bool), np.empty(n + 1, dtype=bool)
     opens[0], opens[n] = n > 0 and inside[0], False
     opens[1:n] = inside[1:] & ~inside[:-1]
@@ -108,7 +105,14 @@ def cut(data: np.ndarray, edges: np.ndarray, lower: bool = False) -> Words:
     joints = joints[(joints > 0) & (joints < n)]
     opens[joints] = inside[joints]
     closes[joints] = inside[joints - 1]
-    start, end = np.flatnonzero(opens), np.flatnonzero(closes)
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
+def cut(data: np.ndarray, edges: np.ndarray, lower: bool = False) -> Words:
+    """Find and hash the words of texts data[edges[i]:edges[i + 1]]."""
+    if lower:
+        data = LOWER[data]
+    start, end = spans(~SEPARATORS[data], edges)
     hashes = spans_hash(_BYTE_KEYS[data], start, end, _BYTE_BASE)
     return Words(data, edges, start, end, np.searchsorted(start, edges), hashes)
 
