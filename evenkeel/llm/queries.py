@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat_format, decontamination, line_dedup, minhash_dedup, mixing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
+from evenkeel.llm import chat_format, decontamination, line_dedup, merkle, minhash_dedup, mixing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
 from evenkeel.sources.tables import materialize, table
 
 
@@ -61,6 +61,10 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -73,6 +77,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontamination.sql(),
     "op9_sharding": sharding.sql(),
     "op11_spelling_variants": spelling.sql(),
+    "op12_merkle_manifest": merkle.sql(),
 }
