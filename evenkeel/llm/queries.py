@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat_format, decontamination, line_dedup, merkle, minhash_dedup, mixing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
+from evenkeel.llm import chat_format, decontamination, html_extraction, line_dedup, merkle, minhash_dedup, mixing, quality_rules, sharding, spelling, substring_dedup, toxicity, url_filter
 from evenkeel.sources.tables import materialize, table
 
 
@@ -65,6 +65,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_substring_dedup": op2_substring_dedup,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_spelling_variants": op11_spelling_variants,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {
