@@ -191,7 +191,7 @@ def manifest(docs: DataFrame, run: int = RUN, levels: int = LEVELS) -> DataFrame
     tops = numbered(stages[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "node"), "name")
     above = up(tops, run, levels)
     none = F.array().cast("array<string>")
-    outer = above[-1].select("tree", "pos", none.alias("lefts"), none.alias("rights"), F.lit("").alias("subroot"), F.col("node").alias("root"))
+    outer = materialize(above[-1].select("tree", "pos", none.alias("lefts"), none.alias("rights"), F.lit("").alias("subroot"), F.col("node").alias("root")), "merkle-root")
     outer = exchange(tops, down(above, outer, run, levels), run, levels)
     return verify(rows, down(stages, outer, run, levels), run, levels)
 
