@@ -135,7 +135,7 @@ def op_bridge_followup(spark: SparkSession, folder: str) -> DataFrame:
     rows = history(spark, folder).where("on_curve")
     new = rows.where("model_id <> 'model_0'").select("protocol_id", "series", F.col("model_id").alias("new_model"), F.col("run_date").alias("new_day"))
     now = rows.where("model_id = 'model_0'").select("protocol_id", "series", F.col("run_date").alias("now_day"))
-    done = H.near(new, now, ["protocol_id", "series"], "new_day", "now_day").select("new_model", "protocol_id").distinct()
+    done = H.having_near(new, now, ["protocol_id", "series"], "new_day", "now_day").select("new_model", "protocol_id").distinct()
     last = new.groupBy("new_model", "protocol_id").agg(F.max("new_day").alias("day"))
     complete = owed.join(done, ["new_model", "protocol_id"], "left_semi").join(last, ["new_model", "protocol_id"]).select("new_model", "protocol_id", F.date_format("day", "yyyy-MM").alias("month"))
     sweeps = observations(spark, folder).where("job = 'signup'").select(F.date_format(F.add_months("day", -26 * 12), "yyyy-MM").alias("month"))

@@ -89,7 +89,7 @@ def op_bridge_missing(spark: SparkSession, folder: str) -> DataFrame:
     rows = history(spark, folder)
     new = rows.where("model_id <> 'model_0' and on_curve").select("protocol_id", "series", F.col("model_id").alias("new_model"), F.col("run_date").alias("new_day"))
     now = rows.where("model_id = 'model_0' and on_curve").select("protocol_id", "series", F.col("run_date").alias("now_day"))
-    done = H.near(new, now, ["protocol_id", "series"], "new_day", "now_day").select("new_model", "protocol_id").distinct()
+    done = H.having_near(new, now, ["protocol_id", "series"], "new_day", "now_day").select("new_model", "protocol_id").distinct()
     return owed.join(done, ["new_model", "protocol_id"], "left_anti")
 
 

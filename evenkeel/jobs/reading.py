@@ -193,9 +193,8 @@ SELECT p.place, concat_ws(',', CASE WHEN p.status <> 'admitted' THEN 'not_admitt
 FROM protocols p LEFT JOIN c k ON k.place = p.place LEFT JOIN h ON h.place = p.place LEFT JOIN c n ON n.prefix = regexp_extract(p.protocol_id, '^(.+)__v(\\d+)$', 1)"""))
 def op_declassification(spark: SparkSession, folder: str) -> DataFrame:
     p = protocols(spark, folder)
-    measured = history(spark, folder).where("on_curve and series = 'commercial'").select(F.substr("protocol_id", F.lit(2)).cast("long").alias("k"), "model_id", F.col("run_date").alias("day"))
-    runs = p.select("place", (F.col("place") % 97).alias("k")).join(measured, "k").drop("k")
-    return P.declassification(p, runs).withColumn("broken", F.array_join("broken", ","))
+    measured = history(spark, folder).where("on_curve and series = 'commercial'").select(F.substr("protocol_id", F.lit(2)).cast("long").alias("line"), "model_id", F.col("run_date").alias("day"))
+    return P.declassification(p, measured, F.col("place") % 97).withColumn("broken", F.array_join("broken", ","))
 
 
 @query(with_views("protocols history", _CURRENT + """, m AS (SELECT DISTINCT CAST(substr(protocol_id, 2) AS INTEGER) AS k, model_id FROM history WHERE series = 'commercial'), d AS (SELECT DISTINCT model_id FROM m)

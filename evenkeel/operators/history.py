@@ -1,9 +1,12 @@
 """Measurements over time: latest, trend, and pairs of nearby measurements of different models.
 
-The range joins (two dates at most `days` apart) run as equi-joins: dates fall into
-buckets one wider than the window, and one side is offered to its own and the
-neighbouring buckets, so each pair meets exactly once and nothing is compared beyond
-three buckets.
+Dates at most `days` apart are found in three ways, none of which is a nested loop. All
+pairs (`near`): dates fall into buckets one wider than the window, and one side is offered
+to its own and the neighbouring buckets, so that each pair meets exactly once. Whether
+there is any (`having_near`): one side becomes stretches of covered days, a short array a
+key. The closest (`closest`): both sides are merged in order of day, and each row is
+compared with the last and the next of the other side. The last two hold a row for each
+day of a key at most, however many measurements that day has.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ def trend(history: DataFrame) -> DataFrame:
 
 
 def _bucket(day: Column, days: int) -> Column:
-    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / F.lit(days + 1)).cast("long")
+    return F.floor(day_number(day) / F.lit(days + 1)).cast("long")
 
 
 def near(left: DataFrame, right: DataFrame, on: list[str], left_day: str, right_day: str, days: int = BRIDGE_WINDOW_DAYS) -> DataFrame:
@@ -70,13 +73,60 @@ def model_pairs(history: DataFrame, days: int = BRIDGE_WINDOW_DAYS) -> DataFrame
     return met.withColumn("gap", F.abs(F.datediff("this_day", "other_day")))
 
 
+def day_number(day: Column) -> Column:
+    return F.datediff(day, F.lit("1970-01-01").cast("date"))
+
+
+def stretches(numbers: Column, days: int = BRIDGE_WINDOW_DAYS) -> Column:
+    """first and last of the stretches of days at most `days` from one of the day numbers (a sorted array without repeats)."""
+    wide = 2 * days + 1
+    begins = F.filter(numbers, lambda d, i: (i == 0) | (d - F.get(numbers, i - 1) > wide))
+    ends = F.filter(numbers, lambda d, i: (i == F.size(numbers) - 1) | (F.get(numbers, i + 1) - d > wide))
+    return F.zip_with(begins, ends, lambda b, e: F.struct((b - days).alias("first"), (e + days).alias("last")))
+
+
+def within(number: Column, covered: Column) -> Column:
+    return F.exists(covered, lambda s: (s["first"] <= number) & (number <= s["last"]))
+
+
+def having_near(left: DataFrame, right: DataFrame, on: list[str], left_day: str, right_day: str, days: int = BRIDGE_WINDOW_DAYS) -> DataFrame:
+    """Rows of left for which right has a row equal in `on` and at most `days` apart."""
+    covered = right.groupBy(*on).agg(F.sort_array(F.collect_set(day_number(F.col(right_day)))).alias("_days"))
+    covered = covered.select(*on, stretches(F.col("_days"), days).alias("_covered"))
+    return left.join(covered, on).where(within(day_number(F.col(left_day)), F.col("_covered"))).drop("_covered")
+
+
+def closest(history: DataFrame, days: int = BRIDGE_WINDOW_DAYS) -> DataFrame:
+    """this, other, gap: the closest two measurements of each two models of a protocol and series, in either order.
+
+    Least gap first, then the later own date, then run ids. Measurements of one model and day are
+    alike but for their run id, so that the first of them stands for the day; days of two
+    models are merged and each is held against the last and the next of the other model.
+    """
+    on = ["protocol_id", "series"]
+    daily = keyed(history).where(F.col("run_date").isNotNull() & F.col("model_id").isNotNull()).groupBy(*on, "model_id", "run_date").agg(F.min_by(F.struct(*FIGURES), "run_id").alias("this"))
+    models = daily.select(*on, F.col("model_id").alias("other_model")).distinct()
+    rows = daily.join(models, on).where("model_id <> other_model").withColumns({"low": F.least("model_id", "other_model"), "day": day_number(F.col("run_date"))})
+    pair = [*on, "low", F.greatest("model_id", "other_model")]
+    theirs = {}
+    for name, order in (("before", F.col("day")), ("after", -F.col("day"))):
+        seen = Window.partitionBy(*pair).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        of = lambda low: F.last(F.when((F.col("model_id") == F.col("low")) == F.lit(low), F.col("this")), ignorenulls=True).over(seen)  # noqa: E731, B023
+        theirs |= {f"{name}_low": of(True), f"{name}_high": of(False)}
+    rows = rows.withColumns(theirs)
+    other = [F.when(F.col("model_id") == F.col("low"), F.col(f"{name}_high")).otherwise(F.col(f"{name}_low")) for name in ("before", "after")]
+    met = rows.select(*on, F.col("model_id").alias("this_model"), "other_model", "this", "day", F.explode(F.array(*other)).alias("other"))
+    met = met.withColumn("gap", F.abs(F.datediff("this.run_date", "other.run_date"))).where(F.col("gap") <= days)
+    rank = F.struct("gap", (-F.col("day")).alias("late"), F.col("this.run_id").alias("a"), F.col("other.run_id").alias("b"))
+    key = [*on, "this_model", "other_model"]
+    best = met.groupBy(*key).agg(F.min_by(F.struct("this", "other", "gap"), rank).alias("pair"))
+    return best.select(*key, "pair.*")
+
+
 def bridges(history: DataFrame, days: int = BRIDGE_WINDOW_DAYS) -> DataFrame:
-    """The closest pair for each two models: least gap, then the later own date, then run ids; with its verdict."""
+    """The closest pair for each two models, with its verdict."""
     key = ["protocol_id", "series", "this_model", "other_model"]
-    rank = F.struct("gap", (-F.datediff("this_day", F.lit("1970-01-01").cast("date"))).alias("late"), F.col("this.run_id").alias("a"), F.col("other.run_id").alias("b"))
-    best = model_pairs(history, days).groupBy(*key).agg(F.min_by(F.struct("this", "other", "gap"), rank).alias("pair"))
-    rows = best.select(*key, "pair.this", "pair.other", "pair.gap")
-    return rows.select(*key, F.col("this.run_id").alias("this_run"), F.col("other.run_id").alias("other_run"), "gap", compare("other", "this").alias("verdict"))
+    return closest(history, days).select(*key, F.col("this.run_id").alias("this_run"), F.col("other.run_id").alias("other_run"), "gap", compare("other", "this").alias("verdict"))
 
 
 def other_models(history: DataFrame) -> DataFrame:
