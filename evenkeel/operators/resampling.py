@@ -1,9 +1,14 @@
 """Seeded resampling, reproducible to the bit.
 
 The generator is a counter: the k-th draw of a seed is a fixed mix of seed + k * step
-modulo 2**64. So every bootstrap iteration knows where its draws begin, and iterations
-of one measurement are dealt out over tasks in blocks. The null floor carries its pool from
-one iteration to the next and stays one measurement a row; measurements are dealt out.
+modulo 2**64. So every iteration knows where its draws begin, and iterations of one
+measurement are dealt out over tasks in blocks.
+
+The null floor carries its pool from one iteration to the next. What an iteration does to
+the pool's places doesn't depend on what lies there: each block is first reduced to one
+permutation of places, the permutations of a measurement are composed in order, and each
+block then counts from the pool that it really starts with.
+
 One stream serves a measurement: the bootstrap first, the null floor after it.
 """
 
@@ -16,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.sources.tables import materialize
+
 ITERATIONS = 10_000
 BLOCK, MOST_DRAWS = 500, 2_000_000  # iterations of a block, and draws held at once
 # The generator's step and its two multipliers.
@@ -64,37 +71,63 @@ def bootstrap_block(cx: np.ndarray, cy: np.ndarray, seed: int, first: int, itera
     return np.concatenate(out)
 
 
-def null_floor_sum(cx: np.ndarray, cy: np.ndarray, seed: int, iterations: int, start: int = 0) -> int:
-    """Sum of the numerators (over 2 * nx * ny) of random splits of the pooled replies.
-
-    Each iteration draws nx of the pool's places without return, from the pool as the one
-    before left it; draws begin after `start` earlier ones of the stream.
-    """
-    nx, ny = int(cx.sum()), int(cy.sum())
-    both = [int(a + b) for a, b in zip(cx, cy)]
-    pool = np.repeat(np.arange(len(both)), both).tolist()
-    room = np.arange(nx + ny, ny, -1, dtype=np.uint64)
-    total, per = 0, max(1, 200_000 // max(nx, 1))
+def _splits(pool: list[int], nx: int, seed: int, start: int, iterations: int) -> Iterator[list[int]]:
+    """The pool after each iteration, which draws nx of its places without return from the pool as the one before left it; draws begin after `start` earlier ones."""
+    room = np.arange(len(pool), len(pool) - nx, -1, dtype=np.uint64)
+    per = max(1, 200_000 // max(nx, 1))
     for begin in range(0, iterations, per):
         n = min(per, iterations - begin)
         jumps = (draws(seed, start + begin * nx, n * nx).reshape(n, nx) % room).astype(np.int64) + np.arange(nx)
         for row in jumps.tolist():
             for i, j in enumerate(row):
                 pool[i], pool[j] = pool[j], pool[i]
-            head = pool[:nx]
-            for k, of in enumerate(both):
-                drawn = head.count(k)
-                total += abs(drawn * ny - (of - drawn) * nx)
+            yield pool
+
+
+def block_permutation(size: int, nx: int, seed: int, start: int, iterations: int) -> np.ndarray:
+    """From which place the content of each place comes, after some iterations."""
+    pool = list(range(size))
+    for _ in _splits(pool, nx, seed, start, iterations):
+        pass
+    return np.asarray(pool, dtype=np.int32)
+
+
+def replies(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """The pool before the first iteration: the option of each reply."""
+    return np.repeat(np.arange(len(cx)), cx + cy)
+
+
+def null_floor_sum(cx: np.ndarray, cy: np.ndarray, seed: int, iterations: int, start: int = 0, pool: np.ndarray | None = None) -> int:
+    """Sum of the numerators (over 2 * nx * ny) of random splits of the pooled replies, from a pool in a given order."""
+    nx, ny = int(cx.sum()), int(cy.sum())
+    both = [int(a + b) for a, b in zip(cx, cy)]
+    total = 0
+    for now in _splits((replies(cx, cy) if pool is None else pool).tolist(), nx, seed, start, iterations):
+        head = now[:nx]
+        for k, of in enumerate(both):
+            drawn = head.count(k)
+            total += abs(drawn * ny - (of - drawn) * nx)
     return total
 
 
+def _blocks(runs: DataFrame, iterations: int, block: int) -> DataFrame:
+    """A row for each block of iterations of the runs with replies on both sides."""
+    n = lambda side: F.coalesce(F.aggregate(side, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
+    some = runs.where((n("cx") > 0) & (n("cy") > 0))
+    return some.select("run_id", "cx", "cy", "seed", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(block))).alias("first"))
+
+
+def _dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks over all tasks: a given number keeps adaptive execution from joining these few, costly rows into one task."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "run_id", "first")
+
+
 def bootstrap(runs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """run_id, low_num, high_num, den: the 2.5th and 97.5th nearest-rank gap of resampled replies.
 
     runs: run_id, cx, cy (counts by option), seed (decimal text); a side without replies has no interval.
     """
-    some = runs.where(F.col("cx").isNotNull() & (F.aggregate("cx", F.lit(0).cast("long"), lambda a, x: a + x) > 0) & (F.aggregate("cy", F.lit(0).cast("long"), lambda a, x: a + x) > 0))
-    blocks = some.select("run_id", "cx", "cy", "seed", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1), F.lit(BLOCK))).alias("first"))
+    blocks = _blocks(runs, iterations, BLOCK)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -102,27 +135,48 @@ def bootstrap(runs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
                 nums = bootstrap_block(np.asarray(r.cx), np.asarray(r.cy), int(r.seed), r.first, min(BLOCK, iterations - r.first))
                 yield pd.DataFrame({"run_id": r.run_id, "num": nums, "den": 2 * int(sum(r.cx)) * int(sum(r.cy))})
 
-    nums = blocks.repartition("run_id", "first").mapInPandas(run, "run_id string, num long, den long")
+    nums = _dealt(blocks).mapInPandas(run, "run_id string, num long, den long")
     rank = lambda p, name: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY num)").cast("long").alias(name)
     return nums.groupBy("run_id").agg(rank(0.025, "low_num"), rank(0.975, "high_num"), F.first("den").alias("den"))
 
 
-def null_floor(runs: DataFrame, iterations: int = ITERATIONS, after_bootstrap: int = 0) -> DataFrame:
+def null_floor(runs: DataFrame, iterations: int = ITERATIONS, after_bootstrap: int = 0, block: int = BLOCK) -> DataFrame:
     """run_id, floor_num, floor_den; the stream goes on after `after_bootstrap` bootstrap iterations."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def begun(r) -> tuple[np.ndarray, np.ndarray, int, int]:
+        cx, cy = np.asarray(r.cx), np.asarray(r.cy)
+        nx, ny = int(cx.sum()), int(cy.sum())
+        return cx, cy, after_bootstrap * (nx + ny) + int(r.first) * nx, min(block, iterations - int(r.first))
+
+    def permute(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for r in part.itertuples(index=False):
+                cx, cy, start, n = begun(r)
+                made = block_permutation(int(cx.sum() + cy.sum()), int(cx.sum()), int(r.seed), start, n)
+                yield pd.DataFrame({"run_id": [r.run_id], "first": [r.first], "places": [made]})
+
+    def compose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("first")
+        at = [np.arange(len(part["places"].iloc[0]), dtype=np.int32)]
+        for places in part["places"].iloc[:-1]:
+            at.append(at[-1][places])
+        return pd.DataFrame({"run_id": part["run_id"], "first": part["first"], "places": at})
+
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for r in part.itertuples(index=False):
-                cx, cy = np.asarray(r.cx), np.asarray(r.cy)
-                nx, ny = int(cx.sum()), int(cy.sum())
-                if nx and ny:
-                    rows.append((r.run_id, null_floor_sum(cx, cy, int(r.seed), iterations, after_bootstrap * (nx + ny)), 2 * nx * ny * iterations))
-                else:
-                    rows.append((r.run_id, None, None))
-            yield pd.DataFrame(rows, columns=["run_id", "floor_num", "floor_den"]).astype({"floor_num": "Int64", "floor_den": "Int64"})
-
-    return runs.select("run_id", "cx", "cy", "seed").repartition("run_id").mapInPandas(run, "run_id string, floor_num long, floor_den long")
+                cx, cy, start, n = begun(r)
+                num = null_floor_sum(cx, cy, int(r.seed), n, start, replies(cx, cy)[r.places])
+                yield pd.DataFrame({"run_id": [r.run_id], "num": [num]})
+
+    shape = "run_id string, first int, places array<int>"
+    blocks = _blocks(runs, iterations, block)
+    moved = materialize(_dealt(blocks).mapInPandas(permute, shape), "floor-blocks")
+    starts = moved.groupBy("run_id").applyInPandas(compose, shape)  # as many short arrays as a run has blocks
+    nums = _dealt(blocks.join(starts, ["run_id", "first"])).mapInPandas(count, "run_id string, num long")
+    den = F.aggregate("cx", F.lit(0).cast("long"), lambda a, x: a + x) * F.aggregate("cy", F.lit(0).cast("long"), lambda a, x: a + x) * 2 * iterations
+    sums = nums.groupBy("run_id").agg(F.sum("num").alias("floor_num"))
+    return runs.select("run_id", den.alias("den")).join(sums, "run_id", "left").select("run_id", "floor_num", F.when(F.col("floor_num").isNotNull(), F.col("den")).alias("floor_den"))
 
 
 def call_order(seed: int, n: int) -> list[int]:

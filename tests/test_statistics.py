@@ -53,6 +53,25 @@ def test_null_floor(x, y, seed, n, floor):
     assert Fraction(resampling.null_floor_sum(np.array(x), np.array(y), seed, n), 2 * nx * ny * n) == floor
 
 
+@pytest.mark.parametrize("block", [1, 7, 40])
+def test_null_floor_is_the_same_in_blocks(spark, block):
+    """Blocks of one run, counted apart from each other, against the pool carried through all iterations."""
+    runs = spark.createDataFrame([("a", [5, 3], [2, 6], "42"), ("b", [9, 1, 4], [3, 3, 8], "7"), ("c", [1, 0], [0, 1], "9"), ("none", [0, 0], [4, 1], "5"), ("null", None, [4, 1], "5")], "run_id string, cx array<bigint>, cy array<bigint>, seed string")
+    found = {r.run_id: (r.floor_num, r.floor_den) for r in resampling.null_floor(runs, 40, after_bootstrap=3, block=block).collect()}
+    for r in runs.collect():
+        if r.cx is None or not sum(r.cx):
+            assert found[r.run_id] == (None, None)
+            continue
+        nx, ny = sum(r.cx), sum(r.cy)
+        assert found[r.run_id] == (resampling.null_floor_sum(np.array(r.cx), np.array(r.cy), int(r.seed), 40, 3 * (nx + ny)), 2 * nx * ny * 40)
+
+
+def test_permutations_of_blocks_compose():
+    whole = resampling.block_permutation(12, 5, 77, 0, 9)
+    first, then = resampling.block_permutation(12, 5, 77, 0, 4), resampling.block_permutation(12, 5, 77, 20, 5)
+    assert whole.tolist() == first[then].tolist() and sorted(whole) == list(range(12))
+
+
 def sequential(seed, n):
     state = seed
     for _ in range(n):
