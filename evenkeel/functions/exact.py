@@ -30,3 +30,19 @@ def more(num: Column, den: Column, other_num: Column, other_den: Column | int =
     """num / den > other_num / other_den for positive denominators."""
     other = F.lit(other_den) if isinstance(other_den, int) else other_den
     return wide(num) * wide(other) > wide(other_num) * wide(den)
+
+
+def rounded(value: Column, places: int) -> Column:
+    """A double at some places (7 at most), half-even by the exact value that its bits stand for.
+
+    The product with the power of ten is taken without error, as the sum of two doubles.
+    """
+    scale = float(10**places)
+    high = value * 134217729.0 - (value * 134217729.0 - value)  # the upper half of the value's bits
+    product = value * scale
+    error = (high * scale - product) + (value - high) * scale
+    below = F.floor(product).cast("double")
+    half = product - below
+    up = (half > 0.5) | ((half == 0.5) & ((error > 0) | ((error == 0) & (below % 2 != 0))))
+    whole = below + F.when(up, 1.0).otherwise(0.0)
+    return F.when(whole == 0, value * 0.0).otherwise(whole / scale)  # a zero keeps its sign

@@ -45,6 +45,17 @@ def _native_line(line: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(bare, PYTHON_SPACE, " ")), "[.!; ]+$", "")
 
 
+def option_keys(options: Column) -> Column:
+    """Options as the grammar compares them: those of plain ASCII natively, the others by its exact rule."""
+
+    @F.pandas_udf("array<string>")
+    def exact(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda options: None if options is None else [None if o is None else normalized(o) for o in options])
+
+    odd = F.exists(options, lambda o: F.octet_length(o) != F.char_length(o))
+    return F.when(odd, exact(F.when(odd, options))).otherwise(F.transform(options, _native_line))
+
+
 def _verdict(stated: Column, tails: Column, known: Column, table: Column, strict: bool) -> Column:
     """Outcome, token and reason from the tails of decision lines and those that are options."""
     bad = lambda outcome, reason: F.struct(F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("token"), F.lit(reason).alias("reason"))

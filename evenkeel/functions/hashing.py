@@ -1,16 +1,20 @@
-"""Canonical JSON, hashes and seeds."""
+"""Hashes and seeds."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from evenkeel.functions.canonical import json_text, row_json
+from evenkeel.functions.exact import rounded
 
 JOINT = "‖"
 
 
-def canonical_json(**fields: Column) -> Column:
-    """Fields in order of name, nulls kept, no spaces."""
-    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"})
+def row_sha256(schema: T.StructType, *names: str) -> Column:
+    """Hash of the named columns' canonical JSON."""
+    return sha256(row_json(schema, *names))
 
 
 def sha256(text: Column) -> Column:
@@ -44,6 +48,8 @@ def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_ou
 
 
 def logprob_fingerprint(text: Column, steps: Column, places: int = 4) -> Column:
-    """Hash of a reply and of its steps (maps of token to log-probability, rounded, in order of token)."""
-    ordered = F.transform(steps, lambda step: F.map_from_entries(F.array_sort(F.map_entries(F.transform_values(step, lambda _, lp: F.round(lp, places))))))
-    return F.sha2(F.to_json(F.struct(text.alias("text"), ordered.alias("tokens"))), 256)
+    """Hash of a reply and of its steps (maps of token to log-probability, rounded)."""
+    near = F.transform(steps, lambda step: F.transform_values(step, lambda _, lp: rounded(lp, places)))
+    kind = T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))
+    told = F.concat(F.lit('{"text":'), json_text(text, T.StringType(), ascii=True), F.lit(',"tokens":'), json_text(near, kind, ascii=True), F.lit("}"))
+    return F.sha2(told, 256)

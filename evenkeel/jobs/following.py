@@ -62,14 +62,21 @@ def op_parsed_cells(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("run_id", F.size("flags").alias("n_flags"), F.get("flags", F.lit(0)).alias("first_flag"), "reading", "all_passed", F.col("n_valid.A").alias("valid_a"), F.col("n_valid.B").alias("valid_b"))
 
 
-@query(""" WITH t AS (SELECT l_orderkey, '{"' || l_returnflag || '":' || round(-(l_discount + 0.01), 4) || ',"x' || l_linestatus || '":' || round(-(l_tax + 1), 4) || '}' AS step, l_linenumber, l_returnflag, l_discount, l_linestatus, l_tax FROM lineitem)
-SELECT l_orderkey AS prompt, sha256('{"text":"reply ' || l_orderkey || '","tokens":[' || string_agg(step, ',' ORDER BY l_linenumber, l_returnflag, l_discount DESC, l_linestatus, l_tax DESC) || ']}') AS fingerprint FROM t GROUP BY l_orderkey""")
+_LOGPROB = "-l_discount * [0.004, 0.1, 1.0][1 + l_linenumber % 3] - [0.0, 0.0003, 1e-9][1 + l_orderkey % 3]"  # about -0.0 to -0.1, many under a thousandth
+# What stands for the reply's letters beyond ASCII.
+_ODD_REPLY, _ODD_ESCAPED = "reply é \U0001f600 ", r"reply \u00e9 \ud83d\ude00 "
+
+
+@query(f""" WITH t AS (SELECT l_orderkey, '{{"' || l_returnflag || '":' || CAST(round({_LOGPROB}, 4) AS VARCHAR) || ',"x' || l_linestatus || '\\u00e9":' || round(-(l_tax + 1), 4) || '}}' AS step, l_linenumber, l_returnflag, {_LOGPROB} AS la, l_linestatus, l_tax FROM lineitem)
+SELECT l_orderkey AS prompt, sha256('{{"text":"{_ODD_ESCAPED}' || l_orderkey || '","tokens":[' || string_agg(step, ',' ORDER BY l_linenumber, l_returnflag, la, l_linestatus, l_tax DESC) || ']}}') AS fingerprint FROM t GROUP BY l_orderkey""")
 def op_logprob_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_discount", "l_tax")
-    step = F.struct("l_linenumber", F.col("l_returnflag").alias("a"), (-(F.col("l_discount") + 0.01)).alias("la"), F.concat(F.lit("x"), "l_linestatus").alias("b"), (-(F.col("l_tax") + 1)).alias("lb"))
+    one_of = lambda key, *values: F.element_at(F.array(*map(F.lit, values)), (1 + F.col(key) % 3).cast("int"))
+    logprob = -F.col("l_discount") * one_of("l_linenumber", 0.004, 0.1, 1.0) - one_of("l_orderkey", 0.0, 0.0003, 1e-9)
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", logprob.alias("la"), "l_tax")
+    step = F.struct("l_linenumber", F.col("l_returnflag").alias("a"), "la", F.concat(F.lit("x"), "l_linestatus", F.lit("é")).alias("b"), (-(F.col("l_tax") + 1)).alias("lb"))
     steps = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     maps = F.transform("steps", lambda s: F.create_map(s["b"], s["lb"], s["a"], s["la"]))
-    return steps.select(F.col("l_orderkey").alias("prompt"), S.logprob_fingerprint(F.concat(F.lit("reply "), F.col("l_orderkey").cast("string")), maps).alias("fingerprint"))
+    return steps.select(F.col("l_orderkey").alias("prompt"), S.logprob_fingerprint(F.concat(F.lit(_ODD_REPLY), F.col("l_orderkey").cast("string")), maps).alias("fingerprint"))
 
 
 @query(""" WITH c AS (SELECT p_partkey AS item, CASE WHEN p_size % 2 = 0 THEN 'yes' ELSE 'no' END AS truth, CAST('0x' || substr(sha256('fingerprint‖' || p_partkey), 1, 16) AS UBIGINT)::UHUGEINT AS seed FROM part),

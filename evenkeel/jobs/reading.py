@@ -100,8 +100,8 @@ def op_protocol_names(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(with_views("protocols", " SELECT place, sha256('{\"family\":\"' || family || '\",\"grammar_version\":' || grammar_version || ',\"lane\":' || coalesce('\"' || lane || '\"', 'null') || ',\"n\":' || n || ',\"protocol_id\":\"' || protocol_id || '\",\"status\":\"' || status || '\"}') AS sha256 FROM protocols"))
 def op_canonical_hash(spark: SparkSession, folder: str) -> DataFrame:
-    fields = {c: F.col(c) for c in ("protocol_id", "family", "n", "status", "lane", "grammar_version")}
-    return protocols(spark, folder).select("place", S.sha256(S.canonical_json(**fields)).alias("sha256"))
+    rows = protocols(spark, folder)
+    return rows.select("place", S.row_sha256(rows.schema, "protocol_id", "family", "n", "status", "lane", "grammar_version").alias("sha256"))
 
 
 @query(with_views("history", " SELECT run_id, CAST(run_date AS VARCHAR) || '__' || protocol_id || '__' || model_id || '__r' || (CAST(substr(run_id, 2) AS BIGINT) % 3) AS name FROM history"))
@@ -315,18 +315,18 @@ def declared_protocols(spark: SparkSession, folder: str) -> DataFrame:
         versions = F.when(k % 67 == i, F.lit(None)).otherwise(F.struct(*(texts[v].alias(v) for v in _VERSIONS)))
         return F.struct(name.alias("scenario_id"), options.alias("options"), versions.alias("versions"), broken.alias("broken"))
 
-    rows = parts.withColumn("options", F.when(k % 71 == 3, F.array(F.lit("A"), F.lit("*a*."))).otherwise(F.array(F.lit("A"), F.lit("B"))))
+    rows = parts.withColumn("options", F.when(k % 71 == 3, F.array(F.lit("A"), F.lit("*a*."))).when(k % 71 == 4, F.array(F.lit("STRASSE"), F.lit("Straße"))).when(k % 71 == 5, F.array(F.lit("é"), F.lit("E\u0301"))).when(k % 71 == 6, F.array(F.lit("ß"), F.lit("s"))).otherwise(F.array(F.lit("A"), F.lit("B"))))
     rows = rows.withColumns({
         "protocol_id": F.concat(F.lit("p"), k.cast("string")), "family": F.concat(F.lit("family_"), F.col("size").cast("string")),
         "rewording_type": F.when(k % 73 == 5, "tone").when(k % 2 == 0, "order").otherwise("wording"), "status": F.when(k % 9 == 0, "candidate").otherwise("admitted"),
         "lane": F.when((k % 9 != 0) | (k % 27 == 0), F.when(k % 2 == 0, "open").when(k % 79 == 5, "hidden").otherwise("guard")), "twin_id": F.when(k % 5 != 0, F.concat(F.lit("p"), (k + k % 7).cast("string"))),
         "n": (F.col("size") * F.when(k % 83 == 7, 4).otherwise(3)).cast("long"), "n_per_scenario": F.col("size"), "effort": F.when(k % 89 == 2, "high").otherwise("disabled"), "grammar_version": (k % 31 % 3 + 1).cast("long"),
-        "prompt_template": F.when(k % 97 == 4, "Read this.").when(k % 101 == 4, F.lit(None)).otherwise('Read "this": {scenario}'), "theta_positive_pct": F.lit(10).cast("long"), "scenario_dominated_share_pct": F.lit(50).cast("long"),
+        "prompt_template": F.when(k % 97 == 4, "Read this.").when(k % 101 == 4, F.lit(None)).otherwise('Read "this": {scenario}'), "theta_positive_pct": F.when(k % 13 != 9, 10).cast("long"), "scenario_dominated_share_pct": F.when(k % 11 != 8, 50.5),
         "scenarios": F.array(*map(scenario, range(3))),
     })
     panel = admission.panel_sha256(F.col("scenarios"))
     rows = rows.withColumn("panel_sha256", F.when(k % 103 == 6, F.sha2(F.lit("other"), 256)).otherwise(panel))
-    return rows.withColumn("protocol_sha256", F.when(k % 107 == 8, F.lit("0")).otherwise(admission.protocol_sha256()))
+    return rows.withColumn("protocol_sha256", F.when(k % 107 == 8, F.lit("0")).otherwise(admission.protocol_sha256(rows.schema)))
 
 
 def _admission_sql() -> str:
@@ -350,18 +350,18 @@ def _admission_sql() -> str:
     rules = {
         "unknown_type": "rewording_type NOT IN ('wording', 'order', 'default', 'anchoring')", "unknown_lane": "lane NOT IN ('open', 'guard', 'sealed')", "candidate_has_lane": "status = 'candidate' AND lane IS NOT NULL",
         "candidate_has_twin": "status = 'candidate' AND twin_id IS NOT NULL", "open_without_twin": "status = 'admitted' AND lane = 'open' AND twin_id IS NULL", "own_twin": "twin_id = protocol_id", "unknown_grammar": "grammar_version NOT IN (1, 2)",
-        "effort_not_disabled": "effort <> 'disabled'", "no_placeholder": "NOT contains(prompt_template, '{scenario}')", "options_collide": "len(list_distinct(list_transform(options, lambda o: rtrim(lower(replace(o, '*', '')), '.')))) <> len(options)",
+        "effort_not_disabled": "effort <> 'disabled'", "no_placeholder": "NOT contains(prompt_template, '{scenario}')", "options_collide": "len(list_distinct(list_transform(options, lambda o: rtrim(replace(lower(nfc_normalize(replace(o, '*', ''))), 'ß', 'ss'), '.')))) <> len(options)",
         "duplicate_scenario": "len(list_distinct(list_transform(scenarios, lambda s: s.scenario_id))) <> len(scenarios)", "wrong_n": "n <> n_per_scenario * len(scenarios)", "panel_hash": "panel_sha256 <> panel", "protocol_hash": "protocol_sha256 <> protocol",
     }
     broken = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in rules.items())
-    return f""" WITH r AS (SELECT p_partkey AS k, p_name AS name, CAST(p_size AS BIGINT) AS size, CASE WHEN p_partkey % 71 = 3 THEN ['A', '*a*.'] ELSE ['A', 'B'] END AS options FROM part),
+    return f""" WITH r AS (SELECT p_partkey AS k, p_name AS name, CAST(p_size AS BIGINT) AS size, CASE p_partkey % 71 WHEN 3 THEN ['A', '*a*.'] WHEN 4 THEN ['STRASSE', 'Straße'] WHEN 5 THEN ['é', 'E\u0301'] WHEN 6 THEN ['ß', 's'] ELSE ['A', 'B'] END AS options FROM part),
 q AS (SELECT *, 'p' || k AS protocol_id, 'family_' || size AS family, CASE WHEN k % 73 = 5 THEN 'tone' WHEN k % 2 = 0 THEN 'order' ELSE 'wording' END AS rewording_type, CASE WHEN k % 9 = 0 THEN 'candidate' ELSE 'admitted' END AS status,
   CASE WHEN k % 9 <> 0 OR k % 27 = 0 THEN CASE WHEN k % 2 = 0 THEN 'open' WHEN k % 79 = 5 THEN 'hidden' ELSE 'guard' END END AS lane, CASE WHEN k % 5 <> 0 THEN 'p' || (k + k % 7) END AS twin_id,
   size * CASE WHEN k % 83 = 7 THEN 4 ELSE 3 END AS n, size AS n_per_scenario, CASE WHEN k % 89 = 2 THEN 'high' ELSE 'disabled' END AS effort, k % 31 % 3 + 1 AS grammar_version,
   CASE WHEN k % 97 = 4 THEN 'Read this.' WHEN k % 101 = 4 THEN NULL ELSE 'Read "this": {{scenario}}' END AS prompt_template, [{", ".join(map(scenario, range(3)))}] AS scenarios FROM r),
 h AS (SELECT *, sha256(to_json(list_transform(scenarios, lambda s: {{'options': s.options, 'scenario_id': s.scenario_id, 'versions': s.versions}}))) AS panel FROM q),
 g AS (SELECT *, CASE WHEN k % 103 = 6 THEN sha256('other') ELSE panel END AS panel_sha256 FROM h),
-j AS (SELECT *, sha256(to_json({{'effort': effort, 'family': family, 'grammar_version': grammar_version, 'n': n, 'n_per_scenario': n_per_scenario, 'options': options, 'panel_sha256': panel_sha256, 'prompt_template': prompt_template, 'rewording_type': rewording_type, 'scenario_dominated_share_pct': 50, 'theta_positive_pct': 10}})) AS protocol FROM g),
+j AS (SELECT *, sha256(to_json({{'effort': effort, 'family': family, 'grammar_version': grammar_version, 'n': n, 'n_per_scenario': n_per_scenario, 'options': options, 'panel_sha256': panel_sha256, 'prompt_template': prompt_template, 'rewording_type': rewording_type, 'scenario_dominated_share_pct': CASE WHEN k % 11 <> 8 THEN 50.5::DOUBLE END, 'theta_positive_pct': CASE WHEN k % 13 <> 9 THEN 10 END}})) AS protocol FROM g),
 f AS (SELECT *, CASE WHEN k % 107 = 8 THEN '0' ELSE protocol END AS protocol_sha256 FROM j)
 SELECT k AS place, CASE WHEN prompt_template IS NULL THEN 'missing prompt_template' ELSE concat_ws(',', {broken}) END AS broken,
   CASE WHEN prompt_template IS NULL THEN '' ELSE array_to_string(list_sort(flatten([{faults}, flatten(list_transform(scenarios, lambda s: list_transform(coalesce(s.broken, []), lambda b: b || ':' || s.scenario_id)))])), ',') END AS scenario_faults FROM f"""

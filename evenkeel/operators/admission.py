@@ -10,15 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions import hashing as S
-from evenkeel.functions.grammar import surface_skeleton
-from evenkeel.functions.vocabulary import REWORDING_TYPES, VERSIONS
-from evenkeel.operators.protocols import reasons
-
-# Fields that a protocol must have (these two may be null), and fields that its hash covers.
-REQUIRED = ["protocol_id", "family", "rewording_type", "status", "n", "n_per_scenario", "effort", "grammar_version", "options", "prompt_template", "theta_positive_pct", "scenario_dominated_share_pct", "scenarios", "panel_sha256", "protocol_sha256"]
-MAY_BE_NULL = ["lane", "twin_id"]
+from evenkeel.functions.canonical import json_text
+from evenkeel.functions.grammar import option_keys, surface_skeleton
+from evenkeel.functions.vocabulary import VERSIONS
+from evenkeel.operators.protocols import lane_tests, reasons
+
+# Fields that a protocol must have, those of them that may be null, and fields that its hash covers.
+REQUIRED = ["protocol_id", "family", "rewording_type", "status", "lane", "twin_id", "n", "n_per_scenario", "effort", "grammar_version", "options", "prompt_template", "theta_positive_pct", "scenario_dominated_share_pct", "scenarios", "panel_sha256", "protocol_sha256"]
+MAY_BE_NULL = ["lane", "twin_id", "theta_positive_pct", "scenario_dominated_share_pct"]
 HASHED = ["family", "rewording_type", "n", "n_per_scenario", "effort", "grammar_version", "options", "prompt_template", "theta_positive_pct", "scenario_dominated_share_pct", "panel_sha256"]
 GRAMMAR_VERSIONS = (1, 2)
 
@@ -26,17 +28,14 @@ GRAMMAR_VERSIONS = (1, 2)
 def panel_sha256(scenarios: Column) -> Column:
     """Hash of what a model sees of the scenarios: options, ids and version texts."""
     seen = F.transform(scenarios, lambda s: F.struct(s["options"].alias("options"), s["scenario_id"].alias("scenario_id"), F.struct(*(s["versions"][v].alias(v) for v in sorted(VERSIONS))).alias("versions")))
-    return S.sha256(F.to_json(seen, {"ignoreNullFields": "false"}))
-
-
-def protocol_sha256() -> Column:
-    return S.sha256(S.canonical_json(**{c: F.col(c) for c in HASHED}))
+    text = T.StringType()
+    versions = T.StructType([T.StructField(v, text) for v in VERSIONS])
+    return S.sha256(json_text(seen, T.ArrayType(T.StructType([T.StructField("options", T.ArrayType(text)), T.StructField("scenario_id", text), T.StructField("versions", versions)]))))
 
 
-def option_key(option: Column) -> Column:
-    """An option as the decision grammar compares it: no emphasis marks, single spaces, no closing marks, lower case."""
-    bare = F.trim(F.regexp_replace(F.translate(F.lower(option), "*_`", ""), r"(?U)\s+", " "))
-    return F.rtrim(bare, F.lit(".!;· "))
+def protocol_sha256(schema: T.StructType) -> Column:
+    """Hash of the fields that a protocol is known by, of rows with the given schema."""
+    return S.row_sha256(schema, *HASHED)
 
 
 def _of_scenarios(name: str, test) -> Column:
@@ -47,17 +46,11 @@ def _of_scenarios(name: str, test) -> Column:
 def broken_rules(protocols: DataFrame) -> DataFrame:
     """place, broken (names of the protocol's broken rules), scenario_faults (rule:scenario), both empty if it may be admitted."""
     c = F.col
-    missing = F.array_compact(F.array(*(F.when(c(x).isNull(), F.lit(x)) for x in REQUIRED)))
-    keys = F.transform("options", option_key)
+    missing = F.array_compact(F.array(*(F.when(c(x).isNull(), F.lit(x)) for x in REQUIRED if x not in MAY_BE_NULL)))
+    keys = option_keys(c("options"))
     ids = F.transform("scenarios", lambda s: s["scenario_id"])
     of_protocol = reasons(
-        unknown_type=~c("rewording_type").isin(*REWORDING_TYPES),
-        unknown_status=~c("status").isin("candidate", "admitted", "retired"),
-        unknown_lane=c("lane").isNotNull() & ~c("lane").isin("open", "guard", "sealed"),
-        candidate_has_lane=(c("status") == "candidate") & c("lane").isNotNull(),
-        candidate_has_twin=(c("status") == "candidate") & c("twin_id").isNotNull(),
-        open_without_twin=(c("status") == "admitted") & c("lane").eqNullSafe(F.lit("open")) & c("twin_id").isNull(),
-        own_twin=c("twin_id").eqNullSafe(c("protocol_id")),
+        **lane_tests(c("twin_id"), c("protocol_id")),
         unknown_grammar=~c("grammar_version").isin(*GRAMMAR_VERSIONS),
         effort_not_disabled=c("effort") != "disabled",
         no_placeholder=~F.contains(c("prompt_template"), F.lit("{scenario}")),
@@ -65,7 +58,7 @@ def broken_rules(protocols: DataFrame) -> DataFrame:
         duplicate_scenario=F.size(F.array_distinct(ids)) != F.size("scenarios"),
         wrong_n=c("n") != c("n_per_scenario") * F.size("scenarios"),
         panel_hash=c("panel_sha256") != panel_sha256(c("scenarios")),
-        protocol_hash=c("protocol_sha256") != protocol_sha256(),
+        protocol_hash=c("protocol_sha256") != protocol_sha256(protocols.schema),
     )
     text = lambda s, v: s["versions"][v]
     whole = lambda s: s["versions"].isNotNull() & F.forall(F.array(*(text(s, v) for v in VERSIONS)), lambda t: t.isNotNull())

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.grammar import funds_error
-from evenkeel.functions.hashing import canonical_json, token_cost
+from evenkeel.functions.canonical import row_json
+from evenkeel.functions.hashing import token_cost
 from evenkeel.functions.vocabulary import EVENTS_THAT_ADD, EVENTS_THAT_REMOVE
 
 #: Gap causes by runner and skip reason; any other pair has no honest cause.
@@ -186,8 +187,9 @@ def admit(sweeps: DataFrame, by: list[str], order: list[str]) -> DataFrame:
 
 def registry_events(diff: DataFrame, today: Column) -> DataFrame:
     """family, model_id, line (the record to append) and bridge_needed of each change of a listing."""
-    line = canonical_json(record_type=F.lit("model_observed"), observed_date=today, family=F.col("family"), model_id=F.col("model_id"), event=F.col("change"))
-    return diff.select("family", "model_id", line.alias("line"), (F.col("change") == "appeared").alias("bridge_needed"))
+    rows = diff.select("family", "model_id", "change", F.lit("model_observed").alias("record_type"), today.cast("string").alias("observed_date"), F.col("change").alias("event"))
+    line = row_json(rows.schema, "record_type", "observed_date", "family", "model_id", "event")
+    return rows.select("family", "model_id", line.alias("line"), (F.col("change") == "appeared").alias("bridge_needed"))
 
 
 def spend_entries(runs: DataFrame) -> DataFrame:
