@@ -213,14 +213,19 @@ def verdict(rules: list[Rule], features: dict[str, Column]) -> Column:
     return F.lit(True) if out is None else out.otherwise(F.lit(True))
 
 
-def fit(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **how) -> list[Rule]:
-    """Learn from rows (doc_id, stats) with labels (doc_id, quality); base failures teach nothing."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
-    rows = stats.where(~base_failed()).select("doc_id", *(v.alias(k) for k, v in ratios().items())).join(known, "doc_id")
+def training_rows(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """doc_id, ratios and quality of at most about `most_rows` labelled documents, one row each: of repeated rows the least, of several labels the lowest."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     n = known.count()
     if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
-    table = rows.drop("doc_id").toPandas()
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+    rows = stats.where(~base_failed()).select("doc_id", F.struct(*(v.alias(k) for k, v in ratios().items())).alias("x")).join(known, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("quality").alias("quality")).select("doc_id", "x.*", "quality")
+
+
+def fit(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **how) -> list[Rule]:
+    """Learn from rows (doc_id, stats) with labels (doc_id, quality); base failures teach nothing."""
+    table = training_rows(stats, labels, most_rows).orderBy("doc_id").toPandas()
     if table.empty:
         return []
     return learn({k: table[k].to_numpy(float) for k in ratios()}, table["quality"].to_numpy() == 0, **how)

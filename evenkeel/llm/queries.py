@@ -29,8 +29,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, url_filter.listed_hosts(pages, url_filter.LISTED_LABELS))
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages.select("page_id", "url"), url_filter.listed_urls(pages, url_filter.LISTED_LABELS))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,13 @@ def assign(rows: DataFrame, shards: DataFrame, most_broadcast: int = MOST_BROADC
 
 
 def shard_documents(docs: DataFrame, limit: int = LIMIT, overhead: int = OVERHEAD) -> DataFrame:
-    """All columns of docs, then shard, n_bytes and n_rows; a column of docs with one of these names gets the prefix own_."""
-    clash = {c: f"own_{c}" for c in docs.columns if c.lower() in _OWN}
+    """All columns of docs, then shard, n_bytes and n_rows; a column of docs with one of these names gets the prefix own_ (again, if taken)."""
+    clash, taken = {}, {c.lower() for c in docs.columns} | set(_OWN)
+    for c in (c for c in docs.columns if c.lower() in _OWN):
+        clash[c] = f"own_{c}"
+        while clash[c].lower() in taken:
+            clash[c] = f"own_{clash[c]}"
+        taken.add(clash[c].lower())
     rows = keys(docs.withColumnsRenamed(clash), overhead)
     shards = directory(rows, limit)
     if not shards.where(F.col("depth") > HALF).isEmpty():  # places in the input count: they are written once

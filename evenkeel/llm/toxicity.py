@@ -1,18 +1,21 @@
 """Toxicity by weak supervision.
 
 1. Voters. Words and word beginnings (4 to 7 bytes) are hashed to cells; counted over the
-   training rows by label, the cells that lean most to toxic texts become a mined lexicon,
+   labelled training rows, the cells that lean most to toxic texts become a mined lexicon,
    each entry a voter. Pattern voters look at how many entries a text hits, how densely,
    and at a small general lexicon of insults. A voter says toxic, clean, or nothing.
-2. Label model. Given the unknown true label, voters have accuracies and correlations.
-   Expectation maximisation estimates both, counts the given label as one more noisy
-   voter, and discounts voters that repeat each other; its posterior is a soft label.
+2. Label model, on votes alone: over a sample of all training documents, labelled or not,
+   voters have accuracies and correlations given the unknown true label. Expectation
+   maximisation estimates both and discounts voters that repeat each other; its posterior
+   is a soft label. Given labels choose lexicon entries and the first class prior; no row's
+   own label takes part in its posterior.
 3. A linear classifier over the selected cells is trained on the posteriors and scores
    every text; scores use the text alone.
 
-Training rows have a label and lie outside the held-out part (crc32 of the id as text
-modulo 4 is 2). At most `most_rows` of them are used, thinned by a hash of doc_id; being
-so bounded, their ids and labels are broadcast, and texts aren't shuffled.
+Training rows lie outside the held-out part (crc32 of the id as text modulo 4 is 2). The
+sample has about `most_rows` rows, thinned by a hash of a row's place, so that copies of a row
+don't add to it; lexicon counts cover all labelled training rows. At most a million labels
+are broadcast.
 
 Defined results. Null and empty texts get the score of a text without any feature. Rows
 repeat as given; a null doc_id is not held out. Labels that are null or of unknown rows
@@ -34,10 +37,13 @@ from evenkeel.llm import words as W
 
 CELLS = 1 << 19
 MOST_ROWS = 50_000
+MOST_BROADCAST = 1_000_000
 MOST_FEATURES = 3_000
 MOST_VOTERS = 64
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
+#: Log-odds of one vote before accuracies are known.
+START = 1.5
 SEEDS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "dumb", "ugly")
 
 _EDGE = np.zeros(256, dtype=bool)
@@ -77,17 +83,21 @@ def _pairs(doc: np.ndarray, item: np.ndarray, most: int) -> tuple[np.ndarray, np
     return both // most, both % most
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
-    """text and toxic of the training rows."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """text and toxic of the labelled training rows."""
     known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic")).where("of is not null and toxic is not null")
     known = known.where(~held_out(F.col("of"))).groupBy("of").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = min(1.0, most_rows / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("of"), F.lit(1_000_000)) < int(1_000_000 * share))
-    side = F.broadcast(known) if most_rows <= 1_000_000 else known
+    side = F.broadcast(known) if known.count() <= most_broadcast else known
     return docs.select("doc_id", "text").join(side, F.col("doc_id").cast("long") == F.col("of")).select(F.col("text").cast("string").alias("text"), "toxic")
 
 
+def sample_rows(docs: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """text of about `most_rows` training rows, labelled or not."""
+    share = min(1.0, most_rows / max(docs.count(), 1))
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("of"), F.xxhash64(F.monotonically_increasing_id()).alias("place"))
+    return rows.where(~held_out(F.col("of")) & (F.pmod("place", F.lit(1_000_000)) < int(1_000_000 * share))).select("text")
+
+
 def _counts(rows: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, int, int]:
     """Toxic and clean texts by cell, and altogether."""
 
@@ -112,18 +122,26 @@ def _counts(rows: DataFrame, cells: int) -> tuple[np.ndarray, np.ndarray, int, i
 
 
 def select(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, most: int = MOST_FEATURES, least_lift: float = 4.0) -> np.ndarray:
-    """Cells that lean to toxic texts, strongest first (by the log-likelihood ratio)."""
+    """Cells that lean to toxic texts, strongest first (by the log-likelihood ratio).
+
+    Their lift is at least that given, and the root of the lift of the ten strongest: where
+    labels tell entries apart well, weak ones only blur the votes; where labels are noisy, all lifts are low.
+    """
     if not n_toxic or not n_clean:
         return np.empty(0, dtype=np.int64)
     rate_t, rate_c = (toxic + 0.5) / (n_toxic + 1), (clean + 0.5) / (n_clean + 1)
     both = (toxic + clean + 1) / (n_toxic + n_clean + 2)
     worth = 2 * (toxic * np.log(rate_t / both) + clean * np.log(rate_c / both))
     good = np.flatnonzero((toxic >= 3) & (rate_t > least_lift * rate_c) & (worth > 15))
-    return good[np.argsort(-worth[good], kind="stable")][:most]
+    good = good[np.argsort(-worth[good], kind="stable")]
+    if len(good):
+        lift = rate_t[good] / rate_c[good]
+        good = good[lift > np.sqrt(np.median(lift[:10]))]
+    return good[:most]
 
 
-def _hits(rows: DataFrame, chosen: np.ndarray, cells: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """Label, chosen features and number of words of each training row."""
+def _hits(rows: DataFrame, chosen: np.ndarray, cells: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Chosen features and number of words of each sampled row."""
     place = np.full(cells, -1, dtype=np.int64)
     place[chosen] = np.arange(len(chosen))
     shared = rows.sparkSession.sparkContext.broadcast(place)
@@ -133,10 +151,10 @@ def _hits(rows: DataFrame, chosen: np.ndarray, cells: int) -> tuple[np.ndarray,
             for part, data, edges in W.chunks(batch, "text"):
                 doc, item, count = _chosen(data, edges, shared.value, cells)
                 cuts = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.ListArray.from_arrays(cuts, pa.array(item, pa.int32())), pa.array(count)], ["toxic", "items", "n_words"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(cuts, pa.array(item, pa.int32())), pa.array(count)], ["items", "n_words"])
 
-    table = rows.mapInArrow(run, "toxic int, items array<int>, n_words long").toPandas()  # at most most_rows short rows
-    return table["toxic"].to_numpy(), [np.asarray(x, dtype=np.int64) for x in table["items"]], table["n_words"].to_numpy()
+    table = rows.mapInArrow(run, "items array<int>, n_words long").toPandas()  # about most_rows short rows
+    return [np.asarray(x, dtype=np.int64) for x in table["items"]], table["n_words"].to_numpy()
 
 
 def _chosen(data: np.ndarray, edges: np.ndarray, place: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,31 +179,33 @@ def votes(items: list[np.ndarray], n_words: np.ndarray, n_lexicon: int, seeds: n
     return out
 
 
-def label_model(vote: np.ndarray, given: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of toxic for each row, each voter's accuracy, and the voters' correlations.
+def label_model(vote: np.ndarray, prior: float = 0.1, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of toxic for each row, each voter's accuracy, and the voters' correlations, from votes alone.
 
-    Expectation maximisation of a latent-label model. Each voter has a distribution of its
-    three votes for either label; within a label, correlated voters share their weight.
+    Expectation maximisation of a latent-label model, begun with voters of equal accuracy. Each
+    voter has a distribution of its three votes for either label; correlated voters share
+    their weight (at first those whose votes are alike, then those alike within a label).
     """
+
+    def shared(centred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cov = centred.T @ centred / max(len(centred), 1)
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        correlation = np.clip(cov / np.outer(scale, scale), -1, 1)
+        return correlation, 1 / np.maximum(np.sum(correlation**2, axis=1), 1)
+
     said = np.stack([vote == v for v in (-1, 0, 1)]).astype(float)  # 3 x rows x voters
-    noise = np.clip(np.where(given > 0, 0.95, 0.05), 0.01, 0.99)
-    posterior = noise.copy()
-    correlation = np.eye(vote.shape[1])
+    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
+    x = (vote == 1).astype(float)
+    correlation, discount = shared(vote - vote.mean(axis=0))
+    posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + START * vote @ discount, -30, 30)))
     accuracy = np.full(vote.shape[1], 0.5)
     for _ in range(rounds):
-        prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
         chance = [(np.einsum("vrj,r->vj", said, q) + 0.1) / (q.sum() + 0.3) for q in (1 - posterior, posterior)]
-        x = (vote == 1).astype(float)
-        centred = x - np.outer(1 - posterior, chance[0][2]) - np.outer(posterior, chance[1][2])
-        cov = centred.T @ centred / len(x)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        correlation = np.clip(cov / np.outer(scale, scale), -1, 1)
-        discount = 1 / np.maximum(np.sum(correlation**2, axis=1), 1)
+        correlation, discount = shared(x - np.outer(1 - posterior, chance[0][2]) - np.outer(posterior, chance[1][2]))
         accuracy = (chance[1][2] * prior + chance[0][0] * (1 - prior)) / np.maximum((chance[1][2] + chance[1][0]) * prior + (chance[0][2] + chance[0][0]) * (1 - prior), 1e-9)
         odds = np.log(prior / (1 - prior)) + np.einsum("vrj,vj->r", said, np.log(chance[1] / chance[0]) * discount)
-        trust = np.clip(1 - np.mean(np.abs(posterior - (given > 0))), 0.55, 0.99)  # the given label's own accuracy
-        odds += np.where(given > 0, 1, -1) * np.log(trust / (1 - trust))
         before, posterior = posterior, 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        prior = float(np.clip(posterior.mean(), 1e-3, 1 - 1e-3))
         if np.abs(before - posterior).max() < 1e-4:
             break
     return posterior, accuracy, correlation
@@ -217,17 +237,17 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, cells: int = CELLS) -> Model:
-    rows = training_rows(docs, labels, most_rows)
-    toxic, clean, n_toxic, n_clean = _counts(rows, cells)
+    toxic, clean, n_toxic, n_clean = _counts(labelled_rows(docs, labels), cells)
     chosen = select(toxic, clean, n_toxic, n_clean)
     place = np.full(cells, -1, dtype=np.int64)
     place[chosen] = np.arange(len(chosen))
+    prior = (n_toxic + 1) / (n_toxic + n_clean + 2)
     if not len(chosen):
-        return Model(place, np.zeros(0), float(np.log((n_toxic + 1) / (n_clean + 1))), np.zeros(0), np.zeros((0, 0)))
-    given, items, n_words = _hits(rows, chosen, cells)
+        return Model(place, np.zeros(0), float(np.log(prior / (1 - prior))), np.zeros(0), np.zeros((0, 0)))
+    items, n_words = _hits(sample_rows(docs, most_rows), chosen, cells)
     seeds = place[seed_cells(cells)]
     vote = votes(items, n_words, min(MOST_VOTERS, len(chosen)), seeds[seeds >= 0])
-    posterior, accuracy, correlation = label_model(vote, given)
+    posterior, accuracy, correlation = label_model(vote, prior)
     weights, bias = train(items, posterior, len(chosen))
     return Model(place, weights, bias, accuracy, correlation)
 

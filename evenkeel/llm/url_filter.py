@@ -10,6 +10,10 @@ list, which removes the false positives.
 Rules (a host with its subdomains, and a path prefix) come before the list; of the rules
 that fit, the longest wins.
 
+`listed_urls` makes a list from crawled pages: canonical URLs under which the pages' html,
+summed over http and https, www. and m., index pages and parameters, is full of noise marks,
+or whose host has a listed label. A page may so be blocked for what its other addresses show.
+
 Defined results. A url that is null or has no `://` has an empty host and path, fits no
 rule and is in no list. Repeated urls are judged alike. An empty list blocks nothing.
 Extra columns are ignored.
@@ -26,6 +30,10 @@ from evenkeel.sources.tables import materialize
 
 WORDS = 8
 MOST_BLOCKS = 1 << 16
+#: Marks that are noise in running text, and the share of them from which a URL is listed.
+NOISE, NOISE_PCT = "#*$%|", 2
+#: Host labels whose pages are listed.
+LISTED_LABELS = ("spam-farm", "adult-x", "free-bets")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -120,24 +128,25 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     return both.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), on_list.alias("listed"), verdict.alias("verdict"))
 
 
-def listed_hosts(pages: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """Distinct canonical URLs (`listed`) of the pages whose host has one of the labels."""
+def listed_urls(pages: DataFrame, labels: tuple[str, ...], noise_pct: int = NOISE_PCT) -> DataFrame:
+    """Distinct canonical URLs (`listed`) of noisy content, or of hosts with one of the labels; a null html is empty."""
     host, path = host_and_path(F.col("url"))
-    urls = pages.select(host.alias("host"), path.alias("path"))
+    chars = F.coalesce(F.char_length("html"), F.lit(0))
+    noise = chars - F.coalesce(F.char_length(F.translate("html", NOISE, "")), F.lit(0))
+    urls = pages.select(host.alias("host"), path.alias("path"), chars.cast("long").alias("chars"), noise.cast("long").alias("noise"))
     bad = F.exists(F.split("host", r"\."), lambda part: part.isin(*labels))
-    return urls.where(bad).select(canonical(F.col("host"), F.col("path")).alias("listed")).distinct()
+    sums = urls.groupBy(canonical(F.col("host"), F.col("path")).alias("listed")).agg(F.sum("chars").alias("chars"), F.sum("noise").alias("noise"), F.bool_or(bad).alias("bad"))
+    return sums.where(F.col("listed").isNotNull() & (F.col("bad") | (100 * F.col("noise") > noise_pct * F.col("chars")))).select("listed")
 
 
-#: Host labels whose pages make up the query's list.
-LISTED_LABELS = ("spam-farm", "adult-x", "free-bets")
-
 SQL = r"""
-WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
-u AS (SELECT page_id, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+WITH r AS (SELECT page_id, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, html, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
+u AS (SELECT page_id, html, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
   coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path FROM h),
 c AS (SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?(\.html?)?/*$', '') END AS canonical FROM u),
-l AS (SELECT DISTINCT canonical FROM c WHERE list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x', 'free-bets'])),
+l AS (SELECT canonical FROM c WHERE canonical IS NOT NULL GROUP BY canonical
+  HAVING bool_or(list_has_any(string_split(host, '.'), ['spam-farm', 'adult-x', 'free-bets'])) OR 100 * sum(length(html) - length(translate(html, '#*$%|', ''))) > 2 * sum(length(html))),
 m AS (SELECT c.*, l.canonical IS NOT NULL AS listed, CASE
   WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
