@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.jobs import auditing, counting, following, measuring, reading, tracking
+from evenkeel.jobs import auditing, counting, following, measuring, reading, revalidating, tracking
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,6 +41,6 @@ def _plain_sql(name: str, sql: str) -> str:
     return "SELECT * REPLACE (" + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in DATES[name]) + f") FROM ({sql}) plain_dates"
 
 
-_MODULES = (counting, tracking, reading, auditing, measuring, following)
+_MODULES = (counting, tracking, reading, auditing, measuring, following, revalidating)
 QUERIES: dict[str, Query] = {k: _plain(k, q) for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: _plain_sql(k, s) for m in _MODULES for k, s in m.SQL.items()}
