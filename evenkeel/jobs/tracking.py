@@ -252,9 +252,21 @@ def sweeps(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("n").cast("long") * 4 * 66).alias("cost"),
         (k % 40 * 5000).cast("long").alias("spent"),
         F.lit(400_000).cast("long").alias("ceiling"),
+        F.when(k % 11 == 3, "ran_today").when(k % 197 == 5, "no_funds").when(k % 211 == 6, "circuit_open").alias("met"),
+        F.when(k % 3 == 0, F.col("n").cast("long") * 4 * 66 - 1000).alias("actual"),
     )
 
 
-@query()
+@query(with_views("protocols", """, s AS (SELECT 'sweep_' || lpad(CAST(place % 40 AS VARCHAR), 2, '0') AS sweep, protocol_id, place, lane, place % 7 = 0 AS already_run, place % 5 <> 0 AS preregistered, CAST(n AS BIGINT) * 4 * 66 AS cost, place % 40 * 5000 AS spent, CAST(400000 AS BIGINT) AS ceiling,
+  CASE WHEN place % 11 = 3 THEN 'ran_today' WHEN place % 197 = 5 THEN 'no_funds' WHEN place % 211 = 6 THEN 'circuit_open' END AS met, CASE WHEN place % 3 = 0 THEN CAST(n AS BIGINT) * 4 * 66 - 1000 END AS actual FROM protocols WHERE status = 'admitted'),
+o AS (SELECT *, row_number() OVER (PARTITION BY sweep ORDER BY protocol_id, place) AS at_row FROM s),
+f AS (SELECT DISTINCT sweep AS of, CAST(0 AS BIGINT) AS done, CAST(0 AS BIGINT) AS ran, CAST(0 AS BIGINT) AS projected, false AS stopped, CAST(NULL AS VARCHAR) AS skipped, CAST(NULL AS VARCHAR) AS rung, false AS funds_exhausted FROM s UNION ALL
+  SELECT of, done + 1, ran + CAST(reason IS NULL AS BIGINT), projected + CASE WHEN reason IS NULL THEN coalesce(actual, cost) ELSE 0 END, stopped OR (early IS NULL AND coalesce(met IN ('no_funds', 'circuit_open'), false)), reason, CASE WHEN NOT stopped THEN name END, early IS NULL AND coalesce(met = 'no_funds', false)
+  FROM (SELECT *, coalesce(early, CASE met WHEN 'ran_today' THEN 'already_ran_today' WHEN 'no_funds' THEN 'budget_halted' WHEN 'circuit_open' THEN 'circuit_open' END) AS reason
+    FROM (SELECT *, CASE WHEN stopped THEN 'not_reached' WHEN already_run THEN 'already_run_this_month' WHEN NOT preregistered THEN 'not_preregistered'
+        WHEN ran >= CASE name WHEN 'full' THEN 1000000000 WHEN 'reduced_sweep' THEN 6 WHEN 'guard_only_sweep' THEN 4 ELSE 0 END OR (name = 'guard_only_sweep' AND lane IS DISTINCT FROM 'guard') OR total + cost > ceiling THEN 'budget_halted' END AS early
+      FROM (SELECT *, CASE WHEN total * 100 >= ceiling * 95 THEN 'fingerprint_only' WHEN total * 100 >= ceiling * 80 THEN 'guard_only_sweep' WHEN total * 100 >= ceiling * 60 THEN 'reduced_sweep' ELSE 'full' END AS name
+        FROM (SELECT f.*, o.*, o.spent + f.projected AS total FROM f JOIN o ON o.sweep = f.of AND o.at_row = f.done + 1)))))
+SELECT o.* EXCLUDE (at_row), f.skipped, f.rung, f.funds_exhausted FROM o JOIN f ON f.of = o.sweep AND f.done = o.at_row""").replace("WITH ", "WITH RECURSIVE ", 1))
 def op_sweep_admission(spark: SparkSession, folder: str) -> DataFrame:
     return L.admit(sweeps(spark, folder), ["sweep"], ["protocol_id", "place"])

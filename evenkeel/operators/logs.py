@@ -150,39 +150,43 @@ def latest_state(states: DataFrame) -> DataFrame:
 
 
 def admit(sweeps: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """Which protocols of each sweep run, and why the others don't.
-
-    Rows hold already_run, preregistered, lane, cost, spent (before the sweep) and ceiling.
-    Reasons come in this order: already run this month, not preregistered, then the
-    budget. The rung depends on what the protocols admitted before cost, so a sweep is
-    read in order; sweeps are independent of each other and short (protocols of a month).
+    """Which protocols of each sweep run, and why the others don't: the rows with skipped, rung and funds_exhausted.
+
+    Rows hold already_run, preregistered, lane, cost, spent (before the sweep) and ceiling; and,
+    if known, met (what a run met: ran_today, no_funds, circuit_open) and actual (what it cost).
+    Reasons in this order: already_run_this_month, not_preregistered, budget_halted by the
+    rung, by its lane or by the ceiling, then what the run met. A sweep ends where funds are out
+    or the circuit opens; rows beyond are not_reached. The rung depends on what the protocols
+    before cost, so a sweep is folded in order, one array of its month's protocols; sweeps are
+    independent of each other.
     """
-    import pandas as pd
-
-    columns = sweeps.columns
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        reasons, names, ran, projected = [], [], 0, 0
-        for r in rows.itertuples(index=False):
-            spent = r.spent + projected
-            _, name, most, lane = max((x for x in RUNGS if spent * 100 >= r.ceiling * x[0]), key=lambda x: x[0])
-            if r.already_run:
-                reason = "already_run_this_month"
-            elif not r.preregistered:
-                reason = "not_preregistered"
-            elif ran >= most or (lane is not None and r.lane != lane) or spent + r.cost > r.ceiling:
-                reason = "budget_halted"
-            else:
-                reason, ran, projected = None, ran + 1, projected + r.cost
-            reasons.append(reason)
-            names.append(name)
-        return rows.assign(skipped=reasons, rung=names)[[*columns, "skipped", "rung"]]
-
-    from pyspark.sql import types as T
-
-    out = T.StructType([*sweeps.schema.fields, T.StructField("skipped", T.StringType()), T.StructField("rung", T.StringType())])
-    return sweeps.groupBy(*by).applyInPandas(run, out)
+    given = {c: (F.col(c) if c in sweeps.columns else F.lit(None).cast(t)) for c, t in (("met", "string"), ("actual", "long"))}
+    row = F.struct(*order, F.struct(*sweeps.columns).alias("row"), *(c.alias(f"_{k}") for k, c in given.items()))
+    kind = "struct<ran:bigint,projected:bigint,stopped:boolean,out:array<struct<skipped:string,rung:string,funds:boolean>>>"
+
+    def step(state: Column, r: Column) -> Column:
+        spent = r["row"]["spent"] + state["projected"]
+        now = rung(spent, r["row"]["ceiling"])
+        halted = (state["ran"] >= now["most"]) | ~F.coalesce(now["lane"] == r["row"]["lane"], now["lane"].isNull()) | (spent + r["row"]["cost"] > r["row"]["ceiling"])
+        met = r["_met"]
+        before = F.when(state["stopped"], "not_reached").when(r["row"]["already_run"], "already_run_this_month").when(~r["row"]["preregistered"], "not_preregistered").when(halted, "budget_halted")
+        tried = before.isNull()
+        skipped = F.coalesce(before, F.when(met == "ran_today", "already_ran_today").when(met == "no_funds", "budget_halted").when(met == "circuit_open", "circuit_open"))
+        funds = tried & F.coalesce(met == "no_funds", F.lit(False))
+        runs = skipped.isNull()
+        one = F.struct(skipped.alias("skipped"), F.when(~state["stopped"], now["name"]).alias("rung"), funds.alias("funds"))
+        return F.struct(
+            (state["ran"] + F.when(runs, 1).otherwise(0)).alias("ran"),
+            (state["projected"] + F.when(runs, F.coalesce(r["_actual"], r["row"]["cost"])).otherwise(0)).alias("projected"),
+            (state["stopped"] | (tried & F.coalesce(met.isin("no_funds", "circuit_open"), F.lit(False)))).alias("stopped"),
+            F.concat(state["out"], F.array(one)).alias("out"),
+        ).cast(kind)
+
+    start = F.struct(F.lit(0).alias("ran"), F.lit(0).alias("projected"), F.lit(False).alias("stopped"), F.array().alias("out")).cast(kind)
+    lists = sweeps.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    folded = lists.select("rows", F.aggregate("rows", start, step).alias("state"))
+    both = folded.select(F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("state.out").alias("o"))).alias("x"))
+    return both.select("x.r.row.*", F.col("x.o.skipped").alias("skipped"), F.col("x.o.rung").alias("rung"), F.col("x.o.funds").alias("funds_exhausted"))
 
 
 def registry_events(diff: DataFrame, today: Column) -> DataFrame:

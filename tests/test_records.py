@@ -143,6 +143,17 @@ def test_sweep_admission_follows_the_ladder(spark):
     assert found[5] == (None, "guard_only_sweep") and found[6] == ("budget_halted", "guard_only_sweep") and found[8][0] == "budget_halted"
 
 
+def test_a_sweep_ends_where_funds_or_the_circuit_do(spark):
+    rows = [("a", 0, None, None), ("a", 1, "ran_today", None), ("a", 2, None, 45), ("a", 3, "no_funds", None), ("a", 4, None, None), ("b", 0, "circuit_open", None), ("b", 1, None, None), ("c", 0, None, 70), ("c", 1, None, None)]
+    df = spark.createDataFrame([(s, f"p{k}", "open", False, True, 10, 0, 100, met, actual) for s, k, met, actual in rows], "sweep string, protocol_id string, lane string, already_run boolean, preregistered boolean, cost bigint, spent bigint, ceiling bigint, met string, actual bigint")
+    found = {(r.sweep, r.protocol_id): (r.skipped, r.rung, r.funds_exhausted) for r in logs.admit(df, ["sweep"], ["protocol_id"]).collect()}
+    assert found == {
+        ("a", "p0"): (None, "full", False), ("a", "p1"): ("already_ran_today", "full", False), ("a", "p2"): (None, "full", False), ("a", "p3"): ("budget_halted", "full", True), ("a", "p4"): ("not_reached", None, False),
+        ("b", "p0"): ("circuit_open", "full", False), ("b", "p1"): ("not_reached", None, False), ("c", "p0"): (None, "full", False), ("c", "p1"): (None, "reduced_sweep", False),
+    }
+    assert logs.admit(df.limit(0), ["sweep"], ["protocol_id"]).count() == 0
+
+
 def test_streamed_checks_equal_batch(spark, tmp_path):
     rows = [{"job": f"j{i}", "date": f"2026-01-0{1 + i % 3}", "ran": i % 4 != 0, "cause": None} for i in range(30)]
     lines(tmp_path / "in" / "a.json", rows[:15])
