@@ -31,20 +31,28 @@ def trials(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.schema(TRIAL).json(paths)
 
 
-def saved_trials(spark: SparkSession, path: str) -> DataFrame:
-    """Trials of a run that was cut off, in order of index.
+def saved_trials(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Trials of runs that were cut off, from one file each (a path, a pattern, or a list), with their file.
 
-    A half-written last line is dropped; any other unreadable line, and a gap in the
-    indexes, is an error.
+    Lines are known by their place in their file. A half-written last line is dropped; any
+    other unreadable line, a line that is no trial, and a gap in the indexes are errors. A file is read
+    as one row, since a run has some hundred lines; files are spread over tasks.
     """
-    raw = spark.read.schema(f"{TRIAL}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    lines = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).where("trim(value) <> ''")
-    last = lines.agg(F.max_by("value", "at")).first()[0]
-    bad = F.col("_corrupt_record").isNotNull() & ~F.coalesce(F.col("_corrupt_record") == F.lit(last), F.lit(False))
-    checked = raw.withColumn("index", F.when(bad, F.raise_error(F.lit("an unreadable line that isn't the last")).cast("int")).otherwise(F.col("index"))).where("index is not null")
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("index")) - 1
-    gap = F.when(place == F.col("index"), F.col("index")).otherwise(F.raise_error(F.lit("a gap in the indexes")).cast("int"))
-    return checked.withColumn("index", gap).drop("_corrupt_record")
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split("value", "\n").alias("lines"))
+    some = F.filter(F.transform("lines", lambda text, k: F.struct((k + 1).alias("line"), text.alias("text"))), lambda x: F.trim(F.regexp_replace(x["text"], r"\s", " ")) != "")
+    rows = files.select("file", some.alias("some")).select("file", F.size("some").alias("of"), F.posexplode("some").alias("n", "x"))
+    read = F.from_json("x.text", f"{TRIAL}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = rows.select("file", "of", "n", "x.line", read.alias("t"))
+    bad = F.col("t").isNull() | F.col("t._corrupt_record").isNotNull()
+    where = F.concat(F.lit(" at line "), F.col("line").cast("string"), F.lit(" of "), F.col("file"))
+    fault = (
+        F.when(bad, F.concat(F.lit("an unreadable line that isn't the last"), where))
+        .when(~F.coalesce(F.col("t.record_type") == "trial", F.lit(False)), F.concat(F.lit("a line that is no trial"), where))
+        .when(~F.coalesce(F.col("t.index") == F.col("n"), F.lit(False)), F.concat(F.lit("a gap in the indexes"), where))
+    )
+    kept = rows.where(~(bad & (F.col("n") == F.col("of") - 1)))
+    index = F.when(fault.isNull(), F.col("t.index")).otherwise(F.raise_error(fault).cast("int"))
+    return kept.select("file", F.col("t").dropFields("_corrupt_record").withField("index", index).alias("t")).select("file", "t.*")
 
 
 def resumed(schedule: DataFrame, saved: DataFrame) -> DataFrame:

@@ -53,6 +53,22 @@ def test_a_cut_off_last_line_is_dropped_and_other_damage_refused(spark, tmp_path
         records.resumed(schedule.withColumn("prompt_sha256", F.lit("no")), saved).collect()
 
 
+def test_many_cut_off_runs_are_read_at_once(spark, tmp_path):
+    """The last line is known by its place, for each file by itself, even where an inner line has the same text."""
+    half = '{"record_type": "tri'
+    for k in range(300):
+        (tmp_path / f"run-{k}.jsonl").write_text("\n".join(json.dumps(trial(i)) for i in range(k % 4)) + ("\n" + half if k % 2 else "\n\n \n"))
+    found = records.saved_trials(spark, f"{tmp_path}/run-*.jsonl").groupBy("file").count().collect()
+    assert sorted(r["count"] for r in found) == sorted(k % 4 for k in range(300) if k % 4)
+    assert records.saved_trials(spark, [f"{tmp_path}/run-3.jsonl", f"{tmp_path}/run-2.jsonl"]).count() == 5
+    (tmp_path / "twice.jsonl").write_text(json.dumps(trial(0)) + "\n" + half + "\n" + half)
+    with pytest.raises(Exception, match="unreadable line that isn't the last at line 2"):
+        records.saved_trials(spark, f"{tmp_path}/twice.jsonl").collect()
+    (tmp_path / "other.jsonl").write_text(json.dumps(trial(0) | {"record_type": "run"}) + "\n")
+    with pytest.raises(Exception, match="no trial"):
+        records.saved_trials(spark, f"{tmp_path}/other.jsonl").collect()
+
+
 def test_runs_are_known_by_folder_names(spark, tmp_path):
     for name in ("2026-01-05__fam__order__v0__m-1__r2", "junk__x", "2026-13-01__a__b__m__r1"):
         (tmp_path / name).mkdir()
