@@ -113,6 +113,11 @@ def error_runs(calls: DataFrame, by: list[str], order: str, least: int = 5) -> D
 FATAL_STATUSES, MOST_FAILURES = (401, 403, 404), 5
 
 
+def call_faults() -> Column:
+    """What ends a run at one failed call (funded out, or a fatal status), from status and message; else null."""
+    return F.when(funds_error(F.col("status"), F.col("message")), "funds").when(F.col("status").isin(*FATAL_STATUSES), "status")
+
+
 def run_stops(calls: DataFrame, by: list[str], order: str) -> DataFrame:
     """by, stopped_at, why of every run that its breaker ends: spent funds, a fatal status, or too many failed calls in a row.
 
@@ -121,11 +126,20 @@ def run_stops(calls: DataFrame, by: list[str], order: str) -> DataFrame:
     line = Window.partitionBy(*by).orderBy(order)
     block = F.count_if(~F.col("failed")).over(line.rowsBetween(Window.unboundedPreceding, 0))
     streak = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)) - F.when(F.col("_block") > 0, 1).otherwise(0)
-    why = F.when(funds_error(F.col("status"), F.col("message")), "funds").when(F.col("status").isin(*FATAL_STATUSES), "status").when(F.col("_streak") >= MOST_FAILURES, "failures")
+    why = F.coalesce(call_faults(), F.when(F.col("_streak") >= MOST_FAILURES, "failures"))
     marked = calls.withColumn("_block", block).withColumn("_streak", streak).where("failed").withColumn("why", why).where("why is not null")
     return marked.groupBy(*by).agg(F.min(order).alias("stopped_at"), F.min_by("why", order).alias("why"))
 
 
+def silences(rows: DataFrame, by: str, at: str, hours: int) -> DataFrame:
+    """by, last, silent_at: each time that nothing came for more than `hours` hours, up to the last line of the whole log."""
+    line = Window.partitionBy(by).orderBy(at)
+    nexts = rows.select(by, F.col(at).alias("last"), F.lead(at).over(line).alias("next"))
+    end = rows.agg(F.max(at)).first()[0]
+    silent = F.col("last") + F.make_dt_interval(hours=F.lit(hours))
+    return nexts.where(silent < F.coalesce("next", F.lit(end))).select(by, "last", silent.alias("silent_at"))
+
+
 def alarms_since(alarms: DataFrame, today: Column, days: int) -> DataFrame:
     """Distinct days with a line that isn't ok, among the last `days` days, today included."""
     return alarms.where(~F.col("ok") & F.col("run_date").between(F.date_sub(today, days - 1), today)).select("run_date").distinct()
