@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
+from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.sources import records, versioned
 from evenkeel.sources.tables import materialize
 
 
@@ -117,6 +120,25 @@ def write_once(record: DataFrame, path: str) -> None:
     record.write.mode("errorifexists").json(path)
 
 
+def log_bridge_gap(spark: SparkSession, path: str, today: str) -> bool:
+    """Disclose that a bridge takes the place of this month's sweep: one gap line, unless the sweep ran or the gap is logged already."""
+    row = spark.createDataFrame([("full_sweep", date.fromisoformat(today), False, "generation_bridge")], records.OBSERVATION)
+    month = F.date_format("date", "yyyy-MM")
+
+    def still_due(rows: DataFrame, log: DataFrame) -> DataFrame:
+        seen = log.where((F.col("job") == "full_sweep") & (F.col("ran") | (F.col("cause") == "generation_bridge"))).select(month.alias("month")).distinct()
+        return rows.withColumn("month", month).join(seen, "month", "left_anti").drop("month")
+
+    return versioned.append(path, row, f"bridge-gap-{today}-{uuid.uuid4().hex}", still_due)
+
+
+def log_listing(path: str, changes: DataFrame, today: str) -> bool:
+    """Append the events of a listing's changes (family, model_id, change) for a day, once for each family, model and event."""
+    rows = changes.select(F.lit("model_observed").alias("record_type"), F.lit(today).alias("observed_date"), "family", "model_id", F.col("change").alias("event"))
+    same_day = lambda rows, log: rows.join(log.select("observed_date", "family", "model_id", "event"), ["observed_date", "family", "model_id", "event"], "left_anti").select(*rows.columns)
+    return versioned.append(path, rows, f"listing-{today}-{uuid.uuid4().hex}", same_day)
+
+
 def misnamed_percentages(units: dict[str, str], percent_units: set[str]) -> list[str]:
     """Fields whose name and unit disagree: `_pct` is in the name if and only if the unit is a percentage."""
     return [field for field, unit in units.items() if ("_pct" in field) != (unit in percent_units)]
