@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions import grammar as G
-from evenkeel.functions.pages import sections
+from evenkeel.functions.pages import contents, markdown_sections, sections
 from evenkeel.jobs import counting, publish
 from evenkeel.operators import audit as A
 from evenkeel.operators import counts, gates
@@ -104,6 +104,20 @@ def op_html_sections(spark: SparkSession, folder: str) -> DataFrame:
     return sections(table(spark, folder, "pages").select("page_id", "html"))
 
 
+@query(""" WITH l AS (SELECT doc_id AS page_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+m AS (SELECT page_id, i * 9 + j AS n, j, CASE j WHEN 0 THEN '# Part ' || (i % 3) || ' of _' || page_id || '_' WHEN 2 THEN '```sql' WHEN 5 THEN '```' WHEN 6 THEN '### Detail' ELSE NULL END AS fixed, i, line FROM l, (SELECT unnest(range(9)) AS j)),
+h AS (SELECT page_id, n, j, CASE WHEN j = 0 THEN 1 ELSE 3 END AS level, CASE WHEN j = 0 THEN 'Part ' || (i % 3) || ' of ' || page_id ELSE 'Detail' END AS heading, CASE WHEN j = 0 THEN 'part-' || (i % 3) || '-of-' || page_id ELSE 'detail' END AS slug,
+  left(trim(regexp_replace(translate(CASE WHEN j = 0 THEN 'said: ' || line || ' # no heading in here' ELSE 'end of part ' || i END, '|`*_', ' '), '\\s+', ' ', 'g')), 220) AS snippet FROM m WHERE j IN (0, 6)),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS INTEGER) AS place, row_number() OVER (PARTITION BY page_id, slug ORDER BY n) AS nth FROM h)
+SELECT page_id, place, level, heading, slug || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS anchor, CASE WHEN level = 3 THEN place - 1 END AS parent, sha256(snippet) AS snippet_sha256 FROM p""")
+def op_markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Each line of a document becomes two sections of a markdown page, with a fence that holds what looks like a heading."""
+    line = lambda x, i: F.concat(F.lit("# Part "), (i % 3).cast("string"), F.lit(" of _"), F.col("doc_id").cast("string"), F.lit("_\nsaid: "), x, F.lit("\n```sql\n# no heading\n  in here\n```\n### Detail ###\n> end of part "), i.cast("string"), F.lit("\n"))
+    lines = F.transform(F.split("text", "\n"), line)
+    pages = table(spark, folder, "documents").select("doc_id", "text").select(F.col("doc_id").alias("page_id"), F.array_join(lines, "\n").alias("text"))
+    return markdown_sections(pages).select("page_id", "place", "level", "heading", "anchor", "parent", F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
 @query(with_views("trials", counting._GATED + """ SELECT run_id, CASE WHEN len(flags) = 0 THEN '[]' ELSE '["' || array_to_string(flags, '", "') || '"]' END AS flags, CASE WHEN reading IS NULL THEN '' WHEN reading THEN 'True' ELSE 'False' END AS reading,
   CASE WHEN all_passed THEN 'True' ELSE 'False' END AS all_passed, '{"A": ' || v_A || ', "A_prime": ' || v_A_prime || ', "B": ' || v_B || ', "C": ' || v_C || '}' AS n_valid, coalesce(CAST(concentration_pct AS VARCHAR), '') AS concentration_pct FROM e"""))
 def op_csv_rows(spark: SparkSession, folder: str) -> DataFrame:
