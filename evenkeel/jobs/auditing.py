@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import grammar as G
 from evenkeel.functions.pages import contents, markdown_sections, sections
-from evenkeel.jobs import counting, publish
+from evenkeel.jobs import counting, publish, reading
 from evenkeel.operators import audit as A
 from evenkeel.operators import counts, gates
 from evenkeel.operators import history as H
@@ -38,7 +38,9 @@ def op_recompute_matches(spark: SparkSession, folder: str) -> DataFrame:
     return A.off_by(stored, fresh, "run_id", "stability_pct", 1e-3).withColumn("published", F.round("published", 6))
 
 
-@query(_STABLE + " SELECT run_id, concat_ws(',', CASE WHEN k % 4 = 1 AND k <> 7 THEN 'stability_pct' END, CASE WHEN k % 3 = 1 AND k <> 7 THEN 'valid' END, CASE WHEN k = 7 THEN 'not_rebuilt' END) AS differs FROM s")
+@query(_STABLE + """, f AS (SELECT s.run_id, s.k, s.stability_pct, c.v_A + c.v_B AS valid FROM s JOIN c ON c.run_id = s.run_id),
+t AS (SELECT run_id, CASE WHEN k % 4 <> 1 THEN stability_pct END AS stability_pct, CASE WHEN k % 3 = 1 THEN valid + 1 ELSE valid END AS valid FROM f), g AS (SELECT * FROM f WHERE k <> 7)
+SELECT t.run_id, CASE WHEN g.run_id IS NULL THEN 'not_rebuilt' ELSE concat_ws(',', CASE WHEN t.stability_pct IS DISTINCT FROM g.stability_pct THEN 'stability_pct' END, CASE WHEN t.valid IS DISTINCT FROM g.valid THEN 'valid' END) END AS differs FROM t LEFT JOIN g ON g.run_id = t.run_id""")
 def op_field_diff(spark: SparkSession, folder: str) -> DataFrame:
     rows = counts.with_pairs(counts.tally(trials(spark, folder), ["run_id"]))
     fresh = rows.select("run_id", counts.stability().alias("stability_pct"), counts.percent(rows, "gap", "ab").alias("gap_pct"), (F.col("valid_A") + F.col("valid_B")).alias("valid"))
@@ -47,7 +49,11 @@ def op_field_diff(spark: SparkSession, folder: str) -> DataFrame:
     return A.field_diff(stored, fresh.where(k != 7), ["run_id"]).withColumn("differs", F.array_join("differs", ","))
 
 
-@query(with_views("responses", """ SELECT conv_id % 10 AS lot, count(*) AS trials, count(*) FILTER (WHERE (conv_id * 7 + turn) % 29 NOT IN (3, 4) AND (conv_id + turn) % 10 IN (5, 8)) AS changed FROM responses GROUP BY ALL"""))
+_READ_BY = [f"({with_views('responses', reading._read(version) + reading._READ)})" for version in (1, 2)]
+
+
+@query(f""" SELECT a.conv_id % 10 AS lot, count(*) AS trials, count(*) FILTER (WHERE a.outcome IS DISTINCT FROM b.outcome OR a.token IS DISTINCT FROM b.token OR a.reason IS DISTINCT FROM b.reason) AS changed
+FROM {_READ_BY[0]} a JOIN {_READ_BY[1]} b ON a.conv_id = b.conv_id AND a.turn = b.turn GROUP BY ALL""")
 def op_reclassified(spark: SparkSession, folder: str) -> DataFrame:
     rows = responses(spark, folder)
     read = lambda version: G.extract(rows, ["A", "B"], version).select("conv_id", "turn", (F.col("conv_id") % 10).alias("lot"), "read.*")

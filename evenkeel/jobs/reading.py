@@ -137,9 +137,18 @@ def op_token_costs(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "conversations").select("conv_id", "turn", cost.alias("cost"))
 
 
-@query(with_views("protocols", """ SELECT place, protocol_id, concat_ws(',', CASE WHEN status = 'admitted' AND lane = 'open' AND twin IS NULL THEN 'open_without_twin' END, CASE WHEN twin = place THEN 'own_twin' END) AS broken FROM protocols"""))
+@query(with_views("protocols", """, p AS (SELECT place, protocol_id, CASE WHEN place % 41 = 0 THEN 'tone' ELSE rewording_type END AS rewording_type, CASE WHEN place % 43 = 0 THEN 'draft' ELSE status END AS status,
+  CASE WHEN place % 27 = 0 THEN 'open' WHEN place % 47 = 0 THEN 'hidden' ELSE lane END AS lane, CASE WHEN place % 18 = 0 THEN place + 5 WHEN place % 53 = 0 THEN place ELSE twin END AS twin FROM protocols)
+SELECT place, protocol_id, concat_ws(',', CASE WHEN rewording_type NOT IN ('wording', 'order', 'default', 'anchoring') THEN 'unknown_type' END, CASE WHEN status NOT IN ('candidate', 'admitted', 'retired') THEN 'unknown_status' END, CASE WHEN lane NOT IN ('open', 'guard', 'sealed') THEN 'unknown_lane' END,
+  CASE WHEN status = 'candidate' AND lane IS NOT NULL THEN 'candidate_has_lane' END, CASE WHEN status = 'candidate' AND twin IS NOT NULL THEN 'candidate_has_twin' END, CASE WHEN status = 'admitted' AND lane = 'open' AND twin IS NULL THEN 'open_without_twin' END, CASE WHEN twin = place THEN 'own_twin' END) AS broken FROM p"""))
 def op_lane_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return P.lane_rules(protocols(spark, folder)).withColumn("broken", F.array_join("broken", ","))
+    """Every rule is broken by some."""
+    k, c = F.col("place"), F.col
+    odd = {
+        "rewording_type": F.when(k % 41 == 0, "tone").otherwise(c("rewording_type")), "status": F.when(k % 43 == 0, "draft").otherwise(c("status")),
+        "lane": F.when(k % 27 == 0, "open").when(k % 47 == 0, "hidden").otherwise(c("lane")), "twin": F.when(k % 18 == 0, k + 5).when(k % 53 == 0, k).otherwise(c("twin")),
+    }
+    return P.lane_rules(protocols(spark, folder).withColumns(odd)).withColumn("broken", F.array_join("broken", ","))
 
 
 @query(with_views("protocols", """ SELECT a.place, a.twin, concat_ws(',', CASE WHEN b.place IS NULL THEN 'no_such_twin' END, CASE WHEN b.place IS NOT NULL AND b.twin IS DISTINCT FROM a.place THEN 'not_mutual' END, CASE WHEN a.family <> b.family THEN 'other_family' END,
@@ -170,14 +179,14 @@ def op_guard_rotation(spark: SparkSession, folder: str) -> DataFrame:
     return P.rotation(days, guards).withColumn("day", F.col("day").cast("string"))
 
 
-_MANIFESTS = ", m AS (SELECT DISTINCT 'x' || l_partkey AS id, sha256('panel' || (l_partkey % 300)) AS panel, sha256('protocol' || l_partkey) AS protocol FROM lineitem WHERE l_returnflag = 'N')"
+_MANIFESTS = ", m AS (SELECT DISTINCT 'x' || l_partkey AS id, sha256('panel' || (l_partkey % 300)) AS panel, sha256('protocol' || l_partkey) AS protocol FROM lineitem WHERE l_returnflag = 'N' AND l_linenumber > 5)"
 
 
 @query(with_views("protocols", _MANIFESTS + " SELECT place, protocol_id FROM protocols p WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.panel = p.panel_sha256 AND m.protocol = p.protocol_sha256)"))
 def op_prereg_anti(spark: SparkSession, folder: str) -> DataFrame:
     p = protocols(spark, folder)
     k = F.col("l_partkey")
-    stamped = table(spark, folder, "lineitem").where("l_returnflag = 'N'").select(k.alias("place"), F.sha2(F.concat(F.lit("panel"), (k % 300).cast("string")), 256).alias("panel_sha256"), F.sha2(F.concat(F.lit("protocol"), k.cast("string")), 256).alias("protocol_sha256"))
+    stamped = table(spark, folder, "lineitem").where("l_returnflag = 'N' and l_linenumber > 5").select(k.alias("place"), F.sha2(F.concat(F.lit("panel"), (k % 300).cast("string")), 256).alias("panel_sha256"), F.sha2(F.concat(F.lit("protocol"), k.cast("string")), 256).alias("protocol_sha256"))
     manifests = stamped.join(p.select("place", "protocol_id"), "place").drop("place")
     return P.not_preregistered(p, manifests).select("place", "protocol_id")
 
@@ -224,9 +233,26 @@ def scenarios(spark: SparkSession, folder: str) -> DataFrame:
     return p.select("place", "scenario", a.alias("lots_A"), a_prime.alias("lots_A_prime"), b.alias("lots_B"), c.alias("lots_C"), one.alias("right_A"), one.alias("right_A_prime"), F.when(k % 23 == 0, two).otherwise(one).alias("right_B"), F.when(k % 29 == 0, one).otherwise(two).alias("right_C"))
 
 
-@query(""" WITH s AS (SELECT p_partkey AS place, j AS scenario, p_partkey * 3 + j AS k FROM part CROSS JOIN (SELECT unnest([0, 1, 2]) AS j))
-SELECT place, CAST(scenario AS INTEGER) AS scenario, CASE WHEN k % 13 = 0 THEN 'mass_not_one' ELSE concat_ws(',', CASE WHEN k % 11 = 0 OR k % 19 = 0 THEN 'a_prime_differs' END, CASE WHEN k % 19 = 0 THEN 'b_differs' END, CASE WHEN k % 23 = 0 THEN 'answer_moved' END,
-  CASE WHEN k % 19 = 0 THEN 'uneven_values' END, CASE WHEN k % 29 = 0 THEN 'answer_kept_in_c' END, CASE WHEN k % 17 = 0 AND k % 29 <> 0 THEN 'no_dominance_in_c' END) END AS broken FROM s""")
+def _structure_sql() -> str:
+    """The rules over the lotteries themselves; masses and worths in sixths."""
+    o = lambda num, den, value: f"{{'num': {num}, 'den': {den}, 'value': CAST({value} AS BIGINT)}}"
+    risky, sure = f"[{o(1, 2, 'base * 2')}, {o(1, 2, 0)}]", f"[{o(1, 1, 'base')}]"
+    mass = "list_sum(list_transform(lot, lambda o: o.num * 6 // o.den))"
+    worth = "list_sum(list_transform(lot, lambda o: o.num * o.value * 6 // o.den))"
+    ordered = lambda v: f"list_transform({v}, lambda lot: list_sort(lot))"
+    return f""" WITH s AS (SELECT p_partkey AS place, j AS scenario, p_partkey * 3 + j AS k, 10 + (p_partkey * 3 + j) % 7 AS base FROM part CROSS JOIN (SELECT unnest([0, 1, 2]) AS j)),
+d AS (SELECT place, CAST(scenario AS INTEGER) AS scenario, CASE WHEN k % 19 = 0 THEN [[{o(1, 2, 'base * 2 + 1')}, {o(1, 2, 0)}], {sure}] ELSE [{risky}, {sure}] END AS a,
+  CASE WHEN k % 11 = 0 THEN [{risky}, [{o(1, 1, 'base + 1')}]] ELSE [[{o(1, 2, 0)}, {o(1, 2, 'base * 2')}], {sure}] END AS p,
+  CASE WHEN k % 13 = 0 THEN [[{o(1, 2, 'base * 2')}, {o(1, 3, 0)}], {sure}] ELSE [{risky}, {sure}] END AS b,
+  CASE WHEN k % 17 = 0 THEN [[{o(1, 1, 'base * 9')}], [{o(1, 1, 'base')}]] ELSE [[{o(1, 2, 1)}, {o(1, 2, 2)}], [{o(1, 1, 'base')}]] END AS c,
+  1 AS ra, 1 AS rp, CASE WHEN k % 23 = 0 THEN 2 ELSE 1 END AS rb, CASE WHEN k % 29 = 0 THEN 1 ELSE 2 END AS rc FROM s),
+m AS (SELECT *, len(list_filter(flatten([a, p, b, c]), lambda lot: {mass} <> 6)) > 0 AS off, list_min(list_transform(c[rc], lambda o: o.value)) AS least, list_max(list_transform(c[3 - rc], lambda o: o.value)) AS best_other,
+  len(list_distinct(list_transform(a, lambda lot: {worth}))) > 1 AS uneven FROM d)
+SELECT place, scenario, CASE WHEN off THEN 'mass_not_one' ELSE concat_ws(',', CASE WHEN {ordered('p')} <> {ordered('a')} THEN 'a_prime_differs' END, CASE WHEN {ordered('b')} <> {ordered('a')} THEN 'b_differs' END, CASE WHEN rp <> ra OR rb <> ra THEN 'answer_moved' END,
+  CASE WHEN uneven THEN 'uneven_values' END, CASE WHEN rc = ra THEN 'answer_kept_in_c' END, CASE WHEN rc <> ra AND best_other >= least THEN 'no_dominance_in_c' END) END AS broken FROM m"""
+
+
+@query(_structure_sql())
 def op_structure_rules(spark: SparkSession, folder: str) -> DataFrame:
     return P.structure_rules(scenarios(spark, folder)).withColumn("broken", F.array_join("broken", ","))
 

@@ -165,11 +165,13 @@ def _cadence(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, F.
 
 
 @query(with_views("observations", f""", i AS (SELECT job, CAST(1 + length(job) % 4 AS DOUBLE) / 2 AS interval_days FROM (SELECT DISTINCT job FROM observations) UNION ALL SELECT 'quarterly', 90.0),
-z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran GROUP BY job), d AS (SELECT i.job FROM i LEFT JOIN z ON z.job = i.job WHERE z.last_run IS NULL OR date_diff('day', z.last_run, {_TODAY}) >= i.interval_days),
-r AS (SELECT DISTINCT job, CASE WHEN length(job) > 5 THEN 'sweep' ELSE 'reference' END AS runner FROM observations) SELECT runner, string_agg(DISTINCT job, ',' ORDER BY job) AS jobs FROM d JOIN r USING (job) GROUP BY runner"""))
+z AS (SELECT job, max(day) AS last_run FROM observations WHERE ran GROUP BY job), d AS (SELECT i.job FROM i LEFT JOIN z ON z.job = i.job WHERE z.last_run IS NULL OR date_diff('day', z.last_run, {_TODAY}) + 1 >= i.interval_days),
+r AS (SELECT DISTINCT job, CASE WHEN length(job) > 5 THEN 'sweep' ELSE 'reference' END AS runner FROM i) SELECT runner, string_agg(DISTINCT job, ',' ORDER BY job) AS jobs FROM d JOIN r USING (job) GROUP BY runner"""))
 def op_route_jobs(spark: SparkSession, folder: str) -> DataFrame:
-    runners = observations(spark, folder).select("job").distinct().select("job", F.when(F.length("job") > 5, "sweep").otherwise("reference").alias("runner"))
-    return L.routed(L.due(*_cadence(spark, folder)), runners)
+    """Jobs due on the day after the log's last."""
+    jobs, states, today = _cadence(spark, folder)
+    runners = jobs.select("job", F.when(F.length("job") > 5, "sweep").otherwise("reference").alias("runner"))
+    return L.routed(L.due(jobs, states, F.date_add(today, 1)), runners)
 
 
 @query(with_views("ledger", """ SELECT strftime(run_date, '%Y-%m') AS month, count(*) AS entries, count(*) FILTER (WHERE contains(note, 'not yet reconciled')) AS auto_entries,
