@@ -143,3 +143,16 @@ def op_coverage_counts(spark: SparkSession, folder: str) -> DataFrame:
     m = rows.groupBy(F.substr("protocol_id", F.lit(2)).cast("long").alias("k")).agg(F.max(F.col("model_id") == "model_0").alias("now"), F.max("run_date").alias("last"))
     both = p.withColumn("admitted", F.lit(True)).join(m, "k", "full")
     return both.agg(F.count_if("admitted").alias("admitted"), F.count_if(F.col("admitted") & F.col("now")).alias("measured"), F.count_if(F.col("admitted") & ~F.col("now")).alias("earlier_only"), F.max("last").cast("string").alias("as_of"))
+
+
+@query(with_views("history", """, l AS (SELECT protocol_id, series, model_id, arg_max(struct_pack(s := stability_pct, r := run_id), (run_date, run_id)) AS m FROM history GROUP BY ALL),
+a AS (SELECT protocol_id, series, model_id, m.s + (CAST(substr(m.r, 2) AS BIGINT) % 4) * 0.02 AS quoted FROM l WHERE m.s IS NOT NULL)
+SELECT a.protocol_id, a.series, a.model_id, round(a.quoted, 6) AS published, l.m.s AS recomputed, l.m.s IS NOT NULL AND abs(a.quoted - l.m.s) <= 0.05 AS agrees FROM a LEFT JOIN l ON l.protocol_id = a.protocol_id AND l.series = a.series AND l.model_id = a.model_id AND l.series = 'commercial'"""))
+def op_quoted_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores as others quote them, to within 0.05 of what is published; a series that isn't published agrees with nothing."""
+    key = ["protocol_id", "series", "model_id"]
+    now = H.latest(history(spark, folder)).select(*key, "run_id", "stability_pct")
+    off = F.substr("run_id", F.lit(2)).cast("long") % 4 * 0.02
+    quoted = now.where("stability_pct is not null").select(*key, (F.col("stability_pct") + off).alias("stability_pct"))
+    found = A.off_by(quoted, now.where("series = 'commercial'"), key, "stability_pct", 0.05)
+    return found.withColumns({"published": F.round("published", 6), "agrees": F.coalesce("agrees", F.lit(False))})

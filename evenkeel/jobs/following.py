@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions import hashing as S
+from evenkeel.functions.vocabulary import COST_PER_CALL_EUR
 from evenkeel.jobs import counting, publish, reading, tracking
 from evenkeel.jobs.measuring import _OWED
-from evenkeel.operators import admission, history as H, logs as L, resampling as R
-from evenkeel.sources.derived import history, ledger, observations, registry, with_views
+from evenkeel.operators import admission, history as H, logs as L, protocols as P, resampling as R
+from evenkeel.sources.derived import history, ledger, observations, protocols, registry, with_views
 from evenkeel.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -148,3 +149,20 @@ def op_bridge_followup(spark: SparkSession, folder: str) -> DataFrame:
     sweeps = observations(spark, folder).where("job = 'signup'").select(F.date_format(F.add_months("day", -26 * 12), "yyyy-MM").alias("month"))
     generations = spark.createDataFrame([("model_0",), ("model_1",)], "new_model string")
     return L.bridge_steps(complete, generations, ledger(spark, folder), sweeps)
+
+
+@query(with_views("protocols ledger", reading._CURRENT + f""", y AS (SELECT rewording_type AS t, arg_min(n, (protocol_id, place)) AS n FROM c GROUP BY rewording_type), pl AS (SELECT CAST(sum(n) * 8 AS BIGINT) AS calls_total FROM y),
+m AS (SELECT coalesce(sum(cents) FILTER (WHERE category = 'bridge'), 0) AS cents FROM ledger WHERE strftime(run_date, '%Y-%m') = (SELECT strftime(max(run_date), '%Y-%m') FROM ledger)),
+d AS (SELECT family, count(*) AS n_events, min(CASE WHEN change = 'appeared' THEN model_id END) AS new_model FROM ({tracking.SQL['op_model_diff']}) z GROUP BY family)
+SELECT family, n_events, new_model, CASE WHEN new_model IS NOT NULL THEN calls_total END AS calls_total, CASE WHEN new_model IS NOT NULL THEN CAST(calls_total * 66 AS DOUBLE) / 10000 END AS cost,
+  CASE WHEN new_model IS NOT NULL THEN cents * 100 + calls_total * 66 <= length(family) * 15000000 END AS allowed FROM d, pl, m"""))
+def op_listing_check(spark: SparkSession, folder: str) -> DataFrame:
+    """What a changed listing asks for: events, the plan of a bridge, and whether the reserve allows it."""
+    spends = ledger(spark, folder)
+    month = F.date_format("run_date", "yyyy-MM")
+    last = spends.agg(F.max(month)).first()[0]
+    spent = spends.where((F.col("category") == "bridge") & (month == F.lit(last))).agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("spent"))
+    diff = tracking.op_model_diff(spark, folder)
+    reserves = diff.select("family").distinct().select("family", (F.length("family") * 1500).cast("decimal(20,2)").alias("reserve"))
+    found = L.listing_verdicts(diff, P.plan_bridge(protocols(spark, folder)), spent, reserves, COST_PER_CALL_EUR)
+    return found.withColumn("cost", F.col("cost").cast("double"))

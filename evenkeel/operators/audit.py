@@ -19,9 +19,10 @@ def field_diff(stored: DataFrame, rebuilt: DataFrame, key: list[str], ignore: tu
     return both.select(*key, F.coalesce(lone, names).alias("differs"))
 
 
-def off_by(published: DataFrame, recomputed: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
+def off_by(published: DataFrame, recomputed: DataFrame, key: str | list[str], value: str, tolerance: float) -> DataFrame:
     """key, published and recomputed value, and whether they agree; nulls agree with nulls."""
-    both = published.select(key, F.col(value).alias("published")).join(recomputed.select(key, F.col(value).alias("recomputed")), key, "left")
+    key = [key] if isinstance(key, str) else key
+    both = published.select(*key, F.col(value).alias("published")).join(recomputed.select(*key, F.col(value).alias("recomputed")), key, "left")
     near = F.coalesce(F.abs(F.col("published") - F.col("recomputed")) <= tolerance, F.col("published").isNull() & F.col("recomputed").isNull())
     return both.withColumn("agrees", near)
 

@@ -9,6 +9,7 @@ from evenkeel.functions.grammar import funds_error
 from evenkeel.functions.canonical import row_json
 from evenkeel.functions.hashing import token_cost
 from evenkeel.functions.vocabulary import EVENTS_THAT_ADD, EVENTS_THAT_REMOVE
+from evenkeel.sources.tables import materialize
 
 #: Gap causes by runner and skip reason; any other pair has no honest cause.
 SKIP_CAUSES = {("full_sweep", "budget_halted"): "budget_halted"}
@@ -102,11 +103,31 @@ def rung(spent: Column, ceiling: Column) -> Column:
 
 
 def error_runs(calls: DataFrame, by: list[str], order: str, least: int = 5) -> DataFrame:
-    """Runs of `least` or more consecutive failed calls: by, first, last, length."""
-    line = Window.partitionBy(*by).orderBy(order)
-    marked = calls.withColumn("_good", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.where("failed").groupBy(*by, "_good").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least).drop("_good")
+    """Runs of `least` or more consecutive failed calls: by, first, last, length.
+
+    Calls are sorted over all tasks, so a client of any size lies in many pieces. Runs are found
+    inside each piece; those that touch its first or last call, two a piece at most, are
+    carried on into the neighbouring pieces.
+    """
+    at = {"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}
+    ranked = materialize(calls.select(*by, order, "failed").orderBy(*by, order).withColumns(at), "calls-ranked")
+    piece = Window.partitionBy(*by, "_part")
+    block = F.count_if(~F.col("failed")).over(piece.orderBy("_row").rowsBetween(Window.unboundedPreceding, 0))
+    marked = ranked.withColumns({"_block": block, "_a": F.min("_row").over(piece), "_b": F.max("_row").over(piece)}).where("failed")
+    runs = marked.groupBy(*by, "_part", "_block").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"), (F.min("_row") == F.min("_a")).alias("_opens"), (F.max("_row") == F.max("_b")).alias("_closes"))
+    pieces = ranked.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_of")).distinct()
+    pieces = pieces.withColumn("_no", F.row_number().over(Window.partitionBy(*(f"_{c}" for c in by)).orderBy("_of")))
+    mine = F.col("_of") == F.col("_part")
+    for c in by:
+        mine &= F.col(f"_{c}").eqNullSafe(F.col(c))
+    edges = runs.where("_opens or _closes").join(pieces, mine)
+    line = Window.partitionBy(*by).orderBy("_no", "_block")
+    goes_on = F.col("_opens") & F.lag("_closes", 1, False).over(line) & (F.lag("_no").over(line) == F.col("_no") - 1)
+    edges = edges.withColumn("_on", F.coalesce(goes_on, F.lit(False)))
+    edges = edges.withColumn("_run", F.count_if(~F.col("_on")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = edges.groupBy(*by, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length")).drop("_run")
+    inner = runs.where("not (_opens or _closes)").select(*by, "first", "last", "length")
+    return inner.unionByName(whole).where(F.col("length") >= least)
 
 
 # Answers that end a run at once, and failed calls in a row that do.
@@ -210,6 +231,19 @@ def registry_events(diff: DataFrame, today: Column) -> DataFrame:
     return rows.select("family", "model_id", line.alias("line"), (F.col("change") == "appeared").alias("bridge_needed"))
 
 
+def listing_verdicts(diff: DataFrame, plan: DataFrame, spent: DataFrame, reserves: DataFrame, cost_per_call: str) -> DataFrame:
+    """family, n_events, new_model (the first that appeared), and for a family with one: calls_total, cost and whether its bridge fits the reserve.
+
+    diff: family, model_id, change; plan: one row of `protocols.plan_bridge`; spent: one row with
+    this month's bridge spending; reserves: family, reserve. Amounts are exact decimals.
+    """
+    events = diff.groupBy("family").agg(F.count("*").alias("n_events"), F.min(F.when(F.col("change") == "appeared", F.col("model_id"))).alias("new_model"))
+    one = plan.select("calls_total", F.lit(1).alias("_one")).join(spent.select(F.col("spent").cast("decimal(20,2)").alias("spent"), F.lit(1).alias("_one")), "_one")
+    rows = events.join(reserves, "family", "left").withColumn("_one", F.when(F.col("new_model").isNotNull(), 1)).join(F.broadcast(one), "_one", "left")
+    cost = (F.col("calls_total").cast("decimal(18,0)") * F.lit(cost_per_call).cast("decimal(10,4)")).cast("decimal(24,4)")
+    return rows.select("family", "n_events", "new_model", "calls_total", cost.alias("cost"), (F.col("spent") + cost <= F.col("reserve")).alias("allowed"))
+
+
 def spend_entries(runs: DataFrame) -> DataFrame:
     """Ledger entries of finished runs, from the tokens they used; an unknown price or no cost writes nothing."""
     note = F.concat("category", F.lit("; tokens x list price ("), F.col("tokens_in").cast("string"), F.lit(" in / "), F.col("tokens_out").cast("string"), F.lit(" out), not yet reconciled"))

@@ -58,3 +58,15 @@ def test_a_bridge_may_come_from_any_run_on_the_panel(spark):
     runs = spark.createDataFrame([(3, "m", date(2026, 1, 1)), (2, "m", date(2026, 1, 8)), (4, "m", date(2026, 1, 9)), (5, "m", date(2026, 1, 1)), (6, "n", date(2026, 1, 1))], "line long, model_id string, day date")
     broken = {r.place: r.broken for r in P.declassification(protocols, runs).collect()}
     assert broken == {1: [], 2: ["still_current", "no_successor"], 3: ["no_bridge"], 4: ["still_current", "no_successor"], 5: ["no_bridge"], 6: ["still_current", "no_successor"]}
+
+
+def test_a_bridge_needs_a_protocol_of_every_type(spark):
+    rows = [(k, f"{f}__{t}__v{v}", t, n) for k, (f, t, v, n) in enumerate([("b", "wording", 0, 30), ("a", "wording", 0, 30), ("a", "wording", 1, 120), ("a", "order", 0, 30), ("c", "default", 0, 30), ("z", "anchoring", 2, 60)])]
+    protocols = spark.createDataFrame(rows, "place int, protocol_id string, rewording_type string, n int").withColumn("status", F.lit("admitted"))
+    plan = P.plan_bridge(protocols).first()
+    assert plan.protocol_ids == ["a__wording__v1", "a__order__v0", "c__default__v0", "z__anchoring__v2"] and (plan.calls_per_model, plan.calls_total) == (960, 1920)
+    for lost in ("order", "anchoring"):
+        with pytest.raises(Exception, match=f"no admitted protocol for type.*{lost}"):
+            P.plan_bridge(protocols.where(F.col("rewording_type") != lost)).collect()
+    with pytest.raises(Exception, match="wording, order, default, anchoring"):
+        P.plan_bridge(protocols.limit(0)).collect()

@@ -69,3 +69,29 @@ def test_silence_is_told_once_by_a_timer(spark, tmp_path):
     found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("bot", "last").collect()]
     assert set(found) == want and len(found) == len(want)
     assert batch.where(F.col("silent_at") != F.col("last") + F.expr("interval 36 hours")).count() == 0
+
+
+def test_runs_of_failures_go_on_over_pieces(spark):
+    rng = random.Random(9)
+    rows = [(c, k, rng.random() < share) for c, n, share in (("hot", 3000, 0.8), ("all", 500, 1.1), ("few", 7, 0.9), (None, 60, 0.7), ("none", 40, 0.0)) for k in range(n)]
+    want, streak = set(), []
+    for client in ("hot", "all", "few", None, "none"):
+        for c, k, failed in [r for r in rows if r[0] == client] + [(client, None, False)]:
+            if failed:
+                streak.append(k)
+                continue
+            if len(streak) >= 5:
+                want.add((client, streak[0], streak[-1], len(streak)))
+            streak = []
+    rng.shuffle(rows)
+    calls = spark.createDataFrame(rows, "client string, place int, failed boolean")
+    for pieces in ("1", "4", "37"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", pieces)
+        try:
+            found = [tuple(r) for r in logs.error_runs(calls, ["client"], "place").select("client", "first", "last", "length").collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert set(found) == want and len(found) == len(want)
+    assert logs.error_runs(calls.limit(0), ["client"], "place").count() == 0
