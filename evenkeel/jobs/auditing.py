@@ -117,11 +117,19 @@ h AS (SELECT page_id, n, j, CASE WHEN j = 0 THEN 1 ELSE 3 END AS level, CASE WHE
 p AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS INTEGER) AS place, row_number() OVER (PARTITION BY page_id, slug ORDER BY n) AS nth FROM h)
 SELECT page_id, place, level, heading, slug || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS anchor, CASE WHEN level = 3 THEN place - 1 END AS parent, sha256(snippet) AS snippet_sha256 FROM p""")
 def op_markdown_sections(spark: SparkSession, folder: str) -> DataFrame:
+    return markdown_sections(_markdown(spark, folder)).select("page_id", "place", "level", "heading", "anchor", "parent", F.sha2("snippet", 256).alias("snippet_sha256"))
+
+
+def _markdown(spark: SparkSession, folder: str) -> DataFrame:
     """Each line of a document becomes two sections of a markdown page, with a fence that holds what looks like a heading."""
     line = lambda x, i: F.concat(F.lit("# Part "), (i % 3).cast("string"), F.lit(" of _"), F.col("doc_id").cast("string"), F.lit("_\nsaid: "), x, F.lit("\n```sql\n# no heading\n  in here\n```\n### Detail ###\n> end of part "), i.cast("string"), F.lit("\n"))
     lines = F.transform(F.split("text", "\n"), line)
-    pages = table(spark, folder, "documents").select("doc_id", "text").select(F.col("doc_id").alias("page_id"), F.array_join(lines, "\n").alias("text"))
-    return markdown_sections(pages).select("page_id", "place", "level", "heading", "anchor", "parent", F.sha2("snippet", 256).alias("snippet_sha256"))
+    return table(spark, folder, "documents").select("doc_id", "text").select(F.col("doc_id").alias("page_id"), F.array_join(lines, "\n").alias("text"))
+
+
+@query(f" SELECT page_id, place, level, heading, anchor, parent FROM ({SQL['op_markdown_sections']}) m WHERE level BETWEEN 2 AND 3")
+def op_markdown_contents(spark: SparkSession, folder: str) -> DataFrame:
+    return contents(markdown_sections(_markdown(spark, folder)))
 
 
 @query(with_views("trials", counting._GATED + """ SELECT run_id, CASE WHEN len(flags) = 0 THEN '[]' ELSE '["' || array_to_string(flags, '", "') || '"]' END AS flags, CASE WHEN reading IS NULL THEN '' WHEN reading THEN 'True' ELSE 'False' END AS reading,

@@ -6,7 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evenkeel.functions import hashing as S
 from evenkeel.functions.vocabulary import COST_PER_CALL_EUR

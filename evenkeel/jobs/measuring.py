@@ -11,7 +11,7 @@ from evenkeel.functions import hashing as S
 from evenkeel.functions.exact import published
 from evenkeel.functions.vocabulary import COST_PER_CALL_EUR
 from evenkeel.jobs import counting
-from evenkeel.operators import counts, gates, history as H, logs as L, protocols as P, resampling as R
+from evenkeel.operators import counts, gates, history as H, logs as L, resampling as R
 from evenkeel.sources.derived import history, observations, protocols, registry, responses, trials, with_views
 from evenkeel.sources.tables import materialize, table
 
