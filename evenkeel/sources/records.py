@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,26 +91,33 @@ def cadence(spark: SparkSession, path: str) -> DataFrame:
     return found.where("job <> ''").select(F.trim("job").alias("job"), days.alias("interval_days"))
 
 
-def generations(text: str) -> list[tuple[int, str, str, str]]:
-    """(place, series, model_id, status) from an indented list of model generations: metadata, a few lines."""
-    out, series, entry = [], None, {}
-    for line in [*text.splitlines(), "end:"]:
+GENERATION = "place int, series string, model_id string, model_family string, status string, declared_successor string"
+
+
+def generations(text: str) -> list[tuple]:
+    """Rows of GENERATION from an indented file: metadata, a few lines.
+
+    Series are the keys right under the outermost one, whatever their names and whatever keys lie
+    between them and their list of models; a `null` or missing value is none, and so is a model without an id.
+    """
+    out: list[dict] = []
+    above: list[tuple[int, str]] = []  # the keys without a value that the line lies under
+    for line in text.splitlines():
         bare = line.split("#", 1)[0].rstrip()
         if not bare.strip():
             continue
         depth = len(bare) - len(bare.lstrip())
-        if bare.lstrip().startswith("- ") or depth == 0:
-            if {"model_id", "status"} <= entry.keys() and series:
-                out.append((len(out), series, entry["model_id"], entry["status"]))
-            entry = {}
-        if depth == 0:
-            series = None
         key, _, value = bare.strip().removeprefix("- ").partition(":")
-        if not value.strip() and depth > 0 and key.strip() in ("commercial", "open_weights"):
-            series = key.strip()
-        elif re.fullmatch(r"model_id|status", key.strip()):
-            entry[key.strip()] = value.strip().strip("\"'")
-    return out
+        key, value = key.strip(), value.strip().strip("\"'")
+        above = [h for h in above if h[0] < depth]
+        if bare.lstrip().startswith("- model_id") and len(above) > 1:
+            out.append({"series": above[1][1], "at": depth})
+        if not value:
+            above.append((depth, key))
+        elif out and depth >= out[-1]["at"] and len(above) > 1 and above[1][1] == out[-1]["series"] and key in ("model_id", "model_family", "status", "declared_successor"):
+            out[-1][key] = None if value == "null" else value
+    known = [g for g in out if g.get("model_id")]
+    return [(k, g["series"], g["model_id"], g.get("model_family"), g.get("status"), g.get("declared_successor")) for k, g in enumerate(known)]
 
 
 def active_models(generations: DataFrame) -> DataFrame:

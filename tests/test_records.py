@@ -83,10 +83,37 @@ def test_cadence_takes_bare_intervals_alone(spark, tmp_path):
 
 def test_the_last_active_generation_counts(spark):
     text = "series:\n  commercial:\n    - model_id: a\n      status: active\n    - model_id: b  # newer\n      status: active\n    - model_id: c\n      status: pending\n  open_weights:\n    - model_id: o\n      status: active\n"
-    df = spark.createDataFrame(records.generations(text), "place int, series string, model_id string, status string")
+    df = spark.createDataFrame(records.generations(text), records.GENERATION)
     assert {tuple(r) for r in records.active_models(df).collect()} == {("commercial", "b"), ("open_weights", "o")}
 
 
+def test_generations_of_any_series():
+    text = """version: 1
+series:
+  # two tracks
+  paid:
+    tier: large
+    generations:
+      - model_id: a-1   # first
+        model_family: "a"
+        status: retired
+        declared_successor: a-2
+      - model_id: 'a-2'
+        status: active
+        declared_successor: null
+  free:
+    generations:
+      - model_id: null
+        status: pending
+      - model_id: o
+        model_family: o-line
+other:
+  - model_id: no
+"""
+    assert records.generations(text) == [(0, "paid", "a-1", "a", "retired", "a-2"), (1, "paid", "a-2", None, "active", None), (2, "free", "o", "o-line", None, None)]
+    assert records.generations("") == []
+
+
 def test_manifests_need_a_proof_of_their_content(spark, tmp_path):
     entry = [{"protocol_id": "p", "panel_sha256": "x", "protocol_sha256": "y"}]
     for name, honest in (("a.json", True), ("b.json", False)):
