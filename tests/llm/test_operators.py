@@ -629,7 +629,7 @@ def test_components_of_long_paths(spark):
 
 def test_registry(spark):
     assert set(queries.QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 14))
     duckdb.sql("SELECT 1")
 
 
