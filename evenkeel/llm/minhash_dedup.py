@@ -145,8 +145,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("text"))
 
 
-def _sketch(texts: DataFrame, cells: int, n: int) -> tuple[np.ndarray, int]:
-    """Document frequencies by cell, and the number of texts."""
+def _sketch(texts: DataFrame, cells: int, n: int, common: float) -> tuple[np.ndarray, int]:
+    """Whether a cell's document frequencies add up to more than `common` of the texts, and the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, seen = np.zeros(cells, dtype=np.int64), 0
@@ -158,17 +158,20 @@ def _sketch(texts: DataFrame, cells: int, n: int) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, cells)), pa.array(np.append(total[used], seen))], ["cell", "times"])
 
-    whole = texts.select("text").mapInArrow(run, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")).toPandas()  # at most cells + 1 rows
-    out = np.zeros(cells + 1, dtype=np.int64)
-    out[whole["cell"].to_numpy()] = whole["times"].to_numpy()
-    return out[:-1], int(out[-1])
+    load = materialize(texts.select("text").mapInArrow(run, "cell long, times long").groupBy("cell").agg(F.sum("times").alias("times")), "near-sketch")
+    seen = load.where(F.col("cell") == cells).agg(F.sum("times")).first()[0] or 0
+    # 64 cells are the bits of one row, so the driver gets cells / 64 rows at most
+    full = load.where((F.col("cell") < cells) & (F.col("times") > common * seen)).groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(-(-cells // 64), dtype="<i8")
+    out[full["at"].to_numpy()] = full["bits"].to_numpy()
+    return np.unpackbits(out.view(np.uint8), count=cells, bitorder="little").astype(bool), seen
 
 
 def fit_weights(texts: DataFrame, n: int, cells: int, damping: float, common: float) -> Weights:
     """Weights from exact document frequencies of the shingles that more than `common` of the texts hold."""
-    load, seen = _sketch(texts, cells, n)
+    crowded, seen = _sketch(texts, cells, n, common)
     least = common * seen
-    full = texts.sparkSession.sparkContext.broadcast(load > least)
+    full = texts.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,10 +180,10 @@ def fit_weights(texts: DataFrame, n: int, cells: int, damping: float, common: fl
                 keys, times = np.unique(keys[full.value[_cell(keys, cells)]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times.astype(np.int64))], ["key", "times"])
 
-    df = texts.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > least).toPandas()
-    keys = df["key"].to_numpy(dtype=np.int64).view(np.uint64)
+    df = texts.select("text").mapInArrow(run, "key long, times long").groupBy("key").agg(F.sum("times").alias("times")).where(F.col("times") > least).toArrow()
+    keys = df["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    return Weights(keys[order], df["times"].to_numpy(dtype=float)[order], seen, damping, common)
+    return Weights(keys[order], df["times"].to_numpy().astype(float)[order], seen, damping, common)
 
 
 def _prints(texts: DataFrame, weights, n: int, bands: int, rows: int, limit: float) -> DataFrame:

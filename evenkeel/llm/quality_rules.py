@@ -225,10 +225,10 @@ def training_rows(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROW
 
 def fit(stats: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, **how) -> list[Rule]:
     """Learn from rows (doc_id, stats) with labels (doc_id, quality); base failures teach nothing."""
-    table = training_rows(stats, labels, most_rows).orderBy("doc_id").toPandas()
-    if table.empty:
+    table = training_rows(stats, labels, most_rows).orderBy("doc_id").toArrow()
+    if not table.num_rows:
         return []
-    return learn({k: table[k].to_numpy(float) for k in ratios()}, table["quality"].to_numpy() == 0, **how)
+    return learn({k: table[k].to_numpy() for k in ratios()}, table["quality"].to_numpy() == 0, **how)
 
 
 def judge(stats: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -586,6 +587,43 @@ def test_weights_fall_with_the_share_of_documents_alone(spark):
     assert np.allclose(one.factor, 1) and len(one.keys) == 4
 
 
+def rows_sent(spark, monkeypatch):
+    """The numbers of rows of each later collect, toPandas and toArrow."""
+    kind, sent = type(spark.range(0)), []
+    for name in ("collect", "toPandas", "toArrow"):
+
+        def counting(self, *a, f=getattr(kind, name), **b):
+            out = f(self, *a, **b)
+            sent.append(len(out))
+            return out
+
+        monkeypatch.setattr(kind, name, counting)
+    return sent
+
+
+@pytest.mark.parametrize("cells", [1 << 12, 1000])
+def test_minhash_sketch_reaches_the_driver_as_bits(spark, monkeypatch, cells):
+    texts = [f"{i} " + " ".join(f"w{(i * 7 + k) % 900}" for k in range(60)) + " a very common tail of words" * (i % 3 == 0) for i in range(400)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    load, held = Counter(), Counter()
+    for t in texts:
+        doc, keys, _ = minhash_dedup.counted(*minhash_dedup.shingles(W.cut(*W.texts(pa.array([t or ""])), lower=True), 5))
+        load.update(minhash_dedup._cell(keys, cells).tolist())
+        held.update(keys.tolist())
+    least = 0.25 * 400
+    sent = rows_sent(spark, monkeypatch)
+    crowded, seen = minhash_dedup._sketch(df, cells, 5, 0.25)
+    assert seen == 400 and crowded.shape == (cells,)
+    assert set(np.flatnonzero(crowded).tolist()) == {c for c, n in load.items() if n > least} != set()
+    found = minhash_dedup.fit_weights(df, 5, cells, 0.25, 0.25)
+    assert found.keys.tolist() == sorted(k for k, n in held.items() if n > least) != []
+    assert len(load) > 2 * (cells // 64 + 1) and max(sent) <= cells // 64 + 1
+    # no text, no crowded cell
+    crowded, seen = minhash_dedup._sketch(df.limit(0), cells, 5, 0.25)
+    assert seen == 0 and not crowded.any() and crowded.shape == (cells,)
+    assert len(minhash_dedup.fit_weights(df.limit(0), 5, cells, 0.25, 0.25).keys) == 0
+
+
 def test_large_groups_of_near_copies_join(spark):
     rng = np.random.default_rng(9)
     base = [f"w{k}" for k in range(150)]
