@@ -56,27 +56,45 @@ def option_keys(options: Column) -> Column:
     return F.when(odd, exact(F.when(odd, options))).otherwise(F.transform(options, _native_line))
 
 
-def _verdict(stated: Column, tails: Column, known: Column, table: Column, strict: bool) -> Column:
-    """Outcome, token and reason from the tails of decision lines and those that are options."""
+def _verdict(stated: Column, tails: Column, known: Column, token: Column, strict: Column) -> Column:
+    """Outcome, token and reason from the tails of decision lines and those that are options; `token` is the option of the first of them."""
     bad = lambda outcome, reason: F.struct(F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("token"), F.lit(reason).alias("reason"))
     out = F.when(~stated, bad("empty", "empty_response"))
-    seen = tails if strict else known
-    out = out.when(F.size(seen) == 0, bad("unparseable", "no_decision_line"))
-    if strict:
-        out = out.when(F.size(known) < F.size(tails), bad("unparseable", "token_not_in_options"))
+    out = out.when(F.when(strict, F.size(tails)).otherwise(F.size(known)) == 0, bad("unparseable", "no_decision_line"))
+    out = out.when(strict & (F.size(known) < F.size(tails)), bad("unparseable", "token_not_in_options"))
     out = out.when(F.size(F.array_distinct(known)) > 1, bad("unparseable", "conflicting_decisions"))
-    return out.otherwise(F.struct(F.lit("valid").alias("outcome"), F.element_at(table, F.get(known, F.lit(0))).alias("token"), F.lit(None).cast("string").alias("reason")))
+    return out.otherwise(F.struct(F.lit("valid").alias("outcome"), token.alias("token"), F.lit(None).cast("string").alias("reason")))
+
+
+def native_stated(text: Column) -> Column:
+    """Whether an ASCII text says anything."""
+    return F.coalesce(F.regexp_replace(text, PYTHON_SPACE, "") != "", F.lit(False))
+
+
+def native_tails(text: Column) -> Column:
+    """What the decision lines of an ASCII text state, whichever options there are."""
+    lines = F.transform(F.split(text, PYTHON_LINES), _native_line)
+    return F.transform(F.filter(lines, lambda line: line.rlike(DECISION)), lambda line: F.regexp_extract(line, DECISION, 1))
+
+
+def verdict(stated: Column, tails: Column, known: Column, keys: Column, options: Column, version: Column) -> Column:
+    """Outcome, token and reason by each row's own options: `keys` are the options as the grammar compares them, `known` the tails that are one."""
+    token = F.get(options, (F.array_position(keys, F.get(known, F.lit(0))) - 1).cast("int"))
+    return _verdict(stated, tails, known, token, strict=version == 1)
 
 
 def native_extract(text: Column, options: list[str], version: int) -> Column:
     """The grammar over ASCII text, in native expressions."""
     table = option_table(options)
     names = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
-    lines = F.transform(F.split(text, PYTHON_LINES), _native_line)
-    tails = F.transform(F.filter(lines, lambda line: line.rlike(DECISION)), lambda line: F.regexp_extract(line, DECISION, 1))
+    tails = native_tails(text)
     known = F.filter(tails, lambda t: t.isin(*table))
-    stated = F.regexp_replace(text, PYTHON_SPACE, "") != ""
-    return _verdict(F.coalesce(stated, F.lit(False)), tails, known, names, strict=version == 1)
+    return _verdict(native_stated(text), tails, known, F.element_at(names, F.get(known, F.lit(0))), strict=F.lit(version == 1))
+
+
+def plain(text: str = "text") -> Column:
+    """Whether native expressions may read the text: it is ASCII, or null."""
+    return F.coalesce(F.octet_length(text) == F.char_length(text), F.lit(True))
 
 
 def exact_extract(texts: pd.Series, options: list[str], version: int) -> pd.DataFrame:
@@ -106,23 +124,26 @@ def extract(rows: DataFrame, options: list[str], version: int, text: str = "text
     def exact(texts: pd.Series) -> pd.DataFrame:
         return exact_extract(texts, options, version)
 
-    plain = F.coalesce(F.octet_length(text) == F.char_length(text), F.lit(True))
-    return rows.where(plain).withColumn("read", native_extract(F.col(text), options, version)).unionByName(rows.where(~plain).withColumn("read", exact(text)))
-
+    return rows.where(plain(text)).withColumn("read", native_extract(F.col(text), options, version)).unionByName(rows.where(~plain(text)).withColumn("read", exact(text)))
 
-def classify(rows: DataFrame, options: list[str], version: int) -> DataFrame:
-    """rows (text, error, stop_reason) with outcome, token, reason.
 
-    In this order: failed transport, refusal, truncation, missing text, grammar.
-    """
+def early() -> Column:
+    """Outcome, token and reason that hold before the grammar is asked; null if it decides."""
     bad = lambda outcome, reason: F.struct(F.lit(outcome).alias("outcome"), F.lit(None).cast("string").alias("token"), reason.cast("string").alias("reason"))
-    early = (
+    return (
         F.when(F.col("error").isNotNull(), bad("blocked_upstream", F.col("error")))
         .when(F.col("stop_reason") == "refusal", bad("refused", F.lit("stop_reason=refusal")))
         .when(F.col("stop_reason") == "max_tokens", bad("truncated", F.lit("stop_reason=max_tokens")))
         .when(F.col("text").isNull(), bad("off_format", F.lit("no_text_content")))
     )
-    marked = rows.withColumn("early", early)
+
+
+def classify(rows: DataFrame, options: list[str], version: int) -> DataFrame:
+    """rows (text, error, stop_reason) with outcome, token, reason.
+
+    In this order: failed transport, refusal, truncation, missing text, grammar.
+    """
+    marked = rows.withColumn("early", early())
     read = extract(marked.where("early is null"), options, version)
     done = marked.where("early is not null").withColumn("read", F.col("early"))
     return read.unionByName(done).drop("early").select("*", "read.*").drop("read")

@@ -35,7 +35,7 @@ def kept_runs(spark: SparkSession, folder: str) -> DataFrame:
 def kept_trials(runs: DataFrame, protocols: DataFrame) -> DataFrame:
     """Trials as they were kept, some of them altered since."""
     k, i = F.col("k"), F.col("index")
-    made = V.calls(runs.drop("k"), protocols).join(runs.select("run_id", "k"), "run_id")
+    made = V.calls(runs, protocols).withColumn("k", F.substr("run_id", F.lit(2)).cast("long"))
     reply = F.element_at(F.array(*(F.struct(*(F.lit(x).cast("string").alias(n) for x, n in zip(r, ("text", "error", "stop_reason")))) for r in REPLIES)), ((k * 31 + i) % len(REPLIES) + 1).cast("int"))
     rows = made.where(~((k % 11 == 5) & (i == 23))).select("*", reply.alias("r")).select("*", "r.*").drop("r")
     letter = F.when(F.lower("text").contains("decision: a"), "A").when(F.lower("text").contains("decision: b"), "B")

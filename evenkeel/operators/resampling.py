@@ -18,13 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.sources.tables import materialize
 
 ITERATIONS = 10_000
 BLOCK, MOST_DRAWS = 500, 2_000_000  # iterations of a block, and draws held at once
+MOST_CALLS, LOCKSTEP = 2_000_000, 128  # calls of a piece of shuffles, and shuffles of one length from which they are made together
 # The generator's step and its two multipliers.
 STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
@@ -32,7 +36,10 @@ STEP, FIRST, SECOND = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 def draws(seed: int, start: int, n: int) -> np.ndarray:
     """The draws number start + 1 to start + n of a seed."""
     at = np.arange(start + 1, start + n + 1, dtype=np.uint64)
-    z = at * np.uint64(STEP) + np.uint64(seed % 2**64)
+    return _mixed(at * np.uint64(STEP) + np.uint64(seed % 2**64))
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(30))) * np.uint64(FIRST)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(SECOND)
     return z ^ (z >> np.uint64(31))
@@ -188,13 +195,45 @@ def call_order(seed: int, n: int) -> list[int]:
     return order
 
 
-def call_orders(protocols: DataFrame) -> DataFrame:
-    """protocol_id, place, call: the order of all calls of each protocol (n_calls, seed)."""
+def _orders(seeds: np.ndarray, n: int) -> np.ndarray:
+    """The shuffles of several seeds, one a row: a step of all of them at a time, unless they are few."""
+    if len(seeds) < LOCKSTEP:
+        return np.array([call_order(int(s), n) for s in seeds], dtype=np.int32).reshape(len(seeds), n)
+    order = np.repeat(np.arange(n, dtype=np.int32)[:, None], len(seeds), axis=1)
+    run = np.arange(len(seeds))
+    for step, i in enumerate(range(n - 1, 0, -1), 1):
+        j = (_mixed(seeds + np.uint64(step * STEP % 2**64)) % np.uint64(i + 1)).astype(np.int64)
+        drawn = order[j, run]
+        order[j, run] = order[i]
+        order[i] = drawn
+    return order.T
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """rows (n_calls, seed as decimal text) with `order`: a seeded shuffle of 0 .. n_calls - 1; null without a number or seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known = pc.and_(batch.column("n_calls").is_valid(), batch.column("seed").is_valid()).to_numpy(zero_copy_only=False)
+            sizes = pc.fill_null(batch.column("n_calls"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            seeds = pc.cast(pc.fill_null(batch.column("seed"), "0"), pa.uint64()).to_numpy(zero_copy_only=False)
+            before = np.cumsum(sizes) - sizes
+            cuts = np.flatnonzero(np.diff(before // MOST_CALLS)) + 1  # pieces of few calls, or of one row
+            for low, high in zip([0, *cuts], [*cuts, len(sizes)]):
+                if low == high:
+                    continue
+                offsets = np.concatenate([[0], np.cumsum(sizes[low:high])])
+                values = np.empty(offsets[-1], dtype=np.int32)
+                for n in np.unique(sizes[low:high]):
+                    at = np.flatnonzero(sizes[low:high] == n)
+                    values[(offsets[at][:, None] + np.arange(n)).ravel()] = _orders(seeds[low:high][at], int(n)).ravel()
+                made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values), mask=pa.array(~known[low:high]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(low, high - low).columns, made], [*batch.schema.names, "order"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema, T.StructField("order", T.ArrayType(T.IntegerType()))]))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples(index=False):
-                calls = call_order(int(r.seed), int(r.n_calls))
-                yield pd.DataFrame({"protocol_id": r.protocol_id, "place": np.arange(len(calls)), "call": calls})
 
-    return protocols.select("protocol_id", "n_calls", "seed").mapInPandas(run, "protocol_id string, place long, call long")
+def call_orders(protocols: DataFrame) -> DataFrame:
+    """protocol_id, place, call: the order of all calls of each protocol (n_calls, seed)."""
+    made = ordered(protocols.select("protocol_id", F.col("n_calls").cast("long").alias("n_calls"), "seed"))
+    return made.select("protocol_id", F.posexplode("order").alias("place", "call")).select("protocol_id", F.col("place").cast("long").alias("place"), F.col("call").cast("long").alias("call"))

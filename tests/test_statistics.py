@@ -139,6 +139,19 @@ def test_call_order_is_a_seeded_shuffle():
     assert resampling.call_order(5, 20) == order
 
 
+def test_orders_made_together_are_those_of_each_seed(spark, monkeypatch):
+    sizes = [24] * 300 + [7] * 150 + [0, 1, 5000] + [None]
+    rows = spark.createDataFrame([(f"p{k}", n, str(2**64 - 1 - k * 10**16)) for k, n in enumerate(sizes)], "protocol_id string, n_calls int, seed string").coalesce(1)
+    ask = lambda: {r.protocol_id: (r.n_calls, r.order) for r in resampling.ordered(rows).collect()}
+    found = ask()
+    for k, n in enumerate(sizes):
+        assert found[f"p{k}"] == (n, None if n is None else resampling.call_order(2**64 - 1 - k * 10**16, n))
+    monkeypatch.setattr(resampling, "MOST_CALLS", 50)
+    assert ask() == found
+    pairs = [(r.place, r.call) for r in resampling.call_orders(rows.where("protocol_id = 'p3'")).collect()]
+    assert pairs == list(enumerate(found["p3"][1]))
+
+
 def judged(spark, c, n, theta=10, share=50, concentration=20.0, grammar=1):
     row = {f"c_{v}": arr(c[v]) for v in c} | {f"valid_{v}": F.lit(sum(c[v])).cast("long") for v in c} | {f"n_{v}": F.lit(n[v]).cast("long") for v in c}
     rows = counts.with_pairs(spark.range(1).select(*(x.alias(k) for k, x in row.items())))
