@@ -72,6 +72,24 @@ def test_permutations_of_blocks_compose():
     assert whole.tolist() == first[then].tolist() and sorted(whole) == list(range(12))
 
 
+@pytest.mark.parametrize("nx, ny", [(60, 70), (1, 300), (300, 1), (900, 40)])
+def test_many_swaps_at_a_time_are_those_made_one_by_one(monkeypatch, nx, ny):
+    """Pools so small that most swaps meet others, and iterations in pieces of few draws."""
+    monkeypatch.setattr(resampling, "MOST_DRAWS", 200)
+    pool = np.arange(nx + ny, dtype=np.int32)
+    for want, found in zip(resampling._splits(list(range(nx + ny)), nx, 2**64 - 9, 31, 25), resampling._large_splits(pool, nx, 2**64 - 9, 31, 25)):
+        assert want == found.tolist()
+    x, y = np.array([nx // 2, nx - nx // 2, 0]), np.array([ny - ny // 3, 0, ny // 3])
+    ask = lambda: (resampling.null_floor_sum(x, y, 8, 25, 3), resampling.block_permutation(nx + ny, nx, 8, 3, 25).tolist())
+    small = ask()
+    monkeypatch.setattr(resampling, "LARGE", 0)
+    assert ask() == small
+
+
+def test_runs_are_cut_into_blocks_only_for_idle_tasks():
+    assert [resampling._block(runs, tasks, 10_000) for runs, tasks in ((12, 6), (12, 8), (1000, 6), (2, 8), (12, 100))] == [10_000, 10_000, 10_000, 2_500, 1_250]
+
+
 def sequential(seed, n):
     state = seed
     for _ in range(n):
