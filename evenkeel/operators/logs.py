@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.canonical import row_json
 from evenkeel.functions.grammar import funds_error
@@ -15,6 +19,8 @@ from evenkeel.sources.tables import materialize
 SKIP_CAUSES = {("full_sweep", "budget_halted"): "budget_halted"}
 #: Share of the monthly pool from which a rung holds, its name, most protocols, and the one lane it allows.
 RUNGS = ((0, "full", 10**9, None), (60, "reduced_sweep", 6, None), (80, "guard_only_sweep", 4, "guard"), (95, "fingerprint_only", 0, None))
+#: Why a run that was tried doesn't count, by what it met.
+MET = {"ran_today": "already_ran_today", "no_funds": "budget_halted", "circuit_open": "circuit_open"}
 
 
 def listed_models(log: DataFrame) -> DataFrame:
@@ -102,6 +108,15 @@ def rung(spent: Column, ceiling: Column) -> Column:
     return found
 
 
+def rung_at(spent: int | None, ceiling: int | None) -> tuple[str | None, int | None, str | None]:
+    """`rung` of two values: name, most and lane."""
+    if spent is not None and ceiling is not None:
+        for least, name, most, lane in sorted(RUNGS, reverse=True, key=lambda r: r[0]):
+            if spent * 100 >= ceiling * least:
+                return name, most, lane
+    return None, None, None
+
+
 def error_runs(calls: DataFrame, by: list[str], order: str, least: int = 5) -> DataFrame:
     """Runs of `least` or more consecutive failed calls: by, first, last, length.
 
@@ -192,36 +207,49 @@ def admit(sweeps: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     Reasons in this order: already_run_this_month, not_preregistered, budget_halted by the
     rung, by its lane or by the ceiling, then what the run met. A sweep ends where funds are out
     or the circuit opens; rows beyond are not_reached. The rung depends on what the protocols
-    before cost, so a sweep is folded in order, one array of its month's protocols; sweeps are
+    before cost, so a sweep is gone through in order (rows equal in `order` by their other
+    columns), in one sorted stream that keeps its last state and nothing else; sweeps are
     independent of each other.
     """
-    given = {c: (F.col(c) if c in sweeps.columns else F.lit(None).cast(t)) for c, t in (("met", "string"), ("actual", "long"))}
-    row = F.struct(*order, F.struct(*sweeps.columns).alias("row"), *(c.alias(f"_{k}") for k, c in given.items()))
-    kind = "struct<ran:bigint,projected:bigint,stopped:boolean,out:array<struct<skipped:string,rung:string,funds:boolean>>>"
-
-    def step(state: Column, r: Column) -> Column:
-        spent = r["row"]["spent"] + state["projected"]
-        now = rung(spent, r["row"]["ceiling"])
-        halted = (state["ran"] >= now["most"]) | ~F.coalesce(now["lane"] == r["row"]["lane"], now["lane"].isNull()) | (spent + r["row"]["cost"] > r["row"]["ceiling"])
-        met = r["_met"]
-        before = F.when(state["stopped"], "not_reached").when(r["row"]["already_run"], "already_run_this_month").when(~r["row"]["preregistered"], "not_preregistered").when(halted, "budget_halted")
-        tried = before.isNull()
-        skipped = F.coalesce(before, F.when(met == "ran_today", "already_ran_today").when(met == "no_funds", "budget_halted").when(met == "circuit_open", "circuit_open"))
-        funds = tried & F.coalesce(met == "no_funds", F.lit(False))
-        runs = skipped.isNull()
-        one = F.struct(skipped.alias("skipped"), F.when(~state["stopped"], now["name"]).alias("rung"), funds.alias("funds"))
-        return F.struct(
-            (state["ran"] + F.when(runs, 1).otherwise(0)).alias("ran"),
-            (state["projected"] + F.when(runs, F.coalesce(r["_actual"], r["row"]["cost"])).otherwise(0)).alias("projected"),
-            (state["stopped"] | (tried & F.coalesce(met.isin("no_funds", "circuit_open"), F.lit(False)))).alias("stopped"),
-            F.concat(state["out"], F.array(one)).alias("out"),
-        ).cast(kind)
-
-    start = F.struct(F.lit(0).alias("ran"), F.lit(0).alias("projected"), F.lit(False).alias("stopped"), F.array().alias("out")).cast(kind)
-    lists = sweeps.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("rows"))
-    folded = lists.select("rows", F.aggregate("rows", start, step).alias("state"))
-    both = folded.select(F.explode(F.arrays_zip(F.col("rows").alias("r"), F.col("state.out").alias("o"))).alias("x"))
-    return both.select("x.r.row.*", F.col("x.o.skipped").alias("skipped"), F.col("x.o.rung").alias("rung"), F.col("x.o.funds").alias("funds_exhausted"))
+    schema = T.StructType([*sweeps.schema, T.StructField("skipped", T.StringType()), T.StructField("rung", T.StringType()), T.StructField("funds_exhausted", T.BooleanType())])
+    given = ("already_run", "preregistered", "lane", "cost", "spent", "ceiling", "met", "actual")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, ran, projected, stopped = None, 0, 0, False
+        for batch in batches:
+            n = batch.num_rows
+            columns = [batch.column(c).to_pylist() if c in batch.schema.names else [None] * n for c in given]
+            told = []
+            for sweep, row in zip(zip(*(batch.column(c).to_pylist() for c in by)), zip(*columns)):
+                if sweep != of:
+                    of, ran, projected, stopped = sweep, 0, 0, False
+                already, registered, lane, cost, spent, ceiling, met, actual = row
+                total = None if spent is None or projected is None else spent + projected
+                name, most, only = rung_at(total, ceiling)
+                reason = None
+                if stopped:
+                    reason = "not_reached"
+                elif already:
+                    reason = "already_run_this_month"
+                elif registered is False:
+                    reason = "not_preregistered"
+                elif (most is not None and ran >= most) or (only is not None and lane != only) or (None not in (total, cost, ceiling) and total + cost > ceiling):
+                    reason = "budget_halted"
+                tried = reason is None
+                if tried:
+                    reason = MET.get(met)
+                told.append((reason, None if stopped else name, tried and met == "no_funds"))
+                if reason is None:
+                    ran += 1
+                    paid = cost if actual is None else actual
+                    projected = None if projected is None or paid is None else projected + paid
+                stopped = stopped or (tried and met in ("no_funds", "circuit_open"))
+            skipped, names, funds = zip(*told) if told else ((), (), ())
+            made = [pa.array(skipped, pa.string()), pa.array(names, pa.string()), pa.array(funds, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *schema.names[-3:]])
+
+    rest = [c for c in sweeps.columns if c not in by and c not in order]
+    return sweeps.repartition(*by).sortWithinPartitions(*by, *order, *rest).mapInArrow(run, schema)
 
 
 def registry_events(diff: DataFrame, today: Column) -> DataFrame:

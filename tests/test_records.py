@@ -197,6 +197,22 @@ def test_a_sweep_ends_where_funds_or_the_circuit_do(spark):
     assert logs.admit(df.limit(0), ["sweep"], ["protocol_id"]).count() == 0
 
 
+def test_a_sweep_of_many_protocols_is_one_stream(spark):
+    """State carried over batches, figures that are not known, and no sweep gathered in one row."""
+    rows = [("s", k, "guard" if k % 3 else None, None if k % 10 == 0 else False, None if k % 10 == 1 else True, 1, None if k > 90 else 0, 100, None, None if k % 2 else 2) for k in range(100)]
+    rows += [("t", k, "open", False, True, 0, 0, 10**9, "ran_today" if k % 2 else None, None) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "sweep string, k int, lane string, already_run boolean, preregistered boolean, cost bigint, spent bigint, ceiling bigint, met string, actual bigint")
+    out = logs.admit(df.repartition(5), ["sweep"], ["k"])
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = {(r.sweep, r.k): (r.skipped, r.rung, r.funds_exhausted) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows) and all(found["t", k] == ("already_ran_today" if k % 2 else None, "full", False) for k in range(20_000))
+    assert [found["s", k][:2] for k in (0, 1, 39, 40, 41, 92)] == [(None, "full"), (None, "full"), (None, "full"), ("budget_halted", "reduced_sweep"), ("budget_halted", "reduced_sweep"), (None, None)]
+
+
 def test_streamed_checks_equal_batch(spark, tmp_path):
     rows = [{"job": f"j{i}", "date": f"2026-01-0{1 + i % 3}", "ran": i % 4 != 0, "cause": None} for i in range(30)]
     lines(tmp_path / "in" / "a.json", rows[:15])
