@@ -149,6 +149,17 @@ def test_registered_queries_resample_in_full_from_one_stream(spark, data, tmp_pa
         assert found.at_noise_floor == (Fraction(apart(a, c), den) <= Fraction(total, den * n))
 
 
+def test_replies_drawn_again_are_counted_however_many(monkeypatch):
+    """Options of any number, none of them or one alone, against counting each draw; no more draws at once than a cache holds."""
+    assert resampling.MOST_DRAWS <= 2**16
+    made = resampling.draws(2**63 + 5, 12, 700).reshape(7, 100)
+    for counts in ([3, 0, 4, 1], [9], [0, 5], [40_000, 30_000]):
+        counts = np.array(counts)
+        replies = np.repeat(np.arange(len(counts)), counts)
+        want = [np.bincount(replies[(row % np.uint64(len(replies))).astype(int)], minlength=len(counts)).tolist() for row in made]
+        assert resampling._redrawn(made.copy(), counts).tolist() == want
+
+
 def test_call_order_is_a_seeded_shuffle():
     order, draw = list(range(20)), sequential(5, 19)
     for i in range(19, 0, -1):
